@@ -21,6 +21,13 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operator("topk").top_k(vectors, 5, F.col("vec_id") % 50 == 0)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = operator("substrings").dedup_substrings(docs)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return operator("tokens").count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -45,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operator("mixing").mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op3_token_counts, op4_simhash_near_dedup, op8_document_fingerprints, op9_sentencepiece, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_substring_dedup, op3_token_counts, op4_simhash_near_dedup, op8_document_fingerprints, op9_sentencepiece, op10_mixing)}
 
 ORACLES = {
     "op1_exact_topk": """

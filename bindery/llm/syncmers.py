@@ -4,6 +4,7 @@ Tokens are words. Every run of S words is hashed; a run of K words is a closed s
 of its inner runs' hashes is the first or the last of them. Whether a run of words is an anchor thus
 depends on these words alone, so an edit changes only the anchors that touch it. A text is framed by
 K - 1 empty words on either side, so short texts have anchors too and the frame marks start and end.
+Texts of up to SHORT characters have, besides, the anchors of their characters, taken in the same way.
 
 A fingerprint is the SIZE smallest of the distinct anchors' hashes, each with the word position of its
 first place. Likeness is estimated on the SIZE smallest hashes of both (bottom-k): the share of them
@@ -23,16 +24,15 @@ from pyspark.sql import functions as F
 
 from bindery.llm.common import WORD, let, shuffle_partitions
 
-K, S, SIZE, SLACK = 4, 2, 64, 32
+K, S, SIZE, SLACK, SHORT = 4, 2, 64, 32, 200
 ENTRY = "array<struct<hash:bigint,at:int>>"
 
 
-def anchors(text: Column) -> Column:
-    """hash and first position of the SIZE smallest distinct anchors, by hash."""
+def marked(tokens: Column) -> Column:
+    """hash and position (with the frame) of every closed syncmer of an array of tokens."""
     inner = K - S + 1
     frame = F.array_repeat(F.lit(""), K - 1)
-    words = F.concat(frame, F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), frame)
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = F.transform(F.concat(frame, tokens, frame), lambda w: F.xxhash64(w))
     runs = let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - S), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(S)])))
 
     def closed(r: Column) -> Column:
@@ -42,13 +42,19 @@ def anchors(text: Column) -> Column:
 
         return F.transform(F.sequence(F.lit(0), F.size(r) - inner), at)
 
-    found = F.sort_array(F.filter(let(runs, closed), lambda x: x.isNotNull()))
+    return F.filter(let(runs, closed), lambda x: x.isNotNull()).cast(ENTRY)
+
+
+def anchors(text: Column) -> Column:
+    """hash and first position of the SIZE smallest distinct anchors, by hash."""
+    found = marked(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))
+    letters = F.when(F.length(text).between(1, SHORT), marked(F.split(text, ""))).otherwise(F.array().cast(ENTRY))
 
     def first_places(a: Column) -> Column:
         fresh = F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["hash"] != x["hash"]))
         return F.slice(fresh, 1, SIZE)
 
-    return let(found, first_places).cast(ENTRY)
+    return let(F.sort_array(F.concat(found, letters)), first_places).cast(ENTRY)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -75,7 +81,7 @@ def spelled(a: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (id, text, marks) with next_text and next_marks of the next row by descending id.
+    """Rows (id, text) with marks (anchors) and next_text, next_marks of the next row by descending id.
 
     One shuffle of the texts, into ranges of ids; the few rows at the ends of ranges are joined on.
     """
@@ -86,16 +92,17 @@ def with_next(docs: DataFrame) -> DataFrame:
     cell = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.coalesce(F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("id"))), F.lit(0))) if bounds else F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.lit(0))
     order = [F.col("id").desc_nulls_last(), F.col("text")]
     by = Window.partitionBy("cell").orderBy(*order)
-    dealt = docs.withColumn("cell", cell).select("*", F.lead(F.struct("text", "marks")).over(by).alias("next"))
+    marked_rows = docs.withColumn("marks", anchors(F.col("text")))
+    dealt = marked_rows.withColumn("cell", cell).select("*", F.lead(F.struct("text", "marks")).over(by).alias("next"))
     # the first row of every cell: one row of ids a cell, then those rows' texts
     tops = docs.withColumn("cell", cell).groupBy("cell").agg(F.max("id").alias("id"))
     cells = sorted((r.cell for r in tops.select("cell").collect()), reverse=True)  # at most parts + 1
     if not cells:
-        return dealt.select("id", "text", "marks", F.col("text").alias("next_text"), F.col("marks").alias("next_marks"))
+        return marked_rows.select("id", "text", "marks", F.col("text").alias("next_text"), F.col("marks").alias("next_marks"))
     after = docs.sparkSession.createDataFrame(list(zip(cells, cells[1:] + cells[:1], strict=True)), "cell int, after int")
     heads = docs.withColumn("cell", cell).alias("d").join(F.broadcast(tops).alias("t"), F.expr("d.cell = t.cell and d.id <=> t.id"))
-    heads = heads.groupBy("d.cell").agg(F.min(F.struct("d.text", "d.marks")).alias("head"))
-    heads = after.join(heads, after["after"] == heads["cell"]).select(after["cell"], "head")
+    heads = heads.groupBy("d.cell").agg(F.min("d.text").alias("text"))
+    heads = after.join(heads, after["after"] == heads["cell"]).select(after["cell"], F.struct("text", anchors(F.col("text")).alias("marks")).alias("head"))
     joined = dealt.join(heads, "cell")
     nxt = F.coalesce("next", "head")
     return joined.select("id", "text", "marks", nxt["text"].alias("next_text"), nxt["marks"].alias("next_marks"))
@@ -109,7 +116,7 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
 def compared_with_next(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and likenesses to the edited and to the next text."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(base.withColumn("marks", anchors(F.col("text"))))
+    rows = with_next(base)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))
