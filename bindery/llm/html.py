@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from bindery.llm.common import batches
 
-TREES, DEPTH, RATE, BINS = 60, 4, 0.25, 32
+TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 32
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -66,6 +66,14 @@ GROUP_OF = {w: i for i, g in reversed(list(enumerate(GROUPS))) for w in g.split(
 N_FEATURES = len(TAGS) + 3 * len(GROUPS) + len(TAGS) + 15
 
 
+@functools.lru_cache(100_000)
+def flag_row(kind: int, own: int, up: int, parent: int, tags: int) -> np.ndarray:
+    row = [float(kind == k) for k in range(len(TAGS))]
+    for g in range(len(GROUPS)):
+        row += [own >> g & 1, up >> g & 1, parent >> g & 1]
+    return np.array(row + [tags >> k & 1 for k in range(len(TAGS))], np.float32)
+
+
 class Page:
     """Elements in page order: parent, tag, groups; and runs of text with the element they are in."""
 
@@ -138,12 +146,16 @@ class Page:
         if name not in INLINE:
             self.items.append((stack[-1], None))
 
+    @functools.cached_property
+    def _nodes(self) -> list[int]:
+        return [i for i in range(1, len(self.tag)) if self.tag[i] not in ("html", "body") and (self.tag[i] not in INLINE or self.groups[i])]
+
     def nodes(self) -> list[int]:
         """Elements that are decided on: blocks, and inline ones that name what they are."""
-        return [i for i in range(1, len(self.tag)) if self.tag[i] not in ("html", "body") and (self.tag[i] not in INLINE or self.groups[i])]
+        return self._nodes
 
     def features(self) -> np.ndarray:
-        """A row for every element, the root among them."""
+        """A row for each of nodes()."""
         n = len(self.tag)
         chars, linked, marks, blocks = [0] * n, [0] * n, [0] * n, [0] * n
         paragraphs, listed, before, depth = [0] * n, [0] * n, [None] * n, [0] * n
@@ -183,27 +195,17 @@ class Page:
             listed[p] += listed[i] + (self.tag[i] == "li")
             if before[i] is not None and (before[p] is None or before[i] < before[p]):
                 before[p] = before[i]
-        out = np.zeros((n, N_FEATURES), np.float32)
-        for i in range(n):
-            row = out[i]
-            if self.tag[i] in KIND:
-                row[KIND[self.tag[i]]] = 1
-            own, up, p = self.groups[i], above[i], max(0, self.parent[i])
-            at = len(TAGS)
-            for g in range(len(GROUPS)):
-                row[at + 3 * g] = own >> g & 1
-                row[at + 3 * g + 1] = up >> g & 1
-                row[at + 3 * g + 2] = self.groups[p] >> g & 1
-            at += 3 * len(GROUPS)
-            for k in range(len(TAGS)):
-                row[at + k] = above_tags[i] >> k & 1
-            at += len(TAGS)
-            size = chars[i]
-            row[at:] = (
+        flags, numbers = [], []
+        for i in self.nodes():
+            own, p, size = self.groups[i], self.parent[i], chars[i]
+            flags.append(flag_row(KIND.get(self.tag[i], -1), own, above[i], self.groups[p], above_tags[i]))
+            numbers.append((
                 math.log1p(size), linked[i] / (size + 1), marks[i] / (size + 1) * 20, size / (blocks[i] + 1), math.log1p(paragraphs[i]), math.log1p(listed[i]),
                 depth[i], place[i], children[p], (before[i] or 0) / (total + 1), size / (total + 1), chars[p] / (total + 1), size / (chars[p] + 1), linked[p] / (chars[p] + 1), own >> len(GROUPS) & 1,
-            )
-        return out
+            ))
+        if not flags:
+            return np.zeros((0, N_FEATURES), np.float32)
+        return np.concatenate([np.stack(flags), np.array(numbers, np.float32)], axis=1)
 
     def text(self, keep: np.ndarray) -> str:
         parts = [" " if text is None else text for i, text in self.items if keep[i]]
@@ -214,16 +216,15 @@ def decode(page: Page, chance: np.ndarray) -> np.ndarray:
     """Elements to keep: the likeliest choice in which what is below a left-out element is left out."""
     n = len(page.tag)
     p = np.clip(chance, 0.02, 0.98)
-    yes, no = np.log(p).tolist(), np.log1p(-p).tolist()
-    node = [False] * n
-    for i in page.nodes():
-        node[i] = True
+    yes, no, node = [0.0] * n, [0.0] * n, [False] * n
+    for i, a, b in zip(page.nodes(), np.log(p).tolist(), np.log1p(-p).tolist(), strict=True):
+        yes[i], no[i], node[i] = a, b, True
     best_below, none_below = [0.0] * n, [0.0] * n
     keeps = [True] * n
     for i in range(n - 1, 0, -1):
         up = page.parent[i]
-        left_out = none_below[i] + (no[i] if node[i] else 0)
-        kept = best_below[i] + (yes[i] if node[i] else 0)
+        left_out = none_below[i] + no[i]
+        kept = best_below[i] + yes[i]
         keeps[i] = not node[i] or kept >= left_out
         best_below[up] += max(kept, left_out) if node[i] else kept
         none_below[up] += left_out
@@ -402,17 +403,18 @@ def model() -> Trees:
     for html in pages(900):
         page = Page(html)
         x = page.features()
-        own, all_ = np.zeros(len(x)), np.zeros(len(x))
+        own, all_ = np.zeros(len(page.tag)), np.zeros(len(page.tag))
         for i, text in page.items:
             if text and text.strip():
                 found = text.split()
                 own[i] += sum(w.startswith("q") for w in found)
                 all_[i] += len(found)
-        for i in range(len(x) - 1, 0, -1):
+        for i in range(len(page.tag) - 1, 0, -1):
             own[page.parent[i]] += own[i]
             all_[page.parent[i]] += all_[i]
-        nodes = [i for i in page.nodes() if all_[i]]
-        xs.append(x[nodes])
+        nodes = np.array(page.nodes(), np.int64)
+        x, nodes = x[all_[nodes] > 0], nodes[all_[nodes] > 0]
+        xs.append(x)
         ys.append(own[nodes] > 0)
         ws.append(1 + np.log1p(all_[nodes]) / 4)
     return Trees(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws))
