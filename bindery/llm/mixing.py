@@ -52,13 +52,35 @@ def row_hash(id_col: str, text_col: str):
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(1, 2, 3), most: int = 3) -> DataFrame:
-    """doc_id, h (row_hash), size, source_size, target, taken and times (how often the mix takes it) of every row."""
-    spark = docs.sparkSession
+    """doc_id, size, source_size, target, taken and times (how often the mix takes it) of every row."""
     slim = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), row_hash(id_col, text_col).alias("h")))
+    return decided(slim, plan(slim, weights, most)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+
+
+def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(1, 2, 3), most: int = 3) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    at = {c: names[docs.columns.index(c)] for c in (id_col, text_col, source_col)}
+    keyed = [F.col(at[source_col]).alias("source"), word_count(at[text_col]).alias("size"), row_hash(at[id_col], at[text_col]).alias("h")]
+    thresholds = plan(cut(own.select(*keyed)), weights, most)
+    rows = decided(own.select(*names, *keyed), thresholds).filter("times > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+
+def decided(rows: DataFrame, thresholds: list[tuple]) -> DataFrame:
+    """Rows (source, size, h, ...) with source_size, target and times, by hash and size alone."""
+    known = rows.sparkSession.createDataFrame(thresholds, "s string, source_size long, target double, base int, below long, more long, cap long")
+    joined = rows.join(known, rows["source"].eqNullSafe(known["s"]))
+    once_more = (F.col("h") < F.col("below")) | ((F.col("h") > F.col("below")) & (F.col("h") < F.col("more")) & (F.col("size") <= F.col("cap")))
+    return joined.withColumn("times", F.when(F.col("size") > 0, F.col("base") + once_more.cast("int")).otherwise(0))
+
+
+def plan(slim: DataFrame, weights=(1, 2, 3), most: int = 3) -> list[tuple]:
+    """source, its size, target, whole repeats, threshold, second threshold and size cap below it: a row a source."""
+    spark = slim.sparkSession
     # one row a source: bounded by the number of sources, not of documents
     totals = slim.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
-    if not totals:
-        return slim.select("doc_id", "h", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(0).alias("times"))
     goal = targets([(r.source, r.n) for r in totals], weights, most)
     base = {r.source: int(min(most, goal[r.source] / r.n) + 1e-12) if r.n else 0 for r in totals}
     want = {r.source: goal[r.source] - base[r.source] * r.n for r in totals}
@@ -105,10 +127,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
             if n - rest < left_over:
                 at, more, cap = at + 1, 0, 0
         rows.append((s, r.n, goal[s], base[s], at, more, cap))
-    joined = join(per_source(rows, "source_size long, target double, base int, at long, more long, cap long"))
-    once_more = (F.col("h") < F.col("at")) | ((F.col("h") > F.col("at")) & (F.col("h") < F.col("more")) & (F.col("size") <= F.col("cap")))
-    times = F.when(F.col("size") > 0, F.col("base") + once_more.cast("int")).otherwise(0)
-    return joined.select("doc_id", "h", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+    return rows
 
 
 def small_after(slim: DataFrame, source: str | None, at: int, cap: int) -> int:

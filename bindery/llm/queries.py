@@ -39,6 +39,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operator("licenses").scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs, op = table(spark, sf_dir, "documents"), operator("quality")
@@ -64,7 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operator("mixing").mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_substring_dedup, op3_token_counts, op4_simhash_near_dedup, op6_quality_classifier, op7_html_extraction, op8_document_fingerprints, op9_sentencepiece, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_substring_dedup, op3_token_counts, op4_simhash_near_dedup, op5_license_scan, op6_quality_classifier, op7_html_extraction, op8_document_fingerprints, op9_sentencepiece, op10_mixing)}
 
 ORACLES = {
     "op1_exact_topk": """

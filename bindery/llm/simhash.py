@@ -174,3 +174,15 @@ def simhash_groups(docs: DataFrame, id_col="doc_id", text_col="text", size: int
     named = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return own.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of docs whose id is their group's component_id; of rows that repeat an id and text, one."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    ident, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    groups = simhash_groups(own, ident, text, size, radius)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = own.join(first, own[ident].eqNullSafe(first["_id"]), "left_semi")
+    kept = kept.withColumn("_text", F.xxhash64(text)).dropDuplicates([ident, "_text"])
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -163,8 +163,11 @@ SENT = "bucket int, batch int, n int, keys binary, more binary, ids binary"
 ANSWER = "batch int, step int, bucket int, n int, bits binary"
 
 
-def dedup_substrings(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13) -> DataFrame:
-    """All columns of docs and n_words, n_removed (longs) and kept (string)."""
+def dedup_substrings(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13, spaced: bool = True) -> DataFrame:
+    """All columns of docs but the text, and n_words, n_removed (longs) and kept (string).
+
+    Kept words are joined by one space; with spaced=False, texts that lose nothing stay as they were.
+    """
     if window < LOST + 2 or window > 200:
         raise ValueError("window must be 8 to 200 words")
     parts = shuffle_partitions(docs)
@@ -233,6 +236,8 @@ def dedup_substrings(docs: DataFrame, id_col="doc_id", text_col="text", window:
         b = batch_of(table)
         b.windows(bits_of(answers, 1, len(b.names)))
         kept, removed = b.kept(bits_of(answers, 2, len(b.h)))
+        if not spaced:
+            kept = [k if n else t for k, n, t in zip(kept, removed.tolist(), table.column("data").to_pylist(), strict=True)]
         columns = [pa.nulls(table.num_rows, pa.string()) if i == text_at else table.column(c) for i, c in enumerate(carried)]
         columns += [pa.array(b.sizes), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
         return pa.Table.from_arrays([c.cast(k) if c.type != k else c for c, k in zip(columns, as_arrow.types, strict=True)], schema=as_arrow)
