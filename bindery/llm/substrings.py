@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from bindery.llm.common import arrow_schema, shuffle_partitions, utf8
 
-BATCH_BYTES, BUCKET_WORDS, LOST = 4 << 20, 2_000_000, 6
+BATCH_BYTES, BUCKET_WORDS, MOST_PARALLEL, LOST = 4 << 20, 2_000_000, 64, 6
 NO_ID = 2**63 - 1
 _RANDOM = np.random.default_rng(20240607)
 ODD = _RANDOM.integers(0, 2**64, (3, 256), dtype=np.uint64) | np.uint64(1)
@@ -172,8 +172,9 @@ def dedup_substrings(docs: DataFrame, id_col="doc_id", text_col="text", window:
         raise ValueError("window must be 8 to 200 words")
     parts = shuffle_partitions(docs)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    n_batches = max(-(-size // BATCH_BYTES), 3 * parts)
-    buckets = max(-(-size // (6 * BUCKET_WORDS)), parts)
+    # a batch sends a bucket one row at most: no more of either than memory and parallelism ask for
+    n_batches = max(-(-size // BATCH_BYTES), parts)
+    buckets = max(-(-size // (6 * BUCKET_WORDS)), min(parts, MOST_PARALLEL))
     carried = [f"c{i}" for i in range(len(docs.columns))]
     own = docs.toDF(*carried)
     of = dict(zip(docs.columns, carried, strict=True))
