@@ -48,6 +48,9 @@ class Model:
             raise ValueError(f"{path}: only BPE models with byte fallback and the identity normalizer are taken")
         self.pieces = [p.piece for p in proto.pieces]
         self.kind = [p.type for p in proto.pieces]
+        #: text and decimal number of each id; None where decoding needs more than the piece
+        self.plain = [p.piece.replace(SPACE, " ") if p.type == 1 else None for p in proto.pieces]
+        self.decimal = [str(i) for i in range(len(proto.pieces))]
         self.id = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
@@ -186,6 +189,10 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, with the dummy space at its start."""
+        try:
+            return "".join(map(self.plain.__getitem__, ids))
+        except TypeError:
+            pass  # bytes or control ids
         out, raw = [], bytearray()
         for i in [*ids, -1]:
             kind = self.kind[i] if i >= 0 else 0
@@ -209,18 +216,25 @@ class Coder:
         self.model = model
         self.at: dict[str, int] = {}
         self.ids: list[list[int]] = []
+        self.count: list[int] = []
         self.text: list[str] = []
+        self.spelled: list[str] = []
 
     def units(self, texts: list[str]) -> list[list[int]]:
         """Numbers in the memo of each text's units."""
         if len(self.at) > MEMO:
-            self.at, self.ids, self.text = {}, [], []
+            self.at, self.ids, self.count, self.text, self.spelled = {}, [], [], [], []
         split = [UNITS(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-        new = [u for u in dict.fromkeys(u for units in split for u in units) if u not in self.at]
+        seen: set[str] = set()
+        for units in split:
+            seen.update(units)
+        new = sorted(seen - self.at.keys())
         for u, ids in zip(new, self.model.encode_units(new), strict=True):
             self.at[u] = len(self.ids)
             self.ids.append(ids)
+            self.count.append(len(ids))
             self.text.append(self.model.decode(ids))
+            self.spelled.append(" ".join(map(self.model.decimal.__getitem__, ids)))
         look_up = self.at.__getitem__
         return [list(map(look_up, units)) for units in split]
 
@@ -270,18 +284,14 @@ def coded(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text") ->
 
     def run(rows):
         own = coder(model_path)
-        for batch in batches(rows):
+        for batch in batches(rows, 16 << 20):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n, digests, decoded, same = [], [], [], []
             found = own.units(texts)
-            spelled = {}
             for text, units in zip(texts, found, strict=True):
-                for u in units:
-                    if u not in spelled:
-                        spelled[u] = " ".join(map(str, own.ids[u]))
-                n.append(sum(len(own.ids[u]) for u in units))
-                digests.append(hashlib.sha256(" ".join([spelled[u] for u in units]).encode()).hexdigest())
-                back = "".join([own.text[u] for u in units])[1:]
+                n.append(sum(map(own.count.__getitem__, units)))
+                digests.append(hashlib.sha256(" ".join(map(own.spelled.__getitem__, units)).encode()).hexdigest())
+                back = "".join(map(own.text.__getitem__, units))[1:]
                 decoded.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
                 same.append(back == text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests), pa.array(decoded), pa.array(same)], names=["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
