@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Iterator
 
@@ -11,16 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A word is a run of bytes other than space and \t \n \v \f \r.
-WORD = "[^\\x20\\x09-\\x0D]+"
+from bindery.shipping import ship
 
+__all__ = ["WORD", "arrow_schema", "batches", "cut", "let", "shared_folder", "ship", "shuffle_partitions", "table", "utf8", "word_count"]
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package; on a cluster use --py-files."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+#: A word is a run of bytes other than space and \t \n \v \f \r.
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
