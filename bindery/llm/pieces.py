@@ -18,8 +18,10 @@ ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from bindery.llm.common import batches
 
 SPACE, END, NONE = "▁", 0x110000, 1 << 30
-CHUNK = 1 << 19  # characters of one suffix array
-MEMO = 500_000  # units a worker remembers, about 160 MB
+CHUNK = 3 << 17  # characters of one suffix array
+MEMO = 700_000  # units a task remembers, about 160 MB
 UNITS = re.compile(" *[^ ]+| +").findall
 
 
@@ -210,52 +212,55 @@ class Model:
 
 
 class Coder:
-    """Encodes texts by batches; memo of units with ids, their number and their decoded text."""
+    """Encodes texts by batches; a memo of units with ids (as int32 bytes), their number and their decoded text.
 
-    def __init__(self, model: Model):
-        self.model = model
+    One is made for every task and goes with it, so a reused worker holds no more than the model.
+    """
+
+    def __init__(self, model: Model, spell: bool = False):
+        self.model, self.spell = model, spell
         self.at: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.ids: list[bytes] = []
         self.count: list[int] = []
         self.text: list[str] = []
         self.spelled: list[str] = []
 
-    def units(self, texts: list[str]) -> list[list[int]]:
-        """Numbers in the memo of each text's units."""
+    def units(self, texts: list[str]):
+        """Numbers in the memo of each text's units, text by text; a batch's units are never all held as strings."""
         if len(self.at) > MEMO:
-            self.at, self.ids, self.count, self.text, self.spelled = {}, [], [], [], []
-        split = [UNITS(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-        seen: set[str] = set()
-        for units in split:
-            seen.update(units)
-        new = sorted(seen - self.at.keys())
+            self.__init__(self.model, self.spell)
+        split = lambda t: UNITS(" " + t.replace(SPACE, " ")) if t else []
+        new: set[str] = set()
+        for t in texts:
+            new.update(split(t))
+        new = sorted(new - self.at.keys())
         for u, ids in zip(new, self.model.encode_units(new), strict=True):
             self.at[u] = len(self.ids)
-            self.ids.append(ids)
+            self.ids.append(array("i", ids).tobytes())
             self.count.append(len(ids))
-            self.text.append(self.model.decode(ids))
-            self.spelled.append(" ".join(map(self.model.decimal.__getitem__, ids)))
+            decoded = self.model.decode(ids)
+            self.text.append(u if decoded == u else decoded)
+            if self.spell:
+                self.spelled.append(" ".join(map(self.model.decimal.__getitem__, ids)))
         look_up = self.at.__getitem__
-        return [list(map(look_up, units)) for units in split]
-
+        for t in texts:
+            yield list(map(look_up, split(t)))
 
-_LOADED: dict[str, Coder] = {}
 
-
-def coder(path: str) -> Coder:
-    if path not in _LOADED:
-        _LOADED[path] = Coder(Model(path))
-    return _LOADED[path]
+@functools.lru_cache(2)
+def model_of(path: str) -> Model:
+    return Model(path)
 
 
 def encode(docs: DataFrame, model_path: str, text_col="text", ids_col="piece_ids") -> DataFrame:
     """All columns of docs and the piece ids of its text."""
 
     def run(rows):
-        own = coder(model_path)
+        own = Coder(model_of(model_path))
         for batch in batches(rows):
-            found = own.units([t or "" for t in batch.column("_t").to_pylist()])
-            ids = pa.array([[i for u in units for i in own.ids[u]] for units in found], pa.list_(pa.int32()))
+            coded_ = [b"".join(map(own.ids.__getitem__, units)) for units in own.units([t or "" for t in batch.column("_t").to_pylist()])]
+            ends = np.cumsum([0, *(len(x) // 4 for x in coded_)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded_), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], ids_col])
 
     rest = docs.drop(ids_col)
@@ -268,7 +273,7 @@ def decode(docs: DataFrame, model_path: str, ids_col="piece_ids", text_col="deco
     """All columns of docs and the text of its ids; null ids: null."""
 
     def run(rows):
-        model = coder(model_path).model
+        model = model_of(model_path)
         for batch in batches(rows):
             texts = [None if ids is None else model.decode(ids).removeprefix(" ") for ids in batch.column("_i").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], text_col])
@@ -283,12 +288,11 @@ def coded(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text") ->
     """doc_id, n_pieces, ids_sha256 (decimal ids joined by spaces), decoded_sha256 and round_trip of every row."""
 
     def run(rows):
-        own = coder(model_path)
-        for batch in batches(rows, 16 << 20):
+        own = Coder(model_of(model_path), spell=True)
+        for batch in batches(rows):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n, digests, decoded, same = [], [], [], []
-            found = own.units(texts)
-            for text, units in zip(texts, found, strict=True):
+            for text, units in zip(texts, own.units(texts), strict=True):
                 n.append(sum(map(own.count.__getitem__, units)))
                 digests.append(hashlib.sha256(" ".join(map(own.spelled.__getitem__, units)).encode()).hexdigest())
                 back = "".join(map(own.text.__getitem__, units))[1:]

@@ -11,6 +11,7 @@ repeated rows give repeated rows; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
@@ -24,7 +25,7 @@ from bindery.llm.common import batches
 
 #: Fixed value: the split pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 800_000  # strings a worker remembers, about 100 MB
+MEMO = 800_000  # strings a task remembers, about 100 MB
 NONE = 1 << 62
 
 
@@ -117,22 +118,21 @@ class Counts(dict):
         return n
 
 
-_LOADED: dict[str, tuple] = {}
+@functools.lru_cache(2)
+def bpe_of(path: str) -> ByteBpe:
+    return ByteBpe(path)
 
 
 def counter(path: str):
-    """text -> number of tokens; one table a process and file."""
-    if path not in _LOADED:
-        bpe = ByteBpe(path)
-        counts, pieces = Counts(bpe), regex.compile(PATTERN).findall
-        look_up = counts.__getitem__
-
-        def count(text: str) -> int:
-            parts = [text] if bpe.special is None else bpe.special.split(text)
-            return len(parts) - 1 + sum(sum(map(look_up, pieces(p))) for p in parts)
-
-        _LOADED[path] = (count,)
-    return _LOADED[path][0]
+    """text -> number of tokens, with a memo of its own."""
+    bpe = bpe_of(path)
+    look_up, pieces = Counts(bpe).__getitem__, regex.compile(PATTERN).findall
+
+    def count(text: str) -> int:
+        parts = [text] if bpe.special is None else bpe.special.split(text)
+        return len(parts) - 1 + sum(sum(map(look_up, pieces(p))) for p in parts)
+
+    return count
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", limit: int = 1024) -> DataFrame:
