@@ -8,7 +8,7 @@ selection keeps k candidates a query, and per-query lists are merged in two roun
 Defined cases: a vector that is null, empty, or holds a null or non-finite component takes no part;
 vectors of different lengths are never compared; rows with the query's own id are never its candidates,
 and repeated rows of other ids are candidates each; equal scores rank by smaller id; an empty table
-gives no rows; other columns are ignored; a score beyond 64 bits is clipped to the nearest long.
+gives no rows; other columns are ignored; a score beyond 64 bits counts as the nearest long.
 """
 
 from __future__ import annotations
@@ -93,8 +93,8 @@ def best_of_tile(q_ids, q, c_ids, c, k):
         own = q_ids[at : at + 256][:, None] == c_ids[None, :]
         if scores.dtype == object:
             for i in range(len(scores)):
-                ranked = sorted((-v, j) for j, v in enumerate(scores[i]) if not own[i, j])[:k]
-                out.append([(max(-(2**63), min(2**63 - 1, -v)), int(c_ids[j])) for v, j in ranked])
+                ranked = sorted((-max(-(2**63), min(2**63 - 1, v)), j) for j, v in enumerate(scores[i]) if not own[i, j])[:k]
+                out.append([(-v, int(c_ids[j])) for v, j in ranked])
             continue
         keys = scores.astype(np.float64) * s + np.arange(s - 1, -1, -1)  # one number a candidate: score, then smaller id
         keys[own] = -np.inf
