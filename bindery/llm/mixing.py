@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from bindery.llm.common import cut, word_count
 
+SOURCES = 20_000
 BITS, ROUNDS = 10, 6  # 2**10 buckets a source and round; six rounds settle 60 bits
 
 
@@ -68,10 +69,15 @@ def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
+def sized(known: DataFrame, rows: int) -> DataFrame:
+    """A table of a row a source, broadcast where it has at most SOURCES of them; beyond, Spark joins by shuffle."""
+    return F.broadcast(known) if rows <= SOURCES else known
+
+
 def decided(rows: DataFrame, thresholds: list[tuple]) -> DataFrame:
     """Rows (source, size, h, ...) with source_size, target and times, by hash and size alone."""
     known = rows.sparkSession.createDataFrame(thresholds, "s string, source_size long, target double, base int, below long, more long, cap long")
-    joined = rows.join(known, rows["source"].eqNullSafe(known["s"]))
+    joined = rows.join(sized(known, len(thresholds)), rows["source"].eqNullSafe(known["s"]))
     once_more = (F.col("h") < F.col("below")) | ((F.col("h") > F.col("below")) & (F.col("h") < F.col("more")) & (F.col("size") <= F.col("cap")))
     return joined.withColumn("times", F.when(F.col("size") > 0, F.col("base") + once_more.cast("int")).otherwise(0))
 
@@ -86,8 +92,7 @@ def plan(slim: DataFrame, weights=(1, 2, 3), most: int = 3) -> list[tuple]:
     want = {r.source: goal[r.source] - base[r.source] * r.n for r in totals}
 
     def per_source(rows: list[tuple], schema: str) -> DataFrame:
-        """Joined to slim; Spark broadcasts it only below its own size threshold."""
-        return spark.createDataFrame(rows, f"source string, {schema}")
+        return sized(spark.createDataFrame(rows, f"source string, {schema}"), len(rows))
 
     def join(left: DataFrame, on=F.lit(True)) -> DataFrame:
         return slim.join(left, slim["source"].eqNullSafe(left["source"]) & on).drop(slim["source"])
