@@ -8,12 +8,15 @@ import lzma
 import struct
 import zlib
 
+import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bindery.functions.lh import static_huffman
+
 
 def deflate_raw(data: bytes, level: int = 6, dictionary: bytes = b"") -> bytes:
     engine = zlib.compressobj(level, zlib.DEFLATED, -15, 8, 0, dictionary[-32768:]) if dictionary else zlib.compressobj(level, zlib.DEFLATED, -15)
@@ -149,6 +152,9 @@ CODECS = {
     "lz4": lz4_frame,
     "compress": unix_compress,
     "brotli": brotli_stored,
+    "lh5": lambda d: static_huffman(d, "lh5"),
+    "lh6": lambda d: static_huffman(d, "lh6"),
+    "lh7": lambda d: static_huffman(d, "lh7"),
 }
 #: Codecs whose outputs may be written one after the other: the parts decode to the joined data.
 JOINABLE = ("gzip", "bzip2", "xz", "lzip", "zstd", "lz4")
@@ -165,19 +171,44 @@ def encoded(data: str, codec: str) -> Column:
     return run(data)
 
 
+def delta(data: bytes, distance: int = 1) -> bytes:
+    a = np.frombuffer(data, np.uint8)
+    before = np.concatenate([np.zeros(min(distance, len(a)), np.uint8), a[:-distance]])
+    return (a - before).tobytes()
+
+
+def branch_x86(data: bytes) -> bytes:
+    """Jump targets of x86 code made absolute: the library's filter, seen through a packer that is undone at once."""
+    packer = {"id": lzma.FILTER_LZMA2, "preset": 0}
+    return lzma.decompress(lzma.compress(data, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_X86}, packer]), lzma.FORMAT_RAW, filters=[packer]) if data else b""
+
+
+def branch_arm64(data: bytes, undo: bool = False) -> bytes:
+    """BL targets, and ADRP pages within 512 MB, made absolute; instructions are aligned, so all are converted at once."""
+    n = len(data) // 4
+    code, at = np.frombuffer(data, "<u4", n).copy(), np.arange(n, dtype=np.uint32)
+    sign = np.uint32(0xFFFFFFFF if undo else 1)
+    with np.errstate(over="ignore"):
+        calls = code >> 26 == 0x25
+        page = (code >> 29 & 3) | (code >> 3 & 0x1FFFFC)
+        near = (code & 0x9F000000 == 0x90000000) & ((page + 0x20000) & 0x1C0000 == 0)
+        moved = page + sign * (at * 4 >> 12)
+        packed = (code & 0x9000001F) | (moved & 3) << 29 | (moved & 0x3FFFC) << 3 | np.where(moved & 0x20000, np.uint32(0xE00000), np.uint32(0))
+        code = np.where(calls, 0x94000000 | (code + sign * at & 0x3FFFFFF), np.where(near, packed, code)).astype("<u4")
+    return code.tobytes() + data[n * 4 :]
+
+
+FILTERS = {"delta": delta, "x86": branch_x86, "arm64": branch_arm64}
+
+
 def filtered(data: str, kind: str, distance: int = 1) -> Column:
-    """Reversible byte filters before compression: delta."""
-    if kind != "delta":
-        raise ValueError(f"filter {kind} is not available here")
+    """Reversible byte filters before compression: delta, x86 and arm64 branches."""
+    if kind not in FILTERS:
+        raise ValueError(f"unknown filter {kind}")
+    convert = (lambda x: delta(x, distance)) if kind == "delta" else FILTERS[kind]
 
     @F.pandas_udf("binary")
     def run(rows: pd.Series) -> pd.Series:
-        import numpy as np
-
-        def one(x):
-            a = np.frombuffer(bytes(x), np.uint8)
-            return (a - np.concatenate([np.zeros(min(distance, len(a)), np.uint8), a[:-distance]])).tobytes()
-
-        return rows.map(lambda x: None if x is None else one(x))
+        return rows.map(lambda x: None if x is None else convert(bytes(x)))
 
     return run(data)

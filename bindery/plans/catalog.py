@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.functions import checksums, codecs, fields
+from bindery.functions import checksums, codecs, crypto, fields
+from bindery.functions import records as headers
 from bindery.operators import editing, ranges
 from bindery.shipping import ship
 from bindery.streaming import progress
@@ -398,3 +399,30 @@ def solid_packing(spark, sf):
 def member_checksums(spark, sf):
     rows = read(spark, sf, "benchmark").select("item_id", F.col("text").cast("binary").alias("data"))
     return rows.select("item_id", F.crc32("data").alias("crc32"), checksums.crc16("data").alias("crc16"), checksums.xxh32("data").alias("xxh32"), checksums.xxh64("data").alias("xxh64"), checksums.byte_sum("data").alias("byte_sum"))
+
+
+@query("SELECT conv_id, turn, nfc_normalize(text || chr(97) || chr(776)) AS name FROM conversations")
+def composed_names(spark, sf):
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", F.lit("ä")).alias("name"))
+    return rows.select("conv_id", "turn", headers.nfc("name").alias("name"))
+
+
+@query("""SELECT item_id, (strlen(text) + (16 - strlen(text) % 16) % 16)::BIGINT AS cbc_bytes, strlen(text)::BIGINT + 28 AS aes_bytes,
+  strlen(text)::BIGINT + 12 AS stream_bytes, true AS same FROM benchmark""")
+def encrypted_entries(spark, sf):
+    """Entries under the ZIP stream cipher, then AES, then plain again; and their CBC form."""
+    rows = read(spark, sf, "benchmark").select("item_id", F.col("text").cast("binary").alias("data")).withColumn("crc", F.crc32("data"))
+    rows = rows.withColumn("salt", F.unhex(F.substring(F.sha2(F.concat(F.col("item_id").cast("string"), F.lit("salt")), 256), 1, 32)))
+    stream, aes = ("stream", "one"), ("aes", "two")
+    rows = rows.withColumn("a", crypto.reencrypted("data", "crc", "salt", None, stream))
+    rows = rows.withColumn("b", crypto.reencrypted("a", "crc", "salt", stream, aes)).withColumn("c", crypto.reencrypted("b", "crc", "salt", aes, None))
+    cbc = crypto.cbc_encrypted(F.col("data"), F.unhex(F.sha2(F.lit("key"), 256)), F.col("salt"))
+    size = lambda c: F.octet_length(c).cast("long")
+    return rows.select("item_id", size(cbc).alias("cbc_bytes"), size("b").alias("aes_bytes"), size("a").alias("stream_bytes"), (F.col("c") == F.col("data")).alias("same"))
+
+
+@query("SELECT item_id, strlen(text)::BIGINT AS delta_bytes, strlen(text)::BIGINT AS x86_bytes, strlen(text)::BIGINT AS arm64_bytes FROM benchmark")
+def filtered_sizes(spark, sf):
+    """Filters keep every length."""
+    rows = read(spark, sf, "benchmark").select("item_id", F.col("text").cast("binary").alias("data"))
+    return rows.select("item_id", *[F.octet_length(codecs.filtered("data", k)).cast("long").alias(f"{k}_bytes") for k in codecs.FILTERS])

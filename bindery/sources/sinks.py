@@ -8,17 +8,28 @@ put together on the driver, and one that exists is never overwritten.
 
 from __future__ import annotations
 
+import bz2
 import io
+import lzma
 import os
+import secrets
 import shutil
+import struct
 import tarfile
+import time
 import uuid
-import zipfile
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-ZIP_METHODS = {"zip": zipfile.ZIP_DEFLATED, "zip.stored": zipfile.ZIP_STORED, "zip.bzip2": zipfile.ZIP_BZIP2, "zip.lzma": zipfile.ZIP_LZMA}
+#: Forms of ZIP and 7z archives, and the method or packer each uses.
+ZIP_FORMS = {"zip": "deflate", "zip.stored": "stored", "zip.bzip2": "bzip2", "zip.lzma": "lzma", "zip.zst": "zstd", "zip.xz": "xz"}
+SEVEN_ZIP_FORMS = {"7z": "lzma2", "7z.lzma": "lzma", "7z.deflate": "deflate", "7z.bzip2": "bzip2", "7z.copy": "copy"}
+#: Coder ids of 7z packers and filters.
+CODERS = {"copy": b"\x00", "lzma2": b"\x21", "lzma": b"\x03\x01\x01", "deflate": b"\x04\x01\x08", "bzip2": b"\x04\x02\x02", "delta": b"\x03", "x86": b"\x03\x03\x01\x03", "arm64": b"\x0a"}
+LHA_FORMS = {"lzh": "lh5", "lzh.lh6": "lh6", "lzh.lh7": "lh7", "lzh.stored": "lh0"}
+DICTIONARY = 1 << 23
 TAR_CODECS = {"tar": None, "tar.gz": "gzip", "tar.bz2": "bzip2", "tar.xz": "xz", "tar.zst": "zstd", "tar.lzma": "lzma", "tar.lz": "lzip", "tar.lz4": "lz4", "tar.Z": "compress", "tar.br": "brotli"}
 STREAMS = {"gz": "gzip", "bz2": "bzip2", "xz": "xz", "zst": "zstd", "lzma": "lzma", "lz": "lzip", "lz4": "lz4", "Z": "compress", "br": "brotli"}
 CHUNK = 16 << 20
@@ -63,11 +74,41 @@ class ChunkedCodec(io.RawIOBase):
         self.held.clear()
 
 
+def packed_lzma(data: bytes) -> tuple[bytes, bytes]:
+    """Properties and stream of LZMA, the stream with an end mark."""
+    alone = lzma.compress(data, lzma.FORMAT_ALONE, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": DICTIONARY}])
+    return alone[:5], alone[13:]
+
+
+def folder_packed(data: bytes, packer: str, chain: str | None) -> tuple[list, bytes]:
+    """Coders, from the packer to the filter, and the packed stream of a 7z folder."""
+    from bindery.functions.codecs import FILTERS, deflate_raw
+
+    coders = [(CODERS[chain], b"\0" if chain == "delta" else b"")] if chain else []
+    data, properties = FILTERS[chain](data) if chain else data, b""
+    if packer == "lzma2":
+        data, properties = lzma.compress(data, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": DICTIONARY}]), bytes([2 * (DICTIONARY.bit_length() - 13)])
+    elif packer == "lzma":
+        properties, data = packed_lzma(data)
+    elif packer != "copy":
+        data = deflate_raw(data) if packer == "deflate" else bz2.compress(data, 9)
+    return [(CODERS[packer], properties), *coders], data
+
+
 class ArchiveWriter(DataSourceWriter):
+    """Options: form; prefix of file names; password and cipher (aes, stream) of ZIP entries; filter (delta, x86, arm64),
+    block_bytes and block_files of 7z folders. Passwords of other forms are refused."""
+
     def __init__(self, options):
         self.form, self.folder, self.prefix = options.get("form", "zip"), options["path"], options.get("prefix", "part")
-        if self.form not in ZIP_METHODS and self.form not in TAR_CODECS and self.form not in STREAMS:
+        if not any(self.form in forms for forms in (ZIP_FORMS, SEVEN_ZIP_FORMS, LHA_FORMS, TAR_CODECS, STREAMS)):
             raise ValueError(f"unknown form {self.form}")
+        self.password, self.cipher, self.secret = options.get("password"), options.get("cipher", "aes"), secrets.token_bytes(32)
+        if self.password is not None and (self.form not in ZIP_FORMS or not self.password or self.cipher not in ("aes", "stream")):
+            raise ValueError(f"{self.form} with cipher {self.cipher} and this password can't be written")
+        self.filter, self.block_bytes, self.block_files = options.get("filter"), int(options.get("block_bytes", 16 << 20)), int(options.get("block_files", 1 << 20))
+        if self.filter not in (None, "delta", "x86", "arm64") or min(self.block_bytes, self.block_files) < 1:
+            raise ValueError("unknown filter, or an empty block")
         self.staging = os.path.join(self.folder, f"_staging-{uuid.uuid4().hex}")
 
     def write(self, rows):
@@ -86,8 +127,9 @@ class ArchiveWriter(DataSourceWriter):
                 raise ValueError(f"two entries are named {r['path']!r}")
             seen.add(r["path"].rstrip("/"))
         with open(at, "xb") as file:
-            (self.zip if self.form in ZIP_METHODS else self.tar)(file, held)
-        return Written([(at, f"{self.prefix}-{held[0]['ord']:012d}.{self.form.split('.')[0] if self.form in ZIP_METHODS else self.form}")])
+            kind = next((k for k, forms in (("zip", ZIP_FORMS), ("7z", SEVEN_ZIP_FORMS), ("lzh", LHA_FORMS)) if self.form in forms), self.form)
+            {"zip": self.zip, "7z": self.seven_zip, "lzh": self.lha}.get(kind, self.tar)(file, held)
+        return Written([(at, f"{self.prefix}-{held[0]['ord']:012d}.{kind}")])
 
     def stream(self, r):
         from bindery.functions.codecs import CODECS
@@ -97,24 +139,107 @@ class ArchiveWriter(DataSourceWriter):
             file.write(CODECS[STREAMS[self.form]](bytes(r["data"] or b"")))
         return at, f"{os.path.basename(checked(r['path'], False, True))}.{self.form}"
 
-    def zip(self, file, rows):
-        from bindery.functions.fields import STORED_EXTENSIONS
+    @staticmethod
+    def content(r) -> bytes:
+        """What an entry's stream holds: a symlink's target, a file's bytes, nothing of a folder."""
+        return (r.get("link") or "").encode() if r["kind"] == "symlink" else bytes(r.get("data") or b"") if r["kind"] == "file" else b""
 
-        with zipfile.ZipFile(file, "w", ZIP_METHODS[self.form]) as z:
-            for r in rows:
-                info = zipfile.ZipInfo(r["path"], self.date(r.get("mtime")))
-                kind = {"file": 0o100000, "directory": 0o040000, "symlink": 0o120000}[r["kind"]]
-                info.external_attr = (kind | (r.get("mode") or (0o755 if r["kind"] == "directory" else 0o644))) << 16
-                data = (r.get("link") or "").encode() if r["kind"] == "symlink" else bytes(r.get("data") or b"")
-                stored = r["kind"] != "file" or not data or r["path"].rpartition(".")[2].lower() in STORED_EXTENSIONS
-                z.writestr(info, data, zipfile.ZIP_STORED if stored else ZIP_METHODS[self.form])
+    @staticmethod
+    def mode(r) -> int:
+        if r["kind"] not in ("file", "directory", "symlink"):
+            raise ValueError(f"{r['path']!r}: a {r['kind']} can't be stored in this form")
+        kind = {"file": 0o100000, "directory": 0o040000, "symlink": 0o120000}[r["kind"]]
+        return kind | (r.get("mode") or (0o755 if r["kind"] == "directory" else 0o644))
 
     @staticmethod
-    def date(mtime):
-        import time
+    def seconds(r) -> int:
+        return 1_700_000_001 if r.get("mtime") is None else r["mtime"]
 
-        t = time.gmtime(1_700_000_001 if mtime is None else mtime)
-        return (1980, 1, 1, 0, 0, 0) if t.tm_year < 1980 else (2107, 12, 31, 23, 59, 58) if t.tm_year > 2107 else t[:6]
+    def zip(self, file, rows):
+        from bindery.functions import crypto, records
+        from bindery.functions.codecs import CODECS
+        from bindery.functions.fields import STORED_EXTENSIONS, ZIP_METHODS
+
+        directory, count = bytearray(), 0
+        for r in rows:
+            data, name, mode = self.content(r), r["path"].encode(), self.mode(r)
+            crc, extra = zlib.crc32(data), b""
+            stored = r["kind"] != "file" or not data or r["path"].rpartition(".")[2].lower() in STORED_EXTENSIONS
+            method = "stored" if stored else ZIP_FORMS[self.form]
+            if method == "lzma":
+                properties, packed = packed_lzma(data)
+                packed = b"\x09\x04" + struct.pack("<H", len(properties)) + properties + packed
+            else:
+                packed = CODECS[method](data)
+            flags = (0 if r["path"].isascii() else 0x800) | (2 if method == "lzma" else 0)
+            version = 63 if method in ("lzma", "zstd") else 46 if method == "bzip2" else 20
+            code, listed = ZIP_METHODS[method], crc
+            if self.password and r["kind"] != "directory":
+                flags, salt = flags | 1, crypto.entry_salt(self.secret, r["path"], crc)
+                if self.cipher == "aes":
+                    packed, kind, version = crypto.zip_aes(packed, self.password, salt), 1 if len(data) < 20 else 2, max(version, 51)
+                    extra, code, listed = records.zip_aes_extra(code, kind), 99, crc if kind == 1 else 0
+                else:
+                    packed = crypto.zip_stream(packed, self.password, crc, salt)
+            at, stamp = file.tell(), self.stamp(r)
+            file.write(records.zip_local(name, flags, code, stamp, listed, len(packed), len(data), extra, version) + packed)
+            directory += records.zip_central(name, flags, code, stamp, listed, len(packed), len(data), at, mode << 16 | (0x10 if r["kind"] == "directory" else 0), extra, version)
+            count += 1
+        at = file.tell()
+        file.write(directory + records.zip_end(count, len(directory), at))
+
+    def stamp(self, r) -> int:
+        t = time.gmtime(self.seconds(r))
+        y, mo, d, h, mi, s = (1980, 1, 1, 0, 0, 0) if t.tm_year < 1980 else (2107, 12, 31, 23, 59, 58) if t.tm_year > 2107 else t[:6]
+        return (y - 1980) << 25 | mo << 21 | d << 16 | h << 11 | mi << 5 | s // 2
+
+    def seven_zip(self, file, rows):
+        """Folders are filled in order, up to the block limits; a file is never split. The header comes last, the start is then set."""
+        from bindery.functions import records
+
+        file.write(bytes(32))
+        folders, files, block, sizes, crcs = [], [], bytearray(), [], []
+
+        def close():
+            if sizes:
+                coders, packed = folder_packed(bytes(block), SEVEN_ZIP_FORMS[self.form], self.filter)
+                file.write(packed)
+                folders.append({"coders": coders, "packed": len(packed), "sizes": [*sizes], "crcs": [*crcs]})
+                for x in (block, sizes, crcs):
+                    x.clear()
+
+        for r in rows:
+            data, mode = self.content(r), self.mode(r)
+            files.append({"name": r["path"].rstrip("/"), "attributes": mode << 16 | 0x8000 | (0x10 if r["kind"] == "directory" else 0x20), "filetime": (self.seconds(r) + 11_644_473_600) * 10**7, "has_stream": bool(data), "directory": r["kind"] == "directory"})
+            if data:
+                if sizes and (len(block) + len(data) > self.block_bytes or len(sizes) == self.block_files):
+                    close()
+                block += data
+                sizes.append(len(data))
+                crcs.append(zlib.crc32(data))
+        close()
+        header, end = records.seven_zip_header(folders, files), file.tell()
+        file.write(header)
+        file.seek(0)
+        file.write(records.seven_zip_start(header, end - 32))
+
+    def lha(self, file, rows):
+        """Members of level 2; one that its codec doesn't make smaller is stored."""
+        from bindery.functions import records
+        from bindery.functions.checksums import crc16_of
+        from bindery.functions.lh import static_huffman
+
+        for r in rows:
+            if r["kind"] == "symlink" or not 0 <= self.seconds(r) < 1 << 32:
+                raise ValueError(f"{r['path']!r}: kind or date can't be stored in this form")
+            data, mode, method = self.content(r), self.mode(r), LHA_FORMS[self.form]
+            packed = data if method == "lh0" else static_huffman(data, method)
+            if len(packed) >= len(data):
+                packed, method = data, "lh0"
+            if r["kind"] == "directory":
+                method = "lhd"
+            file.write(records.lha_header(f"-{method}-", r["path"], len(packed), len(data), self.seconds(r), crc16_of(data), mode) + packed)
+        file.write(b"\0")
 
     def tar(self, file, rows):
         codec = TAR_CODECS[self.form]
