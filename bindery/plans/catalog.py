@@ -403,7 +403,7 @@ def member_checksums(spark, sf):
 
 @query("SELECT conv_id, turn, nfc_normalize(text || chr(97) || chr(776)) AS name FROM conversations")
 def composed_names(spark, sf):
-    rows = read(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", F.lit("ä")).alias("name"))
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", F.lit("a\u0308")).alias("name"))
     return rows.select("conv_id", "turn", headers.nfc("name").alias("name"))
 
 
