@@ -1,0 +1,216 @@
+"""Groups of near copies: texts whose sets of five-word shingles have a Jaccard likeness of at least 0.8.
+
+1. Equal texts are one node. Every node has BANDS * ROWS minhashes; nodes that agree in all of a band
+   meet under a key and are loosely linked if LOOSE of all their minhashes agree. A pair of likeness 0.8
+   is missed with a chance of about 3 in 100,000, a likelier one with less.
+2. The connected components of the loose links are compared exactly, by the shingles of the texts; a link
+   is two sets of which the shared part is at least LIKE of the union. Components of these are the groups.
+
+A key or component with many nodes is dealt out as tile pairs, as in simhash. A comparison emits a
+spanning forest of the links it finds.
+
+Defined cases: words are as in simhash (ASCII case and white space); fewer words than a shingle are one
+shingle; null and wordless texts are one group; an empty table gives no rows; other columns are carried on.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from bindery.llm.common import batches, cut, shuffle_partitions, utf8
+from bindery.llm.components import components
+
+SIZE, BANDS, ROWS, LOOSE = 5, 20, 4, 0.6
+LIKE = (4, 5)
+KEY_TILE, TEXT_TILE = 1024, 512
+_RANDOM = np.random.default_rng(20240611)
+ODD = _RANDOM.integers(0, 2**64, SIZE + 2, dtype=np.uint64) | np.uint64(1)
+TURNS = _RANDOM.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+SHIFTS = _RANDOM.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
+BAND_ODD = _RANDOM.integers(0, 2**64, (BANDS, ROWS + 1), dtype=np.uint64) | np.uint64(1)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles, text by text, and how many each text has (repeated ones included)."""
+    words = [t.lower().split() for t in texts]  # bytes: A-Z and ASCII white space only
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = [w for ws in words for w in ws]
+    number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    digests = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))
+    values = digests[np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))] if flat else np.zeros(0, np.uint64)
+    counts = np.where(sizes >= SIZE, sizes - SIZE + 1, np.minimum(sizes, 1))
+    begins = np.cumsum(sizes) - sizes
+    starts = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    long = np.repeat(np.minimum(sizes, SIZE), counts)
+    values = np.append(values, np.zeros(SIZE, np.uint64))
+    out = ODD[SIZE] + long.astype(np.uint64) * ODD[SIZE + 1]
+    for j in range(SIZE):
+        out += np.where(j < long, values[starts + j], np.uint64(0)) * ODD[j]
+    return mixed(out), counts
+
+
+def minhashes(texts: list[bytes]) -> np.ndarray:
+    """A row of BANDS * ROWS minhashes (32 bits) for every text; of wordless texts all are the highest."""
+    hashes, counts = shingles(texts)
+    out = np.full((len(texts), BANDS * ROWS), 2**32 - 1, np.uint32)
+    some = counts > 0
+    if some.any():
+        begins = (np.cumsum(counts) - counts)[some]
+        for k in range(BANDS * ROWS):
+            out[some, k] = np.minimum.reduceat((hashes * TURNS[k] + SHIFTS[k]) >> np.uint64(32), begins)
+    return out
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """node, signature (the minhashes' bytes) and keys (one a band) of every row of docs(node, data)."""
+
+    def run(rows):
+        for batch in batches(rows, 1 << 20):
+            found = minhashes(batch.column(1).to_pylist())
+            wide = found.astype(np.uint64)
+            keys = np.stack([mixed((wide[:, k * ROWS : (k + 1) * ROWS] * BAND_ODD[k, :ROWS]).sum(1, dtype=np.uint64) + BAND_ODD[k, ROWS]) for k in range(BANDS)], 1)
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in found], pa.binary()), lists], names=["node", "signature", "keys"])
+
+    return docs.mapInArrow(run, "node long, signature binary, keys array<long>")
+
+
+def forest(n: int, near) -> list[tuple[int, int]]:
+    """(member, first of its group) of n rows; near(i, left) gives which of the rows not yet reached are linked to i."""
+    left, out = np.ones(n, bool), []
+    for first in range(n):
+        if not left[first]:
+            continue
+        left[first] = False
+        wave = [first]
+        for i in wave:
+            if not left.any():
+                return out
+            found = np.flatnonzero(left)[near(i, left)].tolist()
+            left[found] = False
+            wave += found
+            out += [(j, first) for j in found]
+    return out
+
+
+def loose_links(signatures: list[bytes]) -> list[tuple[int, int]]:
+    found = np.frombuffer(b"".join(signatures), np.uint32).reshape(len(signatures), -1)
+    return forest(len(found), lambda i, left: (found[left] == found[i]).sum(1) >= LOOSE * found.shape[1])
+
+
+def exact_links(texts: list[bytes]) -> list[tuple[int, int]]:
+    hashes, counts = shingles(texts)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    order = np.lexsort((owner, hashes))
+    hashes, owner = hashes[order], owner[order]
+    fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))[: len(order)]
+    hashes, owner = hashes[fresh], owner[fresh]
+    sizes = np.bincount(owner, minlength=len(texts))
+    # texts by shingle, and shingles by text
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
+    many = np.diff(np.append(first, len(hashes)))
+    code = np.repeat(np.arange(len(first)), many)[np.argsort(owner, kind="stable")]
+    begins = np.cumsum(sizes) - sizes
+
+    def near(i, left):
+        own = code[begins[i] : begins[i] + sizes[i]]
+        n = many[own]
+        at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(texts))[left]
+        return LIKE[1] * common >= LIKE[0] * (sizes[i] + sizes[left] - common)
+
+    return forest(len(texts), near)
+
+
+def compared(links):
+    """Edges (a, b) between nodes of the same cell, of rows (cell, node, value) sorted by cell."""
+
+    def run(rows):
+        key, nodes, values = None, [], []
+        found: list[tuple[int, int]] = []
+
+        def close():
+            own = {}
+            for node, value in zip(nodes, values, strict=True):
+                own.setdefault(node, value)
+            if len(own) > 1:
+                names = list(own)
+                found.extend((names[a], names[b]) for a, b in links(list(own.values())))
+            nodes.clear()
+            values.clear()
+
+        def edges():
+            out = pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+            found.clear()
+            return out
+
+        for batch in rows:
+            for cell, node, value in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if cell != key:
+                    close()
+                    key = cell
+                nodes.append(node)
+                values.append(value)
+            if found:
+                yield edges()
+        close()
+        if found:
+            yield edges()
+
+    return run
+
+
+def linked(members: DataFrame, values: DataFrame, tile: int, links) -> DataFrame:
+    """Edges between the nodes of members(key, node) that share a key, by links() of their values(node, value)."""
+    crowd = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    dealt = members.join(crowd, "key").withColumn("own", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select(cell.alias("cell"), "node").join(values, "node").select("cell", "node", "value")
+    return dealt.repartition(shuffle_partitions(members), "cell").sortWithinPartitions("cell").mapInArrow(compared(links), "a long, b long")
+
+
+def node_of(text_col: str) -> Column:
+    return F.xxhash64(utf8(text_col))
+
+
+def near_copies(docs: DataFrame, text_col="text") -> DataFrame:
+    """node, root of every text that has a near copy other than itself; node is node_of() the text."""
+    texts = docs.select(node_of(text_col).alias("node"), utf8(text_col).alias("value"))
+    own = cut(signed(texts).groupBy("node").agg(F.first("signature").alias("value"), F.first("keys").alias("keys")))
+    loose = components(linked(own.select(F.explode("keys").alias("key"), "node"), own.select("node", "value"), KEY_TILE, loose_links))
+    members = cut(loose.select(F.col("root").alias("key"), "node"))
+    once = texts.groupBy("node").agg(F.first("value").alias("value"))
+    return components(linked(members, once, TEXT_TILE, exact_links))
+
+
+def one_of_each(docs: DataFrame, roots: DataFrame, node: Column, id_col="doc_id") -> DataFrame:
+    """One row of docs for each group: the one of the smallest id (null ids last), of these the one of the smallest text hash.
+
+    roots(node, root) names the groups of more than one node; of rows that repeat an id and text, one is taken.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names, strict=True))
+    own = docs.withColumn("_node", node).toDF(*names, "_node")
+    ident = F.col(of[id_col])
+    keys = ["_none", "_id", "_node"]
+    own = own.withColumn("_none", ident.isNull()).withColumn("_id", F.coalesce(ident.cast("long"), F.lit(0)))
+    ranked = own.select(*keys).join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    first = ranked.groupBy("root").agg(F.min(F.struct(*keys)).alias("k")).select("k.*")
+    kept = own.dropDuplicates(keys).join(first, keys, "left_semi")
+    return kept.select(*[F.col(n).alias(c) for c, n in of.items()])
+
+
+def one_of_each_group(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of docs without near copies of rows with smaller ids, see one_of_each()."""
+    return one_of_each(docs, cut(near_copies(docs, text_col)), node_of(text_col), id_col)

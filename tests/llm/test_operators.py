@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from bindery.llm import html, licenses, mixing, pieces, quality, simhash, substrings, syncmers, tokens, topk
+from bindery.llm import copies, html, licenses, mixing, pieces, quality, simhash, substrings, syncmers, tokens, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -106,6 +106,54 @@ def test_simhash(docs, none):
     assert kept.count(3) == 1 and 5 not in kept and kept.count(15) == 1 and None in kept
 
 
+def grouped_by_brute_force(rows):
+    """The smallest (no id, id) and the text of one row for each group of near copies of rows (id, text)."""
+
+    def shingles(t):
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(a):
+                if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    groups = {}
+    for (i, t), r in zip(rows, root, strict=True):
+        groups.setdefault(r, []).append((i, t))
+    return groups.values()
+
+
+def edited_copies():
+    rnd = np.random.default_rng(8)
+    rows = []
+    for base in range(12):
+        own = [f"b{base}w{rnd.integers(1000)}" for _ in range(120)]
+        for copy in range(5):  # up to 2 changed words each: likeness from 1 to 0.7
+            text = list(own)
+            for at in rnd.choice(120, rnd.integers(0, 3), replace=False):
+                text[at] = f"new{rnd.integers(10**6)}"
+            rows.append((base * 5 + copy, " ".join(text)))
+    return rows
+
+
+def test_near_dedup_stage_takes_edited_copies(spark):
+    import corpus_pipeline
+
+    rows = [*edited_copies(), *TEXTS]
+    rows = [(i if i is None or k < 60 else i + 1000, t) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    groups = grouped_by_brute_force(rows)
+    assert 12 < len(groups) < 60
+    want = [min((i is None, i or 0) for i, _ in g) for g in groups]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(want)
+    assert copies.one_of_each_group(docs.limit(0)).collect() == []
+
+
 def test_bit_sliced_links_equal_brute_force():
     rnd = np.random.default_rng(2)
     base = rnd.integers(0, 2**64, 60, dtype=np.uint64)
