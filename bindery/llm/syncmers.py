@@ -6,10 +6,12 @@ depends on these words alone, so an edit changes only the anchors that touch it.
 K - 1 empty words on either side, so short texts have anchors too and the frame marks start and end.
 Texts of up to SHORT characters have, besides, the anchors of their characters, taken in the same way.
 
-A fingerprint is the SIZE smallest of the distinct anchors' hashes, each with the word position of its
-first place. Likeness is estimated on the SIZE smallest hashes of both (bottom-k): the share of them
-that both hold at matching places, that is within SLACK words of the median shift of all common anchors.
-Equal fingerprints have likeness 1.
+A fingerprint is the SIZE smallest of the distinct word anchors' hashes, each with the word position of its
+first place, and of short texts a second such sketch of the character anchors. Likeness is estimated on one
+kind of sketch, that of characters if both texts have it, else that of words, so lengths on both sides of
+SHORT compare like with like. It is taken from the SIZE smallest hashes of both (bottom-k): the share of
+them that both hold at matching places, that is within SLACK tokens of the median shift of all common
+anchors. Equal fingerprints have likeness 1.
 
 Defined cases: null text is empty; texts without words share one fingerprint; the next document is the
 one with the next smaller id (of equal ids: the next text in order, null ids last), after the last the
@@ -45,22 +47,26 @@ def marked(tokens: Column) -> Column:
     return F.filter(let(runs, closed), lambda x: x.isNotNull()).cast(ENTRY)
 
 
-def anchors(text: Column) -> Column:
+def sketch(found: Column) -> Column:
     """hash and first position of the SIZE smallest distinct anchors, by hash."""
-    found = marked(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))
-    letters = F.when(F.length(text).between(1, SHORT), marked(F.split(text, ""))).otherwise(F.array().cast(ENTRY))
 
     def first_places(a: Column) -> Column:
         fresh = F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["hash"] != x["hash"]))
         return F.slice(fresh, 1, SIZE)
 
-    return let(F.sort_array(F.concat(found, letters)), first_places).cast(ENTRY)
+    return let(F.sort_array(found), first_places).cast(ENTRY)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 of two arrays of entries, see above."""
+def anchors(text: Column) -> Column:
+    """The sketches of a text: words, and letters (empty but for short texts that have words)."""
+    words = sketch(marked(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))))
+    letters = F.when(F.length(text).between(1, SHORT) & F.regexp_like(text, F.lit(WORD)), sketch(marked(F.split(text, "")))).otherwise(F.array().cast(ENTRY))
+    return F.struct(words.alias("words"), letters.alias("letters"))
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """0 to 1 of two pairs of sketches, see above."""
+
     def shared(x):
         ha, hb = F.transform(x["a"], lambda e: e["hash"]), F.transform(x["b"], lambda e: e["hash"])
         pool = F.slice(F.sort_array(F.array_union(ha, hb)), 1, SIZE)
@@ -72,12 +78,18 @@ def likeness(a: Column, b: Column) -> Column:
         near = let(middle, lambda m: F.size(F.filter(s["shifts"], lambda d: F.abs(d - m) <= SLACK)))
         return F.when(F.size(s["shifts"]) == 0, F.lit(0.0)).otherwise(near / s["n"])
 
-    return F.when(a == b, F.lit(1.0)).otherwise(let(let(F.struct(a.alias("a"), b.alias("b")), shared), score))
+    short = (F.size(a["letters"]) > 0) & (F.size(b["letters"]) > 0)
+    alike = F.struct(F.when(short, a["letters"]).otherwise(a["words"]).alias("a"), F.when(short, b["letters"]).otherwise(b["words"]).alias("b"))
+    return F.when(a == b, F.lit(1.0)).otherwise(let(let(alike, shared), score))
 
 
 def spelled(a: Column) -> Column:
-    """An array of entries as a string: hash.position in hexadecimal, joined by commas."""
-    return F.array_join(F.transform(a, lambda e: F.concat(F.lower(F.hex(e["hash"])), F.lit("."), F.lower(F.hex(e["at"].cast("long"))))), ",")
+    """Sketches as a string: hash.position in hexadecimal, joined by commas; those of letters follow a semicolon."""
+
+    def one(x):
+        return F.array_join(F.transform(x, lambda e: F.concat(F.lower(F.hex(e["hash"])), F.lit("."), F.lower(F.hex(e["at"].cast("long"))))), ",")
+
+    return F.concat(one(a["words"]), F.when(F.size(a["letters"]) > 0, F.concat(F.lit(";"), one(a["letters"]))).otherwise(F.lit("")))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -109,7 +121,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, fingerprint (string) and marks (array of entries) of every row."""
+    """doc_id, fingerprint (string) and marks (its sketches) of every row."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), anchors(F.coalesce(F.col(text_col), F.lit(""))).alias("marks")).withColumn("fingerprint", spelled(F.col("marks")))
 
 

@@ -240,6 +240,17 @@ def test_fingerprints(docs, none):
     assert syncmers.compared_with_next(none).collect() == []
 
 
+def test_fingerprints_of_texts_on_both_sides_of_the_short_length(spark):
+    rnd = np.random.default_rng(5)
+    text = " ".join("".join(rnd.choice(list("abcdefgh"), rnd.integers(2, 9))) for _ in range(80))
+    pairs = [(201, 200), (205, 198), (199, 198), (240, 239), (200, 200)]
+    rows = spark.createDataFrame([(text[:m], text[:n]) for m, n in pairs], "a string, b string")
+    got = [r.x for r in rows.select(syncmers.likeness(syncmers.anchors(F.col("a")), syncmers.anchors(F.col("b"))).alias("x")).collect()]
+    assert min(got) > 0.6 and got[4] == 1
+    blank = spark.createDataFrame([(1, ""), (2, " "), (3, None), (4, " \t\n ")], "doc_id long, text string")
+    assert len({r.fingerprint for r in syncmers.fingerprints(blank).collect()}) == 1
+
+
 def test_pieces(docs, none):
     from sentencepiece import SentencePieceProcessor
 
