@@ -12,8 +12,10 @@ articles among menus, headers, footers, sidebars, notices, adverts, forms and re
 mark-up styles, with the truth known for every element.
 
 Text: character references are decoded, inline elements don't break words, blocks and <br> do, white
-space becomes one space, blocks are joined by one space in page order. Scripts, styles, head, comments
-and other raw-text elements hold no text.
+space becomes one space, blocks are joined by one space in page order. Scripts, styles, comments and
+other raw-text elements hold no text. The head, svg, math, object, video, audio, canvas and template are
+left out with all they hold: a head ends at the first tag or text that cannot be in it, a self-closed
+element at once, an open svg or math at a tag that is HTML, the others where their parent ends.
 
 Defined cases: null or empty html gives an empty text; a page without tags is one block, all of it kept;
 unclosed and misnested tags are closed where their parent ends, end tags without a start are ignored;
@@ -42,10 +44,17 @@ CLOSES_P = frozenset("address article aside blockquote center details div dl fie
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "thead": ("tbody", "thead", "tr", "td", "th")}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "thead": ("table",), "option": ("select",)}
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template|iframe|xmp|noembed|noframes|svg|math|head|object|video|audio|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)",
     re.I | re.S,
 )
+#: Elements whose content is no mark-up: it runs to their end tag or else to the end of the page.
+RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in "script style title textarea noscript iframe xmp noembed noframes".split()}
+#: Ordinary elements that are left out with all they hold.
+LEFT_OUT = frozenset("head svg math object video audio canvas template".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript noframes template head html".split())
+#: Start tags that end an open svg or math, but not in their elements that may hold HTML.
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article aside footer header main nav section".split())
+HOLDS_HTML = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TAGS = [("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "button", "select", "label", "input", "option"), ("article",), ("main",), ("section",), ("div", "center"), ("p", "blockquote", "pre"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dd", "dt"), ("table", "tbody", "tr", "td", "th"), ("figure", "figcaption", "details"), ("dialog",)]
 KIND = {t: i for i, ts in enumerate(TAGS) for t in ts}
@@ -80,27 +89,65 @@ class Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.groups = ["#"], [-1], [0]
         self.items: list[tuple[int, str | None]] = []  # element, text (None: a break)
-        stack, at = [0], 0
-        for m in TOKEN.finditer(html):
+        stack, at, headed = [0], 0, False
+        out: list[str] = []  # the open element that is left out, and those in it
+        while m := TOKEN.search(html, at):
             if m.start() > at:
-                self.items.append((stack[-1], html[at : m.start()]))
+                self.text_run(stack, out, html[at : m.start()])
             at = m.end()
-            name = m[3]
+            name = m[2]
             if name is None:
                 continue
             name = name.lower()
-            if m[2]:
-                self.close(stack, name)
+            if m[1]:
+                if name in out:
+                    del out[len(out) - 1 - out[::-1].index(name) :]
+                elif not out or self.closes(stack, name):
+                    out.clear()
+                    self.close(stack, name)
+                continue
+            closed = m[3].endswith("/")
+            foreign = bool(out) and out[0] in ("svg", "math") and not HOLDS_HTML.intersection(out)
+            if name in RAW:
+                if not (foreign and closed):
+                    end = RAW[name].search(html, at)
+                    at = end.end() if end else len(html)
+                    if out == ["head"] and name not in IN_HEAD:
+                        out.clear()
+                continue
+            if foreign and name in ENDS_FOREIGN or out == ["head"] and name not in IN_HEAD:
+                out.clear()
+            if name == "head" and (headed or out or self.tag[stack[-1]] not in ("#", "html")):
+                continue  # a page has one head, before all else
+            headed = headed or name in ("head", "body")
+            if out or name in LEFT_OUT:
+                if not closed and name not in VOID and not (out == ["head"] and name in ("head", "html")):
+                    out.append(name)
                 continue
             if name in VOID:
                 if name not in ("wbr", "img", "input"):
                     self.items.append((stack[-1], None))
                 continue
-            self.open(stack, name, m[4])
-            if m[4].endswith("/") and name not in INLINE:  # self-closed
+            self.open(stack, name, m[3])
+            if closed and name not in INLINE:  # self-closed
                 self.close(stack, name)
         if at < len(html):
-            self.items.append((stack[-1], html[at:]))
+            self.text_run(stack, out, html[at:])
+
+    def text_run(self, stack: list[int], out: list[str], text: str) -> None:
+        if out == ["head"] and not text.isspace():
+            out.clear()  # text ends an open head
+        if not out:
+            self.items.append((stack[-1], text))
+
+    def closes(self, stack: list[int], name: str) -> bool:
+        """Whether an end tag closes an open element."""
+        for i in reversed(stack[1:]):
+            if self.tag[i] == name:
+                return True
+            if name in INLINE and self.tag[i] not in INLINE:
+                return False
+        return False
 
     def open(self, stack: list[int], name: str, attributes: str) -> None:
         if name in CLOSES_P:

@@ -214,6 +214,23 @@ def test_html(spark):
     assert got == [(1, want, len(want)), (2, "", 0), (3, "", 0), (4, "plain <text>", 12), (1, want, len(want))]
 
 
+@pytest.mark.parametrize("source", [
+    "<html><head><title>t</title><body>{}",
+    "<html><head><meta charset=x><title>t</title>{}",
+    "<head><script>if (a < b) '</head>'</script><style>p</style><link rel=x>{}",
+    "<body><p>Intro</p>{}".replace("<p>Intro</p>", "<svg width=1/><math/>"),
+    "<body><svg><title/><path d=x><g></svg>{}",
+    "<body><svg><path d='x'>{}",
+    "<body><div><object data=x><video src=y><p>none</div>{}",
+    "<body><object><object>none</object>none</object><template><template>none</template>none</template><canvas>none</canvas>{}",
+    "<body><figure><audio src=x></figure>{}<head>",
+])
+def test_html_keeps_what_follows_elements_that_are_left_out(source):
+    body = "<article><p>One sentence of the article.</p><p>And another one, a little longer.</p></article>"
+    page = html.Page(source.format(body))
+    assert page.text(np.ones(len(page.tag), bool)) == "One sentence of the article. And another one, a little longer."
+
+
 def test_html_on_unseen_written_pages():
     model, hit, out, missed = html.model(), 0, 0, 0
     for source in html.pages(120, seed=5):
