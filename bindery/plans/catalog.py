@@ -377,6 +377,13 @@ def byte_histogram(spark, sf):
     return read(spark, sf, "documents").select(F.explode(F.split("source", "")).alias("c")).filter("c <> ''").groupBy(F.ascii("c").alias("byte")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH b AS (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents)
+SELECT ((instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1)::INT AS byte, count(*) AS n FROM b GROUP BY byte""")
+def text_byte_histogram(spark, sf):
+    """The UTF-8 bytes of the whole texts; byte_histogram counts the characters of the short source names."""
+    return checksums.byte_counts(read(spark, sf, "documents"), "text")
+
+
 @query()
 def crc32_merged(spark, sf):
     chunks = read(spark, sf, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("data"))

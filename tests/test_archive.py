@@ -193,3 +193,18 @@ def test_solid_blocks(spark):
     files = spark.createDataFrame([("a", i, s) for i, s in enumerate([5, 0, 6, 20, 1, 1, 1])], "k string, ord long, size long")
     got = {r.ord: r.block for r in editing.solid_blocks(files, ["k"], 10, 2).collect()}
     assert got == {0: 0, 1: None, 2: 1, 3: 2, 4: 3, 5: 3, 6: 4}
+
+
+def test_byte_counts(spark):
+    texts = ["aé", None, "", "\x00😀a"]
+    want = {}
+    for b in "".join(t or "" for t in texts).encode():
+        want[b] = want.get(b, 0) + 1
+    got = checksums.byte_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()
+    assert {r.byte: r.n for r in got} == want and len(got) == len(want)
+
+
+def test_text_byte_histogram_counts_every_byte_of_the_texts(spark):
+    got = catalog.QUERIES["text_byte_histogram"](spark, SF).collect()
+    size = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("sum(octet_length(text))").first()[0]
+    assert sum(r.n for r in got) == size and max(r.byte for r in got) < 256
