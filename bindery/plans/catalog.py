@@ -390,10 +390,22 @@ def crc32_merged(spark, sf):
     return checksums.merged_crc32(chunks, ["conv_id"], "turn", "data")
 
 
+def payloads(spark, sf, name, ident):
+    return read(spark, sf, name).select(ident, F.col("text").cast("binary").alias("data"))
+
+
+def in_codecs(rows, ident):
+    return rows.select(ident, F.octet_length("data").alias("size"), *[F.octet_length(codecs.encoded("data", c)).alias(c) for c in codecs.CODECS])
+
+
 @query()
 def codec_sizes(spark, sf):
-    rows = read(spark, sf, "benchmark").select("item_id", F.col("text").cast("binary").alias("data"))
-    return rows.select("item_id", F.octet_length("data").alias("size"), *[F.octet_length(codecs.encoded("data", c)).alias(c) for c in codecs.CODECS])
+    return in_codecs(payloads(spark, sf, "benchmark", "item_id"), "item_id")
+
+
+@query()
+def document_codec_sizes(spark, sf):
+    return in_codecs(payloads(spark, sf, "documents", "doc_id"), "doc_id")
 
 
 @query()
@@ -402,10 +414,18 @@ def solid_packing(spark, sf):
     return editing.solid_blocks(rows, ["archive"], 65536, 50)
 
 
+def checked(rows, ident):
+    return rows.select(ident, F.crc32("data").alias("crc32"), checksums.crc16("data").alias("crc16"), checksums.xxh32("data").alias("xxh32"), checksums.xxh64("data").alias("xxh64"), checksums.byte_sum("data").alias("byte_sum"))
+
+
 @query()
 def member_checksums(spark, sf):
-    rows = read(spark, sf, "benchmark").select("item_id", F.col("text").cast("binary").alias("data"))
-    return rows.select("item_id", F.crc32("data").alias("crc32"), checksums.crc16("data").alias("crc16"), checksums.xxh32("data").alias("xxh32"), checksums.xxh64("data").alias("xxh64"), checksums.byte_sum("data").alias("byte_sum"))
+    return checked(payloads(spark, sf, "benchmark", "item_id"), "item_id")
+
+
+@query()
+def document_checksums(spark, sf):
+    return checked(payloads(spark, sf, "documents", "doc_id"), "doc_id")
 
 
 @query("SELECT conv_id, turn, nfc_normalize(text || chr(97) || chr(776)) AS name FROM conversations")
@@ -414,22 +434,40 @@ def composed_names(spark, sf):
     return rows.select("conv_id", "turn", headers.nfc("name").alias("name"))
 
 
-@query("""SELECT item_id, (strlen(text) + (16 - strlen(text) % 16) % 16)::BIGINT AS cbc_bytes, strlen(text)::BIGINT + 28 AS aes_bytes,
-  strlen(text)::BIGINT + 12 AS stream_bytes, true AS same FROM benchmark""")
-def encrypted_entries(spark, sf):
+def encrypted(rows, ident):
     """Entries under the ZIP stream cipher, then AES, then plain again; and their CBC form."""
-    rows = read(spark, sf, "benchmark").select("item_id", F.col("text").cast("binary").alias("data")).withColumn("crc", F.crc32("data"))
-    rows = rows.withColumn("salt", F.unhex(F.substring(F.sha2(F.concat(F.col("item_id").cast("string"), F.lit("salt")), 256), 1, 32)))
+    rows = rows.withColumn("crc", F.crc32("data"))
+    rows = rows.withColumn("salt", F.unhex(F.substring(F.sha2(F.concat(F.col(ident).cast("string"), F.lit("salt")), 256), 1, 32)))
     stream, aes = ("stream", "one"), ("aes", "two")
     rows = rows.withColumn("a", crypto.reencrypted("data", "crc", "salt", None, stream))
     rows = rows.withColumn("b", crypto.reencrypted("a", "crc", "salt", stream, aes)).withColumn("c", crypto.reencrypted("b", "crc", "salt", aes, None))
     cbc = crypto.cbc_encrypted(F.col("data"), F.unhex(F.sha2(F.lit("key"), 256)), F.col("salt"))
     size = lambda c: F.octet_length(c).cast("long")
-    return rows.select("item_id", size(cbc).alias("cbc_bytes"), size("b").alias("aes_bytes"), size("a").alias("stream_bytes"), (F.col("c") == F.col("data")).alias("same"))
+    return rows.select(ident, size(cbc).alias("cbc_bytes"), size("b").alias("aes_bytes"), size("a").alias("stream_bytes"), (F.col("c") == F.col("data")).alias("same"))
+
+
+@query("""SELECT item_id, (strlen(text) + (16 - strlen(text) % 16) % 16)::BIGINT AS cbc_bytes, strlen(text)::BIGINT + 28 AS aes_bytes,
+  strlen(text)::BIGINT + 12 AS stream_bytes, true AS same FROM benchmark""")
+def encrypted_entries(spark, sf):
+    return encrypted(payloads(spark, sf, "benchmark", "item_id"), "item_id")
+
+
+@query("""SELECT doc_id, (strlen(text) + (16 - strlen(text) % 16) % 16)::BIGINT AS cbc_bytes, strlen(text)::BIGINT + 28 AS aes_bytes,
+  strlen(text)::BIGINT + 12 AS stream_bytes, true AS same FROM documents""")
+def encrypted_documents(spark, sf):
+    return encrypted(payloads(spark, sf, "documents", "doc_id"), "doc_id")
+
+
+def in_filters(rows, ident):
+    """Filters keep every length."""
+    return rows.select(ident, *[F.octet_length(codecs.filtered("data", k)).cast("long").alias(f"{k}_bytes") for k in codecs.FILTERS])
 
 
 @query("SELECT item_id, strlen(text)::BIGINT AS delta_bytes, strlen(text)::BIGINT AS x86_bytes, strlen(text)::BIGINT AS arm64_bytes FROM benchmark")
 def filtered_sizes(spark, sf):
-    """Filters keep every length."""
-    rows = read(spark, sf, "benchmark").select("item_id", F.col("text").cast("binary").alias("data"))
-    return rows.select("item_id", *[F.octet_length(codecs.filtered("data", k)).cast("long").alias(f"{k}_bytes") for k in codecs.FILTERS])
+    return in_filters(payloads(spark, sf, "benchmark", "item_id"), "item_id")
+
+
+@query("SELECT doc_id, strlen(text)::BIGINT AS delta_bytes, strlen(text)::BIGINT AS x86_bytes, strlen(text)::BIGINT AS arm64_bytes FROM documents")
+def filtered_document_sizes(spark, sf):
+    return in_filters(payloads(spark, sf, "documents", "doc_id"), "doc_id")

@@ -208,3 +208,12 @@ def test_text_byte_histogram_counts_every_byte_of_the_texts(spark):
     got = catalog.QUERIES["text_byte_histogram"](spark, SF).collect()
     size = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("sum(octet_length(text))").first()[0]
     assert sum(r.n for r in got) == size and max(r.byte for r in got) < 256
+
+
+def test_payload_operators_take_whole_documents(spark):
+    docs = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert max(map(len, docs.values())) > 10_000
+    sizes = catalog.QUERIES["document_codec_sizes"](spark, SF).select("doc_id", "size", "stored", "zlib", "bzip2").collect()
+    assert {r.doc_id: (r.size, r.stored, r.zlib, r.bzip2) for r in sizes} == {i: (len(d), len(d), len(zlib.compress(d, 6)), len(bz2.compress(d, 9))) for i, d in docs.items()}
+    sums = catalog.QUERIES["document_checksums"](spark, SF).select("doc_id", "crc32", "byte_sum").collect()
+    assert {r.doc_id: r.crc32 for r in sums} == {i: zlib.crc32(d) for i, d in docs.items()}
