@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bindery.functions import checksums, codecs, crypto, fields
@@ -384,6 +384,14 @@ def text_byte_histogram(spark, sf):
     return checksums.byte_counts(read(spark, sf, "documents"), "text")
 
 
+@query()
+def progress_steps(spark, sf):
+    """Turns of a conversation as bytes done, thinned to steps of 512 bytes."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    events = read(spark, sf, "conversations").select("conv_id", "turn", F.sum(F.octet_length("text").cast("long")).over(by).alias("done"))
+    return progress.steps(events, "conv_id", "turn", "done", 512)
+
+
 @query()
 def crc32_merged(spark, sf):
     chunks = read(spark, sf, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("data"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,39 @@ def totals(events: DataFrame, ts: str, keys: list[str], value: str, window: str
     return rows.groupBy(F.window(ts, window).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 
+def thinned(step: int):
+    """Of rows (key, order, done) sorted by all of them: each key's first, those at least step past the last one kept, and its last."""
+
+    def run(batches):
+        begun, key, notified, held = False, None, 0, None  # held: the row before, if it is not kept so far
+        for batch in batches:
+            keep: list[int] = []
+            for i, (k, d) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if not begun or k != key:
+                    if i and keep[-1:] != [i - 1]:
+                        keep.append(i - 1)
+                    elif not i and held is not None:
+                        yield held
+                    begun, key, notified = True, k, d or 0
+                    keep.append(i)
+                elif d is not None and d - notified >= step:
+                    keep.append(i)
+                    notified = d
+            if batch.num_rows:
+                held = None if keep[-1:] == [batch.num_rows - 1] else batch.slice(batch.num_rows - 1, 1)
+            if keep:
+                yield batch.take(pa.array(keep, pa.int64()))
+        if held is not None:
+            yield held
+
+    return run
+
+
 def steps(events: DataFrame, key: str, order: str, done: str, step: int = 4 << 20) -> DataFrame:
-    """The first event of every started step of `step` bytes, and each key's last one."""
-    cell = F.floor(F.col(done) / step)
-    return events.groupBy(key, cell.alias("step")).agg(F.min_by(F.struct(order, done), F.struct(order, done)).alias("e")).select(key, "step", f"e.{order}", f"e.{done}")
+    """Each key's first event, then, in order, those at least `step` bytes past the last one kept, and its last one.
+
+    step is the number of whole steps done. A key's events pass through one task, sorted, but are never held together.
+    """
+    rows = events.select(key, order, done)
+    kept = rows.repartition(key).sortWithinPartitions(key, order, done).mapInArrow(thinned(step), rows.schema)
+    return kept.select(key, F.floor(F.col(done) / step).alias("step"), order, done)

@@ -18,6 +18,7 @@ from bindery.operators import editing, ranges
 from bindery.plans import catalog
 from bindery.plans.editor import Editor, EditError
 from bindery.sources import sinks
+from bindery.streaming import progress
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -217,3 +218,35 @@ def test_payload_operators_take_whole_documents(spark):
     assert {r.doc_id: (r.size, r.stored, r.zlib, r.bzip2) for r in sizes} == {i: (len(d), len(d), len(zlib.compress(d, 6)), len(bz2.compress(d, 9))) for i, d in docs.items()}
     sums = catalog.QUERIES["document_checksums"](spark, SF).select("doc_id", "crc32", "byte_sum").collect()
     assert {r.doc_id: r.crc32 for r in sums} == {i: zlib.crc32(d) for i, d in docs.items()}
+
+
+def by_greedy_steps(events, step):
+    """(key, order, done) kept of each key's sorted events."""
+    out = []
+    for key in {e[0] for e in events}:
+        own = sorted(e for e in events if e[0] == key)
+        kept = [own[0]]
+        for e in own[1:]:
+            if e[2] - kept[-1][2] >= step:
+                kept.append(e)
+        out += kept + ([own[-1]] if kept[-1] != own[-1] else [])
+    return sorted(out)
+
+
+def test_progress_steps(spark):
+    rnd = random.Random(4)
+    events = []
+    for key in range(20):
+        done = 0
+        for k in range(rnd.randrange(1, 60)):
+            events.append((key, k, done))
+            done += rnd.choice([1, 5, 30, 99, 100, 250])
+    df = spark.createDataFrame(events, "k long, o int, d long")
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = progress.steps(df, "k", "o", "d", 100).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted((r.k, r.o, r.d) for r in got) == by_greedy_steps(events, 100)
+    assert all(r.step == r.d // 100 for r in got) and progress.steps(df.limit(0), "k", "o", "d").collect() == []
+    turns = catalog.QUERIES["progress_steps"](spark, SF).collect()
+    assert len({r.conv_id for r in turns}) == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
