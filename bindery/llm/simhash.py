@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bindery.llm import copies
 from bindery.llm.common import batches, cut, shuffle_partitions, utf8
 from bindery.llm.components import components
 
@@ -177,12 +178,8 @@ def simhash_groups(docs: DataFrame, id_col="doc_id", text_col="text", size: int
 
 
 def one_of_each_group(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs whose id is their group's component_id; of rows that repeat an id and text, one."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    own = docs.toDF(*names)
-    ident, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    groups = simhash_groups(own, ident, text, size, radius)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = own.join(first, own[ident].eqNullSafe(first["_id"]), "left_semi")
-    kept = kept.withColumn("_text", F.xxhash64(text)).dropDuplicates([ident, "_text"])
-    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    """One row of docs for each group, chosen as in copies.one_of_each()."""
+    own = cut(fingerprints(docs.select(copies.node_of(text_col).alias("node"), text_col), "node", text_col, size).distinct())
+    roots = components(link(own.select("fp").distinct(), radius)).select(F.col("node").alias("fp"), "root")
+    named = own.join(roots, "fp", "left").select(F.col("doc_id").alias("node"), F.coalesce("root", "fp").alias("root"))
+    return copies.one_of_each(docs, named, copies.node_of(text_col), id_col)

@@ -60,7 +60,7 @@ STAGES = [
     ("sentencepiece", encoding_stage),
 ]
 
-#: No SQL: fingerprints, hash thresholds and pieces aren't expressible; tests hold run() against brute force.
+#: No SQL: fingerprints, hash thresholds and pieces aren't expressible; tests hold the near-copy stage against brute force, run() only against its stages run one by one.
 ORACLE_SQL = None
 
 

@@ -154,6 +154,14 @@ def test_near_dedup_stage_takes_edited_copies(spark):
     assert copies.one_of_each_group(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("operator", [simhash, copies])
+def test_one_of_each_group_with_null_and_repeated_ids(spark, operator):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, c), (None, c)]
+    kept = operator.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (2, b), (None, c)], key=str)
+
+
 def test_bit_sliced_links_equal_brute_force():
     rnd = np.random.default_rng(2)
     base = rnd.integers(0, 2**64, 60, dtype=np.uint64)
