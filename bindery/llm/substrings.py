@@ -7,7 +7,8 @@ name, on a left or a right side, and a left symbol followed by a right one becom
 there is a boundary between two symbols depends on these two alone, so equal word sequences are cut
 alike but for their edges: of 13 equal words, a boundary of the second round lies after word 2 to 6
 (a round-1 boundary after word 1 or 2, symbols of at most two words after it, and of two such symbols
-that merge the second cannot merge on). Runs of a token or period share one name however long they are.
+that merge the second cannot merge on). Runs are not named, nor are symbols of the second round: the
+rounds only place boundaries, and what step 1 names are the words after these, not high-level symbols.
 
 1. The `window - 6` words after every second-round boundary are named; names found in two documents
    reveal candidates. Batches of documents send their distinct names, six bytes each, to buckets, and
