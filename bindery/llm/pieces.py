@@ -12,8 +12,9 @@ word into a following space, so units are independent. Characters that are no pi
 
 Defined cases: null text counts as empty and has no pieces; U+2581 in a text is a space, as in the
 library; decoding undoes encoding but for that; decoding drops control ids and turns bytes that are no
-UTF-8 into U+FFFD; repeated rows give repeated rows; an empty table gives no rows; other columns are
-ignored.
+UTF-8 into U+FFFD; repeated rows give repeated rows; an empty table gives no rows. encode() and decode()
+carry the other columns on, whatever their names; coded() ignores them. Units of any length are taken,
+one of a single character or of a whole text without spaces.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bindery.llm.common import batches
 
 SPACE, END, NONE = "▁", 0x110000, 1 << 30
 CHUNK = 3 << 17  # characters of one suffix array
 MEMO = 700_000  # units a task remembers, about 160 MB
+LONG_UNIT, MEMO_BYTES = 48, 160 << 20  # units of more characters are forgotten after their batch
 UNITS = re.compile(" *[^ ]+| +").findall
 
 
@@ -99,7 +102,7 @@ class Model:
         rank, step, n = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1, len(codes)
         while True:
             after = np.zeros(n, np.int64)
-            after[: n - step] = rank[step:] + 1
+            after[: max(0, n - step)] = rank[step:] + 1
             key = rank * (n + 1) + after
             order = np.argsort(key)
             step *= 2
@@ -214,11 +217,12 @@ class Model:
 class Coder:
     """Encodes texts by batches; a memo of units with ids (as int32 bytes), their number and their decoded text.
 
-    One is made for every task and goes with it, so a reused worker holds no more than the model.
+    One is made for every task and goes with it, so a reused worker holds no more than the model. The memo is bounded by
+    units and by bytes; long units, such as texts without spaces, are held for their batch only.
     """
 
     def __init__(self, model: Model, spell: bool = False):
-        self.model, self.spell = model, spell
+        self.model, self.spell, self.bytes = model, spell, 0
         self.at: dict[str, int] = {}
         self.ids: list[bytes] = []
         self.count: list[int] = []
@@ -227,14 +231,18 @@ class Coder:
 
     def units(self, texts: list[str]):
         """Numbers in the memo of each text's units, text by text; a batch's units are never all held as strings."""
-        if len(self.at) > MEMO:
+        if len(self.at) > MEMO or self.bytes > MEMO_BYTES:
             self.__init__(self.model, self.spell)
         split = lambda t: UNITS(" " + t.replace(SPACE, " ")) if t else []
         new: set[str] = set()
         for t in texts:
             new.update(split(t))
-        new = sorted(new - self.at.keys())
+        new = sorted(new - self.at.keys(), key=lambda u: (len(u) > LONG_UNIT, u))
+        kept = len(self.ids)
         for u, ids in zip(new, self.model.encode_units(new), strict=True):
+            if len(u) <= LONG_UNIT:
+                kept += 1
+                self.bytes += 120 + 4 * len(u) + 10 * len(ids)
             self.at[u] = len(self.ids)
             self.ids.append(array("i", ids).tobytes())
             self.count.append(len(ids))
@@ -245,6 +253,10 @@ class Coder:
         look_up = self.at.__getitem__
         for t in texts:
             yield list(map(look_up, split(t)))
+        for u in new[len(new) - (len(self.ids) - kept) :]:
+            del self.at[u]
+        for held in (self.ids, self.count, self.text, self.spelled):
+            del held[kept:]
 
 
 @functools.lru_cache(2)
@@ -252,36 +264,49 @@ def model_of(path: str) -> Model:
     return Model(path)
 
 
+def with_column(docs: DataFrame, source: str, name: str, kind: T.DataType, of) -> DataFrame:
+    """All columns of docs but one called `name`, in their order, and `name`: of(values of source, batch by batch).
+
+    Columns travel under numbers, so no name of the input can clash with one of the operator.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    kept = [(n, c) for n, c in zip(names, docs.columns, strict=True) if c != name]
+    rows = own.select(*[n for n, _ in kept], F.col(names[docs.columns.index(source)]).alias("source"))
+
+    def run(batches_):
+        convert = of()
+        for batch in batches(batches_):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], convert(batch.column(batch.num_columns - 1).to_pylist())], names=[*batch.schema.names[:-1], "result"])
+
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("result", kind)]))
+    return out.toDF(*[c for _, c in kept], name)
+
+
 def encode(docs: DataFrame, model_path: str, text_col="text", ids_col="piece_ids") -> DataFrame:
-    """All columns of docs and the piece ids of its text."""
+    """All columns of docs and the piece ids of its text; a column that has the name of ids_col is replaced."""
 
-    def run(rows):
+    def of():
         own = Coder(model_of(model_path))
-        for batch in batches(rows):
-            coded_ = [b"".join(map(own.ids.__getitem__, units)) for units in own.units([t or "" for t in batch.column("_t").to_pylist()])]
+
+        def convert(texts):
+            coded_ = [b"".join(map(own.ids.__getitem__, units)) for units in own.units([t or "" for t in texts])]
             ends = np.cumsum([0, *(len(x) // 4 for x in coded_)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded_), np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], ids_col])
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded_), np.int32)))
 
-    rest = docs.drop(ids_col)
-    from pyspark.sql import types as T
+        return convert
 
-    return rest.withColumn("_t", F.col(text_col)).mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return with_column(docs, text_col, ids_col, T.ArrayType(T.IntegerType()), of)
 
 
 def decode(docs: DataFrame, model_path: str, ids_col="piece_ids", text_col="decoded") -> DataFrame:
-    """All columns of docs and the text of its ids; null ids: null."""
+    """All columns of docs and the text of its ids (null ids: null); a column that has the name of text_col is replaced."""
 
-    def run(rows):
+    def of():
         model = model_of(model_path)
-        for batch in batches(rows):
-            texts = [None if ids is None else model.decode(ids).removeprefix(" ") for ids in batch.column("_i").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], text_col])
-
-    rest = docs.drop(text_col)
-    from pyspark.sql import types as T
+        return lambda lists: pa.array([None if ids is None else model.decode(ids).removeprefix(" ") for ids in lists], pa.string())
 
-    return rest.withColumn("_i", F.col(ids_col)).mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(text_col, T.StringType())]))
+    return with_column(docs, ids_col, text_col, T.StringType(), of)
 
 
 def coded(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text") -> DataFrame:
