@@ -2,7 +2,7 @@
 
 Before the scan every vocabulary string is merged once on its own; those that come out as one token are
 proven, and a pre-token that is one of them counts 1 without a merge. Only the rest is merged, each
-distinct string once while a bounded memo holds it.
+distinct string once while a memo, bounded by strings and by characters, holds it.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); special strings inside a text are one token
 each, as the tokenizers library has it by default; no other special tokens, truncation or padding;
@@ -25,7 +25,7 @@ from bindery.llm.common import batches
 
 #: Fixed value: the split pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 800_000  # strings a task remembers, about 100 MB
+MEMO, MEMO_CHARS, LONG = 800_000, 24 << 20, 64  # strings a task remembers and their characters; longer ones are counted anew
 NONE = 1 << 62
 
 
@@ -108,13 +108,17 @@ class Counts(dict):
             except UnicodeDecodeError:
                 pass  # no text gives this as a pre-token of its own
         super().__init__(self.start)
+        self.held = 0
 
     def __missing__(self, text: str) -> int:
-        if len(self) > len(self.start) + MEMO:
-            self.clear()
-            self.update(self.start)
-        data = text.encode("utf-8", "surrogatepass")
-        self[text] = n = self.bpe.count(data)
+        n = self.bpe.count(text.encode("utf-8", "surrogatepass"))
+        if len(text) <= LONG:
+            if len(self) > len(self.start) + MEMO or self.held > MEMO_CHARS:
+                self.clear()
+                self.update(self.start)
+                self.held = 0
+            self[text] = n
+            self.held += len(text)
         return n
 
 
