@@ -46,7 +46,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs, op = table(spark, sf_dir, "documents"), operator("quality")
-    scored = op.score(docs, op.fit(docs, table(spark, sf_dir, "labels")))
+    scored = op.score(docs, op.fit(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",)), metadata=("n_chars",))
     return scored.select("doc_id", op.held_out().alias("held_out"), "score", op.predicted().alias("predicted"))
 
 
