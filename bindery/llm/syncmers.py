@@ -1,22 +1,22 @@
 """Document fingerprints of closed syncmers, in built-in functions only.
 
-Tokens are words. Every run of S words is hashed; a run of K words is a closed syncmer if the smallest
-of its inner runs' hashes is the first or the last of them. Whether a run of words is an anchor thus
-depends on these words alone, so an edit changes only the anchors that touch it. A text is framed by
-K - 1 empty words on either side, so short texts have anchors too and the frame marks start and end.
-Texts of up to SHORT characters have, besides, the anchors of their characters, taken in the same way.
-
-A fingerprint is the SIZE smallest of the distinct word anchors' hashes, each with the word position of its
-first place, and of short texts a second such sketch of the character anchors. Likeness is estimated on one
-kind of sketch, that of characters if both texts have it, else that of words, so lengths on both sides of
-SHORT compare like with like. It is taken from the SIZE smallest hashes of both (bottom-k): the share of
-them that both hold at matching places, that is within SLACK tokens of the median shift of all common
-anchors. Equal fingerprints have likeness 1.
-
-Defined cases: null text is empty; texts without words share one fingerprint; the next document is the
-one with the next smaller id (of equal ids: the next text in order, null ids last), after the last the
-first; a table of one row is its own next document; an empty table gives no rows; other columns are
-ignored.
+Tokens are words; a letter of a script that is written without spaces is a token of its own, and a run of
+more than PIECE other characters is cut there. Every token is hashed; a run of K tokens is a closed syncmer
+if the smallest of its inner runs' hashes, here those of its single tokens, is the first or the last of
+them. Whether a run of tokens is an anchor thus depends on these tokens alone, so an edit changes only the
+anchors that touch it. A text is framed by K - 1 empty tokens on either side, so the shortest texts have
+anchors too and the frame marks start and end. Texts of all lengths are treated alike.
+
+A fingerprint is all anchors of a text: every distinct hash with the number of its places and the first of
+them. Likeness compares two fingerprints whole: anchors of both, each as often as the text that has it less
+often, whose first places differ by no more than SLACK tokens from the median shift of all common anchors,
+as a share of the anchors of the text that has more. So a text of which a share is replaced keeps about the
+rest as its likeness, and equal fingerprints have likeness 1.
+
+Defined cases: null text is empty; texts without tokens share one fingerprint; the next document is the
+one with the next smaller id (of equal ids: the next by text hash, then a repeated row; null ids last), after
+the last the first; a table of one row is its own next document; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,117 +24,132 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import WORD, let, shuffle_partitions
+from bindery.llm.common import let, shuffle_partitions
 
-K, S, SIZE, SLACK, SHORT = 4, 2, 64, 32, 200
-ENTRY = "array<struct<hash:bigint,at:int>>"
+K, SLACK, PIECE = 4, 32, 24
+CELL_BYTES = 64 << 20
+#: Letters of scripts without spaces: kana, Han, Hangul syllables, Thai and Lao.
+UNSPACED = "\\u0e00-\\u0eff\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af"
+TOKEN = f"([{UNSPACED}]|[^\\x20\\x09-\\x0D{UNSPACED}]{{1,{PIECE}}})"
+ANCHORS = "array<struct<hash:bigint,n:int,at:int>>"
 
 
 def marked(tokens: Column) -> Column:
-    """hash and position (with the frame) of every closed syncmer of an array of tokens."""
-    inner = K - S + 1
+    """hash and place (with the frame) of every closed syncmer of an array of tokens."""
     frame = F.array_repeat(F.lit(""), K - 1)
     hashes = F.transform(F.concat(frame, tokens, frame), lambda w: F.xxhash64(w))
-    runs = let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - S), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(S)])))
 
-    def closed(r: Column) -> Column:
+    def closed(h: Column) -> Column:
         def at(i):
-            edge = F.least(F.get(r, i), F.get(r, i + inner - 1))
-            return F.when(edge <= F.least(F.lit(2**63 - 1), *[F.get(r, i + j) for j in range(1, inner - 1)]), F.struct(F.xxhash64(F.get(r, i), F.get(r, i + inner - 1)).alias("hash"), i.alias("at")))
+            run = [F.get(h, i + j) for j in range(K)]
+            edge, inner = F.least(run[0], run[-1]), F.least(*run[1:-1])
+            return F.when(edge <= inner, F.struct(F.shiftrightunsigned(F.xxhash64(*run), 16).alias("hash"), i.alias("at")))
 
-        return F.transform(F.sequence(F.lit(0), F.size(r) - inner), at)
+        return F.transform(F.sequence(F.lit(0), F.size(h) - K), at)
 
-    return F.filter(let(runs, closed), lambda x: x.isNotNull()).cast(ENTRY)
+    return F.filter(let(hashes, closed), lambda x: x.isNotNull())
 
 
-def sketch(found: Column) -> Column:
-    """hash and first position of the SIZE smallest distinct anchors, by hash."""
+def anchors(text: Column) -> Column:
+    """The fingerprint of a text as an array, by hash."""
 
-    def first_places(a: Column) -> Column:
-        fresh = F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["hash"] != x["hash"]))
-        return F.slice(fresh, 1, SIZE)
+    def counted(a: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i - 1)["hash"] != F.get(a, i)["hash"]))
+        return let(begins, lambda b: F.transform(b, lambda i, j: F.struct(F.get(a, i)["hash"].alias("hash"), (F.coalesce(F.get(b, j + 1), F.size(a)) - i).alias("n"), F.get(a, i)["at"].alias("at"))))
 
-    return let(F.sort_array(found), first_places).cast(ENTRY)
+    return let(F.sort_array(marked(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)))), counted).cast(ANCHORS)
 
 
-def anchors(text: Column) -> Column:
-    """The sketches of a text: words, and letters (empty but for short texts that have words)."""
-    words = sketch(marked(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))))
-    letters = F.when(F.length(text).between(1, SHORT) & F.regexp_like(text, F.lit(WORD)), sketch(marked(F.split(text, "")))).otherwise(F.array().cast(ENTRY))
-    return F.struct(words.alias("words"), letters.alias("letters"))
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0).cast("long"), lambda x, e: x + e["n"])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 of two pairs of sketches, see above."""
+    """0 to 1 of two fingerprints, see above: one sort of both, in which common hashes are neighbours."""
+    side = lambda x, s: F.transform(x, lambda e: F.struct(e["hash"].alias("hash"), F.lit(s).alias("side"), e["n"].alias("n"), e["at"].alias("at")))
 
-    def shared(x):
-        ha, hb = F.transform(x["a"], lambda e: e["hash"]), F.transform(x["b"], lambda e: e["hash"])
-        pool = F.slice(F.sort_array(F.array_union(ha, hb)), 1, SIZE)
-        both = F.array_intersect(F.array_intersect(ha, hb), pool)
-        return F.struct(F.size(pool).alias("n"), F.transform(both, lambda h: F.get(x["a"], (F.array_position(ha, h) - 1).cast("int"))["at"] - F.get(x["b"], (F.array_position(hb, h) - 1).cast("int"))["at"]).alias("shifts"))
+    def common(m):
+        pairs = F.transform(m, lambda e, i: F.when(F.get(m, i + 1)["hash"] == e["hash"], F.struct((e["at"] - F.get(m, i + 1)["at"]).alias("shift"), F.least(e["n"], F.get(m, i + 1)["n"]).alias("n"))))
+        return F.filter(pairs, lambda x: x.isNotNull())
 
-    def score(s):
-        middle = F.get(F.sort_array(s["shifts"]), F.floor(F.size(s["shifts"]) / 2).cast("int"))
-        near = let(middle, lambda m: F.size(F.filter(s["shifts"], lambda d: F.abs(d - m) <= SLACK)))
-        return F.when(F.size(s["shifts"]) == 0, F.lit(0.0)).otherwise(near / s["n"])
+    def near(c):
+        middle = F.get(F.sort_array(F.transform(c, lambda x: x["shift"])), F.floor(F.size(c) / 2).cast("int"))
+        return let(middle, lambda m: total(F.filter(c, lambda x: F.abs(x["shift"] - m) <= SLACK)))
 
-    short = (F.size(a["letters"]) > 0) & (F.size(b["letters"]) > 0)
-    alike = F.struct(F.when(short, a["letters"]).otherwise(a["words"]).alias("a"), F.when(short, b["letters"]).otherwise(b["words"]).alias("b"))
-    return F.when(a == b, F.lit(1.0)).otherwise(let(let(alike, shared), score))
+    shared = let(let(F.sort_array(F.concat(side(a, 0), side(b, 1))), common), near)
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(shared / F.greatest(total(a), total(b)), F.lit(0.0)))
 
 
 def spelled(a: Column) -> Column:
-    """Sketches as a string: hash.position in hexadecimal, joined by commas; those of letters follow a semicolon."""
+    """A fingerprint as a string: hash.place in hexadecimal, and .n where there are more places, joined by commas."""
+    one = lambda e: F.concat(F.lower(F.hex(e["hash"])), F.lit("."), F.lower(F.hex(e["at"].cast("long"))), F.when(e["n"] > 1, F.concat(F.lit("."), e["n"].cast("string"))).otherwise(F.lit("")))
+    return F.array_join(F.transform(a, one), ",")
+
+
+def place(id_: Column, text: Column) -> Column:
+    """Where a row stands: by id, null first, then text hash; rows that are equal in both are told apart by their number."""
+    return F.struct(id_.isNotNull().alias("known"), F.coalesce(id_, F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"))
 
-    def one(x):
-        return F.array_join(F.transform(x, lambda e: F.concat(F.lower(F.hex(e["hash"])), F.lit("."), F.lower(F.hex(e["at"].cast("long"))))), ",")
 
-    return F.concat(one(a["words"]), F.when(F.size(a["letters"]) > 0, F.concat(F.lit(";"), one(a["letters"]))).otherwise(F.lit("")))
+def count_below(bounds: list, at: Column) -> Column:
+    """How many of the sorted bounds are at most `at`, by bisection: the number of a row's cell."""
+    if not bounds:
+        return F.lit(0)
+    literal = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(b, (("known", "boolean"), ("id", "long"), ("hash", "long"), ("row", "long")), strict=True)]) for b in bounds])
+
+    def halve(span, _):
+        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        up = (span["lo"] < span["hi"]) & (F.get(literal, middle) <= at)
+        return F.struct(F.when(up, middle + 1).otherwise(span["lo"]).alias("lo"), F.when((span["lo"] < span["hi"]) & ~up, middle).otherwise(span["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve)["lo"]
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (id, text) with marks (anchors) and next_text, next_marks of the next row by descending id.
+    """Rows (id, text) with next_text, the text of the next row by descending id.
 
-    One shuffle of the texts, into ranges of ids; the few rows at the ends of ranges are joined on.
+    Keys alone are sorted first: their ranges, of about CELL_BYTES of text each, become cells, and a key's cell is
+    found by bisection. Texts are shuffled once, by cell; the highest row of each cell (one a cell, a join on keys)
+    is dealt to the cell above as well, so every row finds its next in its own cell.
     """
-    parts = shuffle_partitions(docs)
-    bounds = docs.select(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10_000).alias("b")).first().b if parts > 1 else None
-    bounds = sorted(set(bounds or []))
-    # how many of at most `parts` bounds are below the id; null ids are last
-    cell = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.coalesce(F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("id"))), F.lit(0))) if bounds else F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.lit(0))
-    order = [F.col("id").desc_nulls_last(), F.col("text")]
-    by = Window.partitionBy("cell").orderBy(*order)
-    marked_rows = docs.withColumn("marks", anchors(F.col("text")))
-    dealt = marked_rows.withColumn("cell", cell).select("*", F.lead(F.struct("text", "marks")).over(by).alias("next"))
-    # the first row of every cell: one row of ids a cell, then those rows' texts
-    tops = docs.withColumn("cell", cell).groupBy("cell").agg(F.max("id").alias("id"))
-    cells = sorted((r.cell for r in tops.select("cell").collect()), reverse=True)  # at most parts + 1
-    if not cells:
-        return marked_rows.select("id", "text", "marks", F.col("text").alias("next_text"), F.col("marks").alias("next_marks"))
-    after = docs.sparkSession.createDataFrame(list(zip(cells, cells[1:] + cells[:1], strict=True)), "cell int, after int")
-    heads = docs.withColumn("cell", cell).alias("d").join(F.broadcast(tops).alias("t"), F.expr("d.cell = t.cell and d.id <=> t.id"))
-    heads = heads.groupBy("d.cell").agg(F.min("d.text").alias("text"))
-    heads = after.join(heads, after["after"] == heads["cell"]).select(after["cell"], F.struct("text", anchors(F.col("text")).alias("marks")).alias("head"))
-    joined = dealt.join(heads, "cell")
-    nxt = F.coalesce("next", "head")
-    return joined.select("id", "text", "marks", nxt["text"].alias("next_text"), nxt["marks"].alias("next_marks"))
+    keyed = docs.select("id", "text", place(F.col("id"), F.col("text")).alias("at"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    cells = max(shuffle_partitions(docs), -(-size // CELL_BYTES))
+    ranges = keyed.select("at").repartitionByRange(cells, "at").groupBy(F.spark_partition_id().alias("part")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    ranges = sorted(ranges.select("lo", "hi").collect())  # a row a cell
+    if not ranges:
+        return docs.select("id", "text", F.col("text").alias("next_text"))
+    cell = count_below([tuple(r.lo) for r in ranges[1:]], F.col("at"))
+    rows = keyed.select("id", "text", "at", cell.alias("cell"), F.lit(True).alias("own"))
+    # the highest row of a cell comes after the lowest of the cell above; that of the highest after the lowest of all
+    tops = docs.sparkSession.createDataFrame([(r.hi.known, r.hi.id, r.hi.hash, (i + 1) % len(ranges), i + 1 == len(ranges)) for i, r in enumerate(ranges)], "known boolean, top long, hash long, above int, last boolean")
+    same = (F.col("id").isNotNull() == F.col("known")) & (F.coalesce("id", F.lit(0).cast("long")) == F.col("top")) & (F.xxhash64("text") == F.col("hash"))
+    heads = docs.join(F.broadcast(tops), same).groupBy("above", "known", "top", "hash").agg(F.first("text").alias("text"))
+    lowest = F.struct(F.lit(False).alias("known"), F.lit(-(2**63)).alias("id"), F.lit(-(2**63)).alias("hash"), F.lit(-1).cast("long").alias("row"))
+    heads = heads.select(F.lit(None).cast("long").alias("id"), "text", lowest.alias("at"), F.col("above").alias("cell"), F.lit(False).alias("own"))
+    dealt = rows.unionByName(heads).repartition(len(ranges), "cell")
+    by = Window.partitionBy("cell").orderBy(F.col("at").desc())
+    return dealt.select("id", "text", "own", F.lead("text").over(by).alias("next_text")).filter("own").drop("own")
 
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, fingerprint (string) and marks (its sketches) of every row."""
+    """doc_id, fingerprint (string) and marks (its anchors) of every row."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), anchors(F.coalesce(F.col(text_col), F.lit(""))).alias("marks")).withColumn("fingerprint", spelled(F.col("marks")))
 
 
 def compared_with_next(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and likenesses to the edited and to the next text."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(base)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))
-    rows = rows.select("id", n.cast("long").alias("n_chars"), "marks", "next_marks", edited.alias("edited"))
-    rows = rows.select("id", "n_chars", "marks", "next_marks", F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("edited")).alias("edited_marks"))
-    return rows.select(
-        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", spelled(F.col("marks")).alias("fingerprint"), spelled(F.col("edited_marks")).alias("edited_fingerprint"),
-        likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"), likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
-    )
+    rows = with_next(base).select("id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+
+    def row(m):
+        own, other, after = (m[x] for x in ("own", "edited", "next"))
+        return F.struct(spelled(own).alias("fingerprint"), spelled(other).alias("edited_fingerprint"), likeness(own, other).alias("near_edited"), likeness(own, after).alias("near_next"))
+
+    all_ = F.struct(anchors(F.col("text")).alias("own"), anchors(F.col("edited")).alias("edited"), anchors(F.col("next_text")).alias("next"))
+    found = rows.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), let(all_, row).alias("f"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "f.fingerprint", "f.edited_fingerprint", "f.near_edited", "f.near_next")
