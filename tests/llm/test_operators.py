@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from bindery.llm import copies, html, licenses, mixing, pieces, quality, simhash, substrings, syncmers, tokens, topk
+from bindery.llm import components, html, licenses, mixing, pieces, quality, simhash, substrings, syncmers, tokens, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -151,14 +151,14 @@ def test_near_dedup_stage_takes_edited_copies(spark):
     assert 12 < len(groups) < 60
     want = [min((i is None, i or 0) for i, _ in g) for g in groups]
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(want)
-    assert copies.one_of_each_group(docs.limit(0)).collect() == []
+    assert simhash.one_of_each_near_copy(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("operator", [simhash, copies])
+@pytest.mark.parametrize("operator", [simhash.one_of_each_group, simhash.one_of_each_near_copy])
 def test_one_of_each_group_with_null_and_repeated_ids(spark, operator):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, c), (None, c)]
-    kept = operator.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = operator(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (2, b), (None, c)], key=str)
 
 
