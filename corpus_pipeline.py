@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import copies, mixing, pieces, quality, substrings
+from bindery.llm import mixing, pieces, quality, simhash, substrings
 from bindery.llm.common import shared_folder, ship, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,10 +28,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard at least 0.8), the one of the smallest id.
 
-    op4's contract (three words, two bits) binds that query alone and is far stricter, so the stage has an operator of its own.
+    op4's contract (three words, two bits) binds that query alone; the stage runs the operator's bit-sliced comparison at a
+    radius wide enough for likeness 0.8, and takes a link only where the shingles of the two texts confirm it.
     """
     ship(spark)
-    return copies.one_of_each_group(docs.select(*COLUMNS))
+    return simhash.one_of_each_near_copy(docs.select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
