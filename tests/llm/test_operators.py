@@ -38,16 +38,35 @@ def test_topk(spark):
     rnd = np.random.default_rng(1)
     vectors = [(i, rnd.normal(0, 1, 4).round(1).tolist()) for i in range(120)] + [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(120, 160)]
     vectors += [(200, None), (250, [1.0, None, 1.0, 1.0]), (300, [float("nan")] * 4), (350, []), (400, [1.0, 2.0]), (450, [1e300, 1.0, 1.0, 1.0])]
+    vectors += [(7, vectors[7][1]), (50, vectors[50][1]), (100, [9.0, -9.0, 0.0, 1.0]), (None, [1.0] * 4), (11, [-1e300, 0.0, 0.0, 2.0]), (12, [2e300, 0.0, 0.0, 2.0])]
     df = spark.createDataFrame([(*v, 1) for v in vectors], "vec_id long, embedding array<double>, score int")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, 5, F.col("vec_id") % 50 == 0).collect())
-    whole = {i: [int(np.floor(256 * x)) if abs(x) < 1e200 else int(256 * x) for x in v] for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v)}
+    whole = [(i, tuple(int(np.floor(256 * x)) if abs(x) < 1e200 else int(256 * x) for x in v)) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in whole if i % 50 == 0):
-        long = lambda n: max(-(2**63), min(2**63 - 1, n))
-        scores = sorted((-long(sum(a * b for a, b in zip(whole[q], whole[c], strict=True))), c) for c in whole if c != q and len(whole[c]) == len(whole[q]))[:5]
+    for q, own in sorted({(i, v) for i, v in whole if i % 50 == 0}):
+        scores = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), c) for c, v in whole if c != q and len(v) == len(own))[:5]
+        want += [(q, k + 1, c, max(-(2**63), min(2**63 - 1, -s))) for k, (s, c) in enumerate(scores)]
+    assert got == sorted(want) and len([g for g in got if g[0] == 100]) == 10
+    assert topk.top_k(df.limit(0), 5, F.lit(True)).collect() == []
+
+
+def test_topk_over_many_tiles(spark, monkeypatch):
+    for name, value in (("QUERY_BLOCK", 8), ("SHARD", 16), ("SUPER", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rnd = np.random.default_rng(3)
+    vectors = {i: rnd.integers(-3, 4, 6).tolist() for i in range(400)}
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in vectors.items()], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, 7, F.col("vec_id") % 5 == 0).collect())
+    want = []
+    for q in range(0, 400, 5):
+        scores = sorted((-int(np.dot(vectors[q], v)), c) for c, v in vectors.items() if c != q)[:7]
         want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scores)]
     assert got == sorted(want)
-    assert topk.top_k(df.limit(0), 5, F.lit(True)).collect() == []
+
+
+def test_wide_scores_sort_as_numbers():
+    values = sorted([2**64, 2**64 + 1, 2**70, 3 * 2**200, 2**63, -(2**64), -(2**64) - 5, -(2**90), 5, -5, 0], reverse=True)
+    assert sorted(values, key=lambda v: (~topk.long_of(v), topk.wide_of(v))) == values
 
 
 def test_substrings(docs, none):
@@ -194,6 +213,35 @@ def test_licenses(spark, none):
     assert licenses.scan(none).collect() == []
 
 
+def test_licenses_report_every_text_that_holds_a_template(spark):
+    """All pairs by brute force: a text that holds 0.8 and more of a template in one window of its length is reported, with the right share."""
+    rnd, names = np.random.default_rng(12), list(licenses.TEMPLATES)
+    rows, want = [], {}
+    for k in range(150):
+        name = names[k % len(names)]
+        words = licenses.TEMPLATES[name].split()
+        for _ in range(int(rnd.integers(0, 3)) if len(words) > 25 else 0):
+            words[int(rnd.integers(0, len(words)))] = "changed"
+        before = " ".join(f"w{x}" for x in rnd.integers(0, 500, int(rnd.integers(0, 40))))
+        rows.append((None if k % 10 == 0 else k // 2, f"{before} {' '.join(words)} and so on"))
+    rows += [rows[5], rows[10], (77, None), (78, ""), (79, "the license " * 40_000 + licenses.TEMPLATES["ISC"])]
+    for row in set(rows):
+        tokens = licenses.tokens_of(row[1] or "")
+        own = licenses.shingles_of(tokens)
+        for name in names:
+            wanted = set(licenses.shingles_of(licenses.tokens_of(licenses.TEMPLATES[name])))
+            if len(wanted & set(own)) >= 0.8 * len(wanted):
+                want[row[0], name] = want.get((row[0], name), 0) + 1
+    docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, license string, m int")
+    found = licenses.scan(docs).collect()
+    got = {}
+    for r in found:
+        got[r.doc_id, r.license] = got.get((r.doc_id, r.license), 0) + 1
+    assert got == want
+    best = {(r.doc_id, r.first_token) for r in found if r.best}
+    assert best == {(r.doc_id, r.first_token) for r in found}
+
+
 def test_quality(spark, none):
     rnd = np.random.default_rng(3)
     texts, marks = [], []
@@ -305,9 +353,66 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none).collect() == []
 
 
-def test_targets():
-    got = mixing.targets([("b", 10), ("a", 1000), (None, 5)])
-    assert got["b"] == 30 and got[None] == 15 and got["a"] == 970
+def filled(sizes, weights=(1, 2, 3), most=3):
+    """Targets by brute force: who would pass the limit gets it, the rest is shared again."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[k % 3] for k, s in enumerate(order)}
+    out, free = {}, list(order)
+    while free:
+        left = sum(sizes.values()) - sum(out.values())
+        above = [s for s in free if left * weight[s] / sum(weight[x] for x in free) > most * sizes[s]]
+        if not above:
+            return out | {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        out |= {s: most * sizes[s] for s in above}
+        free = [s for s in free if s not in above]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"b": 10, "a": 1000, None: 5}, {"a": 0, "b": 0}, {"x": 7}, {f"s{i}": (i * 37) ** 2 % 1009 for i in range(60)} | {None: 50_000}])
+def test_targets(spark, sizes):
+    slim = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {r.source: r.target for r in mixing.with_targets(mixing.sizes_of(slim)).collect()}
+    want = filled(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_mixing_equals_a_sort_by_hash(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(i, "w " * int(rnd.integers(0, 60) ** 2 // 20), ["a", "b", "c", "d", None][int(rnd.integers(0, 5)) if i % 3 else 0]) for i in range(1500)] + [(7, "same text", "d")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashed = df.select("source", F.regexp_count("text", F.lit(r"\S+")).alias("size"), mixing.row_hash("doc_id", "text").alias("h")).collect()
+    sizes = {s: sum(r["size"] for r in hashed if r.source == s) for s in {r.source for r in hashed}}
+    goal, want = filled(sizes), []
+    for s, target in goal.items():
+        own = sorted((r.h, r["size"]) for r in hashed if r.source == s)
+        base = int(target / sizes[s] + 1e-12)
+        rest = target - base * sizes[s]
+        taken, at = set(), None
+        for h in sorted({h for h, _ in own}):  # whole groups of one hash, in order, while they fit
+            n = sum(n for g, n in own if g == h)
+            if n > rest:
+                at = h
+                break
+            taken.add(h)
+            rest -= n
+        if at is not None:
+            on, fits = sum(n for g, n in own if g == at), [h for h in sorted({h for h, _ in own}) if h > at]
+            cap, left, extra = int(rest), rest, set()
+            for h in fits:
+                n = sum(n for g, n in own if g == h and n <= cap)
+                if n > left:
+                    if left > n / 2:
+                        extra, left = extra | {h}, n - left
+                    break
+                extra.add(h)
+                left -= n
+            if rest > 0 and on - rest < left:
+                taken.add(at)
+            elif rest > 0:
+                want += [(s, h, n) for h, n in own if h in extra and 0 < n <= cap]
+        want += [(s, h, n) for h, n in own if h in taken and n] + [(s, h, n) for h, n in own if n for _ in range(base)]
+    got = mixing.mixed(df).select("source", mixing.row_hash("doc_id", "text").alias("h"), F.regexp_count("text", F.lit(r"\S+")).alias("size")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
 def test_pipeline(spark):
