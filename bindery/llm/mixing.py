@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from bindery.llm.common import cut, shuffle_partitions, word_count
 
 SOURCES = 20_000
-BITS, ROUNDS = 10, 6  # 2**10 buckets a source and round; six rounds settle 60 bits
+BITS, ROUNDS = 15, 4  # 2**15 buckets a source and round; four rounds settle 60 bits
 
 
 def sizes_of(slim: DataFrame, weights=(1, 2, 3)) -> DataFrame:
