@@ -11,15 +11,18 @@ There are no labelled pages, so the trees are fitted to pages written by a seede
 articles among menus, headers, footers, sidebars, notices, adverts, forms and reader comments, in many
 mark-up styles, with the truth known for every element.
 
-Text: character references are decoded, inline elements don't break words, blocks and <br> do, white
-space becomes one space, blocks are joined by one space in page order. Scripts, styles, comments and
-other raw-text elements hold no text. The head, svg, math, object, video, audio, canvas and template are
-left out with all they hold: a head ends at the first tag or text that cannot be in it, a self-closed
-element at once, an open svg or math at a tag that is HTML, the others where their parent ends.
+Text: character references are decoded run by run, so none comes to be across a tag; inline elements don't
+break words, blocks and <br> do, white space becomes one space, blocks are joined by one space in page
+order. Scripts, styles, comments and other raw-text elements hold no text. The head, svg, math, object,
+video, audio, canvas and template are left out with all they hold: a head ends at the first tag or text that
+cannot be in it, a self-closed element at once, an open svg or math at a tag that is HTML, the others where
+their parent ends. Elements with the attribute hidden, or with display:none in their style, are left out.
 
 Defined cases: null or empty html gives an empty text; a page without tags is one block, all of it kept;
-unclosed and misnested tags are closed where their parent ends, end tags without a start are ignored;
-repeated rows give repeated rows; an empty table gives no rows; other columns are ignored.
+unclosed and misnested tags are closed where their parent ends, end tags without a start are ignored, a
+tag that the page breaks off in is dropped; every tag takes the same time however deep it is, so pages may be
+of any length; repeated rows give repeated rows; null ids and addresses stay null; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,6 +46,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "thead": ("tbody", "thead", "tr", "td", "th")}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "thead": ("table",), "option": ("select",)}
+#: Elements that open or close the scope of items.
+TURNS = frozenset(t for k in SAME for t in (*SAME[k], *STOPS[k]))
+BROKEN = re.compile(r"<[a-z/!?]", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)",
     re.I | re.S,
@@ -55,7 +61,8 @@ IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript
 #: Start tags that end an open svg or math, but not in their elements that may hold HTML.
 ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article aside footer header main nav section".split())
 HOLDS_HTML = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAMING = frozenset("class id role aria-label itemprop".split())
 TAGS = [("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "button", "select", "label", "input", "option"), ("article",), ("main",), ("section",), ("div", "center"), ("p", "blockquote", "pre"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dd", "dt"), ("table", "tbody", "tr", "td", "th"), ("figure", "figcaption", "details"), ("dialog",)]
 KIND = {t: i for i, ts in enumerate(TAGS) for t in ts}
 #: Tokens of class, id and role by what they are used for on the web.
@@ -71,6 +78,7 @@ GROUPS = [
     "share sharing social follow toolbar buttons tools print email",
     "article content contents post entry story main body text bodytext maincontent prose hentry articlebody page",
 ]
+HIDDEN = 1 << len(GROUPS)
 GROUP_OF = {w: i for i, g in reversed(list(enumerate(GROUPS))) for w in g.split()}
 N_FEATURES = len(TAGS) + 3 * len(GROUPS) + len(TAGS) + 15
 
@@ -83,115 +91,166 @@ def flag_row(kind: int, own: int, up: int, parent: int, tags: int) -> np.ndarray
     return np.array(row + [tags >> k & 1 for k in range(len(TAGS))], np.float32)
 
 
+class Stack:
+    """Open elements, and for each what an end tag or an implied end would find: all in constant time a tag.
+
+    Of every open element: the depth of the p that a block would close, of the elements that another item would close
+    (SAME, up to STOPS), and of the inline elements that an inline end tag may close.
+    """
+
+    def __init__(self):
+        self.ids, self.tags = [0], ["#"]
+        self.p, self.items, self.inline = [-1], [{}], [{}]
+        self.where: dict[str, list[int]] = {}
+
+    def push(self, i: int, tag: str) -> None:
+        depth, inline = len(self.ids), tag in INLINE
+        self.ids.append(i)
+        self.tags.append(tag)
+        self.p.append(depth if tag == "p" else self.p[-1] if inline else -1)
+        items = self.items[-1]
+        if tag in TURNS:
+            items = {k: d for k, d in items.items() if tag not in STOPS[k]} | {k: depth for k in SAME if tag in SAME[k]}
+        self.items.append(items)
+        self.inline.append(self.inline[-1] | {tag: depth} if inline else {})
+        self.where.setdefault(tag, []).append(depth)
+
+    def cut(self, depth: int) -> None:
+        for tag in self.tags[depth:]:
+            self.where[tag].pop()
+        for x in (self.ids, self.tags, self.p, self.items, self.inline):
+            del x[depth:]
+
+    def found(self, tag: str) -> int:
+        """Depth of the element that an end tag closes, 0 if none."""
+        if tag in INLINE:
+            return self.inline[-1].get(tag, 0)  # an inline end tag closes no block
+        depths = self.where.get(tag)
+        return depths[-1] if depths else 0
+
+
+class Out:
+    """The open element that is left out, and those in it."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.count: dict[str, int] = {}
+
+    def __bool__(self):
+        return bool(self.tags)
+
+    def push(self, tag: str) -> None:
+        self.tags.append(tag)
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def close(self, tag: str) -> bool:
+        if not self.count.get(tag):
+            return False
+        while self.tags:
+            last = self.tags.pop()
+            self.count[last] -= 1
+            if last == tag:
+                break
+        return True
+
+    def clear(self) -> None:
+        self.tags.clear()
+        self.count.clear()
+
+    def head(self) -> bool:
+        return len(self.tags) == 1 and self.tags[0] == "head"
+
+    def foreign(self) -> bool:
+        return bool(self.tags) and self.tags[0] in ("svg", "math") and not any(self.count.get(t) for t in HOLDS_HTML)
+
+
 class Page:
     """Elements in page order: parent, tag, groups; and runs of text with the element they are in."""
 
     def __init__(self, html: str):
         self.tag, self.parent, self.groups = ["#"], [-1], [0]
         self.items: list[tuple[int, str | None]] = []  # element, text (None: a break)
-        stack, at, headed = [0], 0, False
-        out: list[str] = []  # the open element that is left out, and those in it
-        while m := TOKEN.search(html, at):
+        stack, at, headed, out = Stack(), 0, False, Out()
+        end = html.rfind(">") + 1  # no tag is complete after it
+        while m := TOKEN.search(html, at, end):
             if m.start() > at:
                 self.text_run(stack, out, html[at : m.start()])
             at = m.end()
             name = m[2]
             if name is None:
+                if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    at = len(html)
                 continue
             name = name.lower()
             if m[1]:
-                if name in out:
-                    del out[len(out) - 1 - out[::-1].index(name) :]
-                elif not out or self.closes(stack, name):
+                if not out.close(name) and (not out or stack.found(name)):
                     out.clear()
                     self.close(stack, name)
                 continue
             closed = m[3].endswith("/")
-            foreign = bool(out) and out[0] in ("svg", "math") and not HOLDS_HTML.intersection(out)
+            foreign = out.foreign()
             if name in RAW:
                 if not (foreign and closed):
-                    end = RAW[name].search(html, at)
-                    at = end.end() if end else len(html)
-                    if out == ["head"] and name not in IN_HEAD:
+                    ends = RAW[name].search(html, at)
+                    at = ends.end() if ends else len(html)
+                    if out.head() and name not in IN_HEAD:
                         out.clear()
                 continue
-            if foreign and name in ENDS_FOREIGN or out == ["head"] and name not in IN_HEAD:
+            if foreign and name in ENDS_FOREIGN or out.head() and name not in IN_HEAD:
                 out.clear()
-            if name == "head" and (headed or out or self.tag[stack[-1]] not in ("#", "html")):
+            if name == "head" and (headed or out or stack.tags[-1] not in ("#", "html")):
                 continue  # a page has one head, before all else
             headed = headed or name in ("head", "body")
             if out or name in LEFT_OUT:
-                if not closed and name not in VOID and not (out == ["head"] and name in ("head", "html")):
-                    out.append(name)
+                if not closed and name not in VOID and not (out.head() and name in ("head", "html")):
+                    out.push(name)
                 continue
             if name in VOID:
                 if name not in ("wbr", "img", "input"):
-                    self.items.append((stack[-1], None))
+                    self.items.append((stack.ids[-1], None))
                 continue
             self.open(stack, name, m[3])
             if closed and name not in INLINE:  # self-closed
                 self.close(stack, name)
         if at < len(html):
-            self.text_run(stack, out, html[at:])
+            rest = html[at:]
+            broken = BROKEN.search(rest)
+            if text := rest[: broken.start()] if broken else rest:
+                self.text_run(stack, out, text)
 
-    def text_run(self, stack: list[int], out: list[str], text: str) -> None:
-        if out == ["head"] and not text.isspace():
+    def text_run(self, stack: Stack, out: Out, text: str) -> None:
+        if out.head() and not text.isspace():
             out.clear()  # text ends an open head
         if not out:
-            self.items.append((stack[-1], text))
-
-    def closes(self, stack: list[int], name: str) -> bool:
-        """Whether an end tag closes an open element."""
-        for i in reversed(stack[1:]):
-            if self.tag[i] == name:
-                return True
-            if name in INLINE and self.tag[i] not in INLINE:
-                return False
-        return False
-
-    def open(self, stack: list[int], name: str, attributes: str) -> None:
-        if name in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                t = self.tag[stack[depth]]
-                if t == "p":
-                    del stack[depth:]
-                    break
-                if t not in INLINE:
-                    break
-        elif name in SAME:
-            for depth in range(len(stack) - 1, 0, -1):
-                t = self.tag[stack[depth]]
-                if t in STOPS[name]:
-                    break
-                if t in SAME[name]:
-                    del stack[depth:]
-                    break
+            self.items.append((stack.ids[-1], unescape(text)))
+
+    def open(self, stack: Stack, name: str, attributes: str) -> None:
+        if name in CLOSES_P and stack.p[-1] > 0:
+            stack.cut(stack.p[-1])
+        elif name in SAME and stack.items[-1].get(name):
+            stack.cut(stack.items[-1][name])
         groups = 0
         if attributes and not attributes.isspace():
             for m in ATTRIBUTE.finditer(attributes):
-                value = m[2] or m[3] or m[4] or ""
-                if m[1].lower() == "style":
-                    groups |= (1 << len(GROUPS)) * ("display:none" in value.replace(" ", "").lower())
-                    continue
-                for word in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
-                    if word in GROUP_OF:
-                        groups |= 1 << GROUP_OF[word]
+                key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+                if key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower():
+                    groups |= HIDDEN
+                elif key in NAMING:
+                    for word in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
+                        if word in GROUP_OF:
+                            groups |= 1 << GROUP_OF[word]
         self.tag.append(name)
-        self.parent.append(stack[-1])
+        self.parent.append(stack.ids[-1])
         self.groups.append(groups)
-        stack.append(len(self.tag) - 1)
+        stack.push(len(self.tag) - 1, name)
         if name not in INLINE:
-            self.items.append((stack[-2], None))
+            self.items.append((stack.ids[-2], None))
 
-    def close(self, stack: list[int], name: str) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[depth]] == name:
-                del stack[depth:]
-                break
-            if name in INLINE and self.tag[stack[depth]] not in INLINE:
-                break  # an inline end tag closes no block
+    def close(self, stack: Stack, name: str) -> None:
+        if depth := stack.found(name):
+            stack.cut(depth)
         if name not in INLINE:
-            self.items.append((stack[-1], None))
+            self.items.append((stack.ids[-1], None))
 
     @functools.cached_property
     def _nodes(self) -> list[int]:
@@ -256,7 +315,7 @@ class Page:
 
     def text(self, keep: np.ndarray) -> str:
         parts = [" " if text is None else text for i, text in self.items if keep[i]]
-        return " ".join(unescape("".join(parts)).split())
+        return " ".join("".join(parts).split())
 
 
 def decode(page: Page, chance: np.ndarray) -> np.ndarray:
@@ -265,7 +324,7 @@ def decode(page: Page, chance: np.ndarray) -> np.ndarray:
     p = np.clip(chance, 0.02, 0.98)
     yes, no, node = [0.0] * n, [0.0] * n, [False] * n
     for i, a, b in zip(page.nodes(), np.log(p).tolist(), np.log1p(-p).tolist(), strict=True):
-        yes[i], no[i], node[i] = a, b, True
+        yes[i], no[i], node[i] = (-math.inf, 0.0, True) if page.groups[i] & HIDDEN else (a, b, True)
     best_below, none_below = [0.0] * n, [0.0] * n
     keeps = [True] * n
     for i in range(n - 1, 0, -1):
