@@ -1,50 +1,103 @@
-"""Offsets, ranges and their joins. No window runs over all rows in one task."""
+"""Offsets, ranges and their joins. No window runs over more rows than a cell holds, however large one archive is."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that one window may hold; tables of more are parted into cells, ranges of the sort order of about this many rows.
+CELL_ROWS = 4_000_000
 
-def exclusive_prefix_sum(df: DataFrame, order: str, length: str, out: str = "lo", width: int = 4096) -> DataFrame:
-    """Sum of length over all rows of smaller order (a unique long), in two levels.
 
-    Rows are summed by buckets of width order values, the buckets by buckets of buckets; only the last
-    level, rows / width**2, is one window.
+def cells(df: DataFrame, by: list[str]) -> DataFrame | None:
+    """df with its cell, a number that grows with the columns `by`; none if one cell is enough.
+
+    A first sort, of these columns alone, gives the least row of every range (a row a cell goes to the driver); a row finds
+    its cell among these by bisection, so every evaluation gives it the same one.
     """
-    b1, b2 = F.floor(F.col(order) / width), F.floor(F.col(order) / (width * width))
-    level1 = df.groupBy(b1.alias("_b1"), b2.alias("_b2")).agg(F.sum(length).alias("_n"))
-    level2 = level1.groupBy("_b2").agg(F.sum("_n").alias("_n2"))
-    before = lambda n, by: F.coalesce(F.sum(n).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    level2 = level2.select("_b2", before("_n2", Window.orderBy("_b2")).alias("_lo2"))
-    level1 = level1.join(level2, "_b2").select("_b1", (F.col("_lo2") + before("_n", Window.partitionBy("_b2").orderBy("_b1"))).alias("_lo1"))
-    rows = df.withColumn("_b1", b1).join(level1, "_b1")
-    return rows.withColumn(out, F.col("_lo1") + before(length, Window.partitionBy("_b1").orderBy(order))).drop("_b1", "_lo1")
+    parts = -(-df.count() // CELL_ROWS)
+    if parts < 2:
+        return None
+    at = F.struct(*[F.col(c) for c in by])
+    ranged = df.select(at.alias("at")).repartitionByRange(parts, "at").groupBy(F.spark_partition_id()).agg(F.min("at").alias("lo"))
+    bounds = [r.lo for r in ranged.select("lo").orderBy("lo").collect()][1:]
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    literal = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(by, b, strict=True)]) for b in bounds])
+
+    def halve(span, _):
+        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        up = (span["lo"] < span["hi"]) & (F.get(literal, middle) <= at)
+        return F.struct(F.when(up, middle + 1).otherwise(span["lo"]).alias("lo"), F.when((span["lo"] < span["hi"]) & ~up, middle).otherwise(span["hi"]).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve)
+    return df.withColumn("_cell", found["lo"])
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], length: Column | str, out: str) -> DataFrame:
+    """Sum of length over the rows before each one, in order within keys.
+
+    In cells: each cell is summed, the sums of the cells before (a row a cell) are added, and a key's first sum is taken
+    off, so a key may reach over any number of cells.
+    """
+    df = df.withColumn("_n", F.col(length) if isinstance(length, str) else length)
+    parted = cells(df, [*keys, *order])
+    if parted is None:
+        by = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+        return df.withColumn(out, F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    sums = parted.groupBy("_cell").agg(F.sum("_n").alias("_all"))
+    ahead = sums.select("_cell", F.coalesce(F.sum("_all").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    by = Window.partitionBy("_cell").orderBy(*keys, *order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = parted.join(F.broadcast(ahead), "_cell").withColumn(out, F.col("_ahead") + F.coalesce(F.sum("_n").over(by), F.lit(0))).drop("_n", "_ahead", "_cell")
+    if not keys:
+        return rows
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    first = rows.groupBy(*named).agg(F.min(out).alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(first, same).withColumn(out, F.col(out) - F.col("_first")).drop("_first", *[f"_k{i}" for i in range(len(keys))])
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], column: str, out: str) -> DataFrame:
+    """The column's value in the row before, in order within keys; null in a key's first row."""
+    parted = cells(df, [*keys, *order])
+    if parted is None:
+        return df.withColumn(out, F.lag(column).over(Window.partitionBy(*keys).orderBy(*order)))
+    ends = parted.groupBy("_cell").agg(F.max_by(F.struct(*keys, F.col(column).alias("_value")), F.struct(*keys, *order)).alias("_end"))
+    ends = ends.select(F.col("_cell"), F.lead("_cell").over(Window.orderBy("_cell")).alias("_next"), "_end")  # a row a cell
+    ends = ends.filter("_next is not null").select(F.col("_next").alias("_cell"), "_end")
+    rows = parted.join(F.broadcast(ends), "_cell", "left")
+    inside = Window.partitionBy("_cell").orderBy(*keys, *order)
+    before = F.lag(F.struct(*keys, F.col(column).alias("_value"))).over(inside)
+    rows = rows.withColumn("_before", F.coalesce(before, "_end"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col("_before")[k].eqNullSafe(F.col(k))
+    return rows.withColumn(out, F.when(F.col("_before").isNotNull() & same, F.col("_before")["_value"])).drop("_before", "_end", "_cell")
+
+
+def exclusive_prefix_sum(df: DataFrame, order: str, length: str, out: str = "lo") -> DataFrame:
+    """Sum of length over all rows of smaller order (a unique column)."""
+    return running(df, [], [order], length, out)
 
 
 def prefix_sum_within(df: DataFrame, keys: list[str], order: list[str], length: str, out: str = "lo") -> DataFrame:
-    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(out, F.coalesce(F.sum(length).over(by), F.lit(0)))
+    return running(df, keys, order, length, out)
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], joined: Column, out: str = "island") -> DataFrame:
-    """Numbers runs of rows in which `joined` holds for each row against the one before (column names with _prev)."""
-    by = Window.partitionBy(*keys).orderBy(*order)
+    """Numbers runs of rows, from 1, in which `joined` holds for each row against the one before (column names with _prev)."""
     marked = df.withColumn("_new", F.when(joined, 0).otherwise(1))
-    return marked.withColumn(out, F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return running(marked, keys, order, F.col("_new").cast("long"), out).withColumn(out, F.col(out) + F.col("_new")).drop("_new")
 
 
 def coalesced(ranges: DataFrame, keys: list[str], order: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Adjacent source ranges, in output order, become one."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    runs = islands(ranges.withColumn("_p", F.lag(hi).over(by)), keys, order, F.col("_p") == F.col(lo))
+    runs = islands(previous(ranges, keys, order, hi, "_p"), keys, order, F.col("_p") == F.col(lo))
     return runs.groupBy(*keys, "island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count("*").alias("n"))
 
 
 def gaps(packs: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Packs that do not begin where the one before ends."""
-    by = Window.partitionBy(*keys).orderBy(order)
-    return packs.withColumn("prev_hi", F.lag("hi").over(by)).filter(F.col("prev_hi") != F.col("lo"))
+    return previous(packs, keys, [order], "hi", "prev_hi").filter(F.col("prev_hi") != F.col("lo"))
 
 
 def contained(chunks: DataFrame, spans: DataFrame, keys: list[str], lookback: int = 0, width: int = 1 << 20) -> DataFrame:
@@ -61,19 +114,41 @@ def contained(chunks: DataFrame, spans: DataFrame, keys: list[str], lookback: in
 
 def absorbed(parts: DataFrame, keys: list[str], packing: int) -> DataFrame:
     """Reused parts that stay: small ones (under packing / 16) at inner edges of a run of adjacent parts go, and
-    runs of small parts only with neighbours on both sides. parts: lo, hi, image_length by keys."""
-    by = Window.partitionBy(*keys).orderBy("lo")
-    runs = islands(parts.withColumn("_p", F.lag("hi").over(by)), keys, ["lo"], F.col("_p") == F.col("lo"))
-    run = Window.partitionBy(*keys, "island")
+    runs of small parts only with neighbours on both sides. parts: lo, hi, image_length by keys.
+
+    What decides is known of a run, one row each: its ends and whether all its parts are small.
+    """
+    runs = islands(previous(parts, keys, ["lo"], "hi", "_p"), keys, ["lo"], F.col("_p") == F.col("lo"))
     small = (F.col("hi") - F.col("lo")) * 16 < packing
-    left, right = F.min("lo").over(run) > 0, F.max("hi").over(run) < F.col("image_length")
-    first, last = F.col("lo") == F.min("lo").over(run), F.col("hi") == F.max("hi").over(run)
-    gone = small & ((left & right & F.every(small).over(run)) | (left & first) | (right & last))
-    return runs.withColumn("_gone", gone).filter(~F.col("_gone")).drop("_gone", "_p", "island")
+    of = runs.groupBy(*keys, "island").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.every(small).alias("_small"))
+    left, right = F.col("_lo") > 0, F.col("_hi") < F.col("image_length")
+    gone = small & ((left & right & F.col("_small")) | (left & (F.col("lo") == F.col("_lo"))) | (right & (F.col("hi") == F.col("_hi"))))
+    return runs.join(of, [*keys, "island"]).filter(~gone).drop("_p", "island", "_lo", "_hi", "_small")
 
 
 def at_or_before(points: DataFrame, marks: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    """As-of lookup: each point's last mark at or before it, by union and one window a key."""
+    """As-of lookup: each point's last mark at or before it, by union and one window a cell of a key."""
     both = points.select(*keys, F.col(at), F.lit(1).alias("_p"), F.lit(None).cast(dict(marks.dtypes)[value]).alias(value)).unionByName(marks.select(*keys, F.col(at), F.lit(0).alias("_p"), value))
-    by = Window.partitionBy(*keys).orderBy(at, "_p").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("found", F.last(value, ignorenulls=True).over(by)).filter("_p = 1").select(*keys, at, "found")
+    parted = cells(both, [*keys, at, "_p"])
+    if parted is None:
+        by = Window.partitionBy(*keys).orderBy(at, "_p").rowsBetween(Window.unboundedPreceding, 0)
+        return both.withColumn("found", F.last(value, ignorenulls=True).over(by)).filter("_p = 1").select(*keys, at, "found")
+    mark = F.when(F.col("_p") == 0, F.struct(*keys, F.col(value).alias("_value")))
+    place = F.struct(*keys, at, "_p")
+    ends = parted.groupBy("_cell").agg(F.max_by(mark, F.when(F.col("_p") == 0, place)).alias("_end"))
+    # the last mark of all cells before, a row a cell
+    ends = ends.select("_cell", F.last("_end", ignorenulls=True).over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)).alias("_end"))
+    by = Window.partitionBy("_cell").orderBy(*keys, at, "_p").rowsBetween(Window.unboundedPreceding, 0)
+    rows = parted.join(F.broadcast(ends), "_cell").withColumn("_mark", F.coalesce(F.last(mark, ignorenulls=True).over(by), "_end"))
+    same = F.col("_mark").isNotNull()
+    for k in keys:
+        same &= F.col("_mark")[k].eqNullSafe(F.col(k))
+    return rows.withColumn("found", F.when(same, F.col("_mark")["_value"])).filter("_p = 1").select(*keys, at, "found")
+
+
+def overlapping(records: DataFrame, written: DataFrame, keys: list[str], width: int = 1 << 20) -> DataFrame:
+    """Records (lo, hi) that share a byte with a written range (w_lo, w_hi), by an equi-join on cells of width bytes."""
+    spread = lambda df, lo, hi: df.filter(F.col(hi) > F.col(lo)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width))))
+    own, other = spread(records, "lo", "hi"), spread(written, "w_lo", "w_hi").select(*keys, "_cell", "w_lo", "w_hi")
+    met = own.join(other, [*keys, "_cell"]).filter((F.col("lo") < F.col("w_hi")) & (F.col("w_lo") < F.col("hi")))
+    return met.drop("_cell", "w_lo", "w_hi").distinct()

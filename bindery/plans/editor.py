@@ -65,7 +65,7 @@ class Editor:
 
     def layout(self) -> DataFrame:
         """final() with the offset of every entry in an uncompressed tar image."""
-        return ranges.exclusive_prefix_sum(self.final().withColumn("span", fields.tar_span(F.col("size"))), "ord", "span", "offset", 1 << 20)
+        return ranges.exclusive_prefix_sum(self.final().withColumn("span", fields.tar_span(F.col("size"))), "ord", "span", "offset")
 
     def unchanged(self) -> bool:
         return not self.added and self.edits.isEmpty()

@@ -12,6 +12,7 @@ import zlib
 import duckdb
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from bindery.functions import checksums, codecs
 from bindery.operators import editing, ranges
@@ -180,14 +181,42 @@ def test_editor(spark):
             bad.check()
 
 
-def test_prefix_sum_levels(spark):
+@pytest.mark.parametrize("rows", [7, 10**6])
+def test_ranges_do_not_depend_on_cells(spark, monkeypatch, rows):
+    """Sums, lags, islands and as-of lookups over several cells of one archive and over sparse order numbers."""
+    monkeypatch.setattr(ranges, "CELL_ROWS", rows)
     rnd = random.Random(5)
-    data = [(i * 3, rnd.randrange(100)) for i in range(500)]
-    got = {r.o: r.lo for r in ranges.exclusive_prefix_sum(spark.createDataFrame(data, "o long, n long"), "o", "n", width=8).collect()}
-    total = 0
-    for o, n in data:
-        assert got[o] == total
-        total += n
+    data = [(k, i * rnd.choice([1, 10**7]) + i, rnd.randrange(100)) for k in ("a", "b", None) for i in range(60)]
+    data = [(k, o, n) for (k, o), n in {(k, o): n for k, o, n in data}.items()]
+    df = spark.createDataFrame(data, "k string, o long, n long")
+    by_key = {k: sorted((o, n) for x, o, n in data if x == k) for k in ("a", "b", None)}
+    sums, lags = {}, {}
+    for k, own in by_key.items():
+        total, last = 0, None
+        for o, n in own:
+            sums[k, o], lags[k, o], total, last = total, last, total + n, n
+    assert {(r.k, r.o): r.lo for r in ranges.prefix_sum_within(df, ["k"], ["o"], "n").collect()} == sums
+    assert {(r.k, r.o): r.p for r in ranges.previous(df, ["k"], ["o"], "n", "p").collect()} == lags
+    everything, total = {}, 0
+    for o, n in sorted((o, n) for o, n in by_key["a"]):
+        everything[o], total = total, total + n
+    assert {r.o: r.lo for r in ranges.exclusive_prefix_sum(df.filter("k = 'a'"), "o", "n").collect()} == everything
+    runs = ranges.islands(df, ["k"], ["o"], F.col("n") % 3 != 0).collect()
+    for k, own in by_key.items():
+        want, number = {}, 0
+        for o, n in own:
+            number += n % 3 == 0
+            want[o] = number
+        assert {r.o: r.island for r in runs if r.k == k} == want
+    points = df.filter("n % 2 = 0").select("k", (F.col("o") + 1).alias("o")).distinct()
+    found = ranges.at_or_before(points, df.filter("n % 5 <> 0 and k is not null"), ["k"], "o", "n").collect()
+    assert found and all(r.found == next((n for o, n in reversed(by_key[r.k]) if o <= r.o and n % 5 and r.k), None) for r in found)
+
+
+def test_overlapping(spark):
+    records = spark.createDataFrame([("a", 0, 10), ("a", 10, 20), ("a", 20, 20), ("b", 0, 5)], "k string, lo long, hi long")
+    written = spark.createDataFrame([("a", 9, 10), ("a", 15, 400), ("b", 5, 9)], "k string, w_lo long, w_hi long")
+    assert sorted((r.k, r.lo) for r in ranges.overlapping(records, written, ["k"], 8).collect()) == [("a", 0), ("a", 10)]
 
 
 def test_solid_blocks(spark):
