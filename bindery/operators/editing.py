@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bindery.functions import fields
+from bindery.operators import ranges
 
 
 def folded(edits: DataFrame) -> DataFrame:
@@ -61,16 +64,26 @@ def subtree_counts(entries: DataFrame) -> DataFrame:
     return ancestors(entries).groupBy("ancestor").agg(F.count("*").alias("entries"), F.count_if(F.col("kind") == "file").alias("files"), F.sum("size").alias("bytes"))
 
 
-def link_targets(links: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """idx, target, data_target of links that point backwards, by pointer doubling: log2 of the longest chain joins."""
-    rows = links.filter("target < idx").select("idx", "target", F.col("target").alias("data_target"))
-    for _ in range(max_rounds):
+def direct_targets(links: DataFrame, members: DataFrame) -> DataFrame:
+    """idx, target of hard links (idx, link): the last member before the link that has the name it points to and holds data or a link."""
+    named = members.select(F.col("idx").alias("_t"), F.col("path").alias("_name"))
+    met = links.select("idx", "link").join(named, (F.col("link") == F.col("_name")) & (F.col("_t") < F.col("idx")))
+    return met.groupBy("idx").agg(F.max("_t").alias("target"))
+
+
+def link_targets(links: DataFrame, cut=None) -> DataFrame:
+    """idx, target, data_target of links that point backwards, by pointer doubling: log2 of the longest chain joins.
+
+    Each round is cut (by default checkpointed), its changes are counted on what was cut, and rounds end when there are none.
+    """
+    cut = cut or (lambda df: df.checkpoint())
+    rows = cut(links.filter("target < idx").select("idx", "target", F.col("target").alias("data_target")))
+    while True:
         step = rows.select(F.col("idx").alias("_i"), F.col("data_target").alias("_t"))
-        nxt = rows.join(step, F.col("data_target") == F.col("_i"), "left")
-        if nxt.filter("_i is not null").isEmpty():
-            break
-        rows = nxt.select("idx", "target", F.coalesce("_t", "data_target").alias("data_target")).checkpoint()
-    return rows
+        nxt = cut(rows.join(step, F.col("data_target") == F.col("_i"), "left").select("idx", "target", F.coalesce("_t", "data_target").alias("data_target"), F.col("_i").isNotNull().alias("_moved")))
+        if nxt.filter("_moved").isEmpty():
+            return rows
+        rows = nxt.drop("_moved")
 
 
 def new_holders(targets: DataFrame, removed: DataFrame) -> DataFrame:
@@ -85,12 +98,18 @@ def first_of_inode(entries: DataFrame) -> DataFrame:
     return entries.join(first, ["dev", "ino"]).withColumn("is_link", F.col("idx") != F.col("first_idx"))
 
 
-def first_violation(path: Column, kind: Column, mtime: Column, target: Column, idx: Column, form: str) -> Column:
-    """The first rule, in order, by which an entry cannot be written in a format; null if it can."""
+def first_violation(path: Column, kind: Column, mtime: Column, target: Column, idx: Column, form: str, target_kind: Column | None = None) -> Column:
+    """The first rule, in order, by which an entry cannot be written in a format; null if it can.
+
+    A hard link must point back, and, where target_kind is given, to a file or to another such link.
+    """
     rule = F.when(fields.path_violation(path, kind == "directory", form.startswith("tar")).isNotNull(), "path").when(kind == "other", "kind")
     if form == "lha":
         rule = rule.when(kind == "symlink", "symlink")
-    rule = rule.when((kind == "hardlink") & (target.isNull() | (target < 0) | (target >= idx)), "target")
+    back = target.isNull() | (target < 0) | (target >= idx)
+    if target_kind is not None:
+        back |= ~F.coalesce(target_kind.isin("file", "hardlink"), F.lit(False))
+    rule = rule.when((kind == "hardlink") & back, "target")
     return rule.when(~fields.timestamp_fits(mtime, "tar" if form.startswith("tar") else form), "date")
 
 
@@ -109,35 +128,45 @@ def folder_work(files: DataFrame, removed: DataFrame) -> DataFrame:
     return counts.select("folder", "files", "gone", F.when(F.col("gone") == F.col("files"), "drop").when(F.col("gone") > 0, "reencode").otherwise("carry").alias("work"))
 
 
+def packed_blocks(n_keys: int, filtered: bool, max_bytes: int, max_files: int):
+    """Numbers the blocks of rows (keys, ord, size, filter) sorted by keys and ord."""
+
+    def run(batches):
+        key, block, size, count, chain = None, -1, 0, 0, None
+        for batch in batches:
+            out: list[int | None] = []
+            columns = [batch.column(k).to_pylist() for k in range(n_keys)]
+            chains = batch.column(n_keys + 2).to_pylist() if filtered else [None] * batch.num_rows
+            for own, n, f in zip(zip(*columns, strict=True), batch.column(n_keys + 1).to_pylist(), chains, strict=True):
+                if own != key:
+                    key, block, size, count = own, -1, 0, 0
+                if not n:
+                    out.append(None)
+                    continue
+                if block < 0 or size + n > max_bytes or count + 1 > max_files or f != chain:
+                    block, size, count, chain = block + 1, 0, 0, f
+                size, count = size + n, count + 1
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "block"])
+
+    return run
+
+
 def solid_blocks(files: DataFrame, keys: list[str], max_bytes: int, max_files: int) -> DataFrame:
     """Greedy solid blocks in order: a file that no longer fits opens a block, files are never split, empty ones have none.
 
-    Greedy packing carries state from row to row, so it is one grouped map an archive; archives are the unit of scale.
+    With a column `filter`, files of another filter open a block too. Greedy packing carries state from row to row, so the
+    numbers of an archive (no payload) pass through one task, sorted, but are never held there.
     """
-    import pandas as pd
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        out, block, size, count = [], -1, 0, 0
-        for n in pdf["size"].tolist():
-            if n == 0:
-                out.append(None)
-                continue
-            if block < 0 or size + n > max_bytes or count + 1 > max_files:
-                block, size, count = block + 1, 0, 0
-            size, count = size + n, count + 1
-            out.append(block)
-        return pdf.assign(block=pd.array(out, dtype="Int64"))
-
-    kept = files.select(*keys, "ord", "size")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", block bigint"
-    return kept.groupBy(*keys).applyInPandas(pack, schema)
+    filtered = "filter" in files.columns
+    kept = files.select(*keys, "ord", "size", *(["filter"] if filtered else []))
+    schema = T.StructType([*kept.schema.fields, T.StructField("block", T.LongType())])
+    return kept.repartition(*keys).sortWithinPartitions(*keys, "ord").mapInArrow(packed_blocks(len(keys), filtered, max_bytes, max_files), schema)
 
 
 def progress_faults(events: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Events whose progress is below the one before."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    return events.withColumn("before", F.lag(value).over(by)).filter(F.col(value) < F.col("before"))
+    return ranges.previous(events, keys, order, value, "before").filter(F.col(value) < F.col("before"))
 
 
 def differences(planned: DataFrame, actual: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bindery.functions import checksums, codecs, crypto, fields
 from bindery.functions import records as headers
 from bindery.operators import editing, ranges
+from bindery.plans import segments
 from bindery.shipping import ship
 from bindery.streaming import progress
 
@@ -215,11 +216,7 @@ SELECT c.idx, c.target, l.target FROM chase c JOIN links l ON c.data_target = l.
 
 
 def targets(spark, sf):
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="bindery-"))
-    return editing.link_targets(links(spark, sf))
+    return editing.link_targets(links(spark, sf), segments.checkpointed)
 
 
 @query(f"{CHASE} SELECT * FROM t")

@@ -14,9 +14,7 @@ import lzma
 import os
 import secrets
 import shutil
-import struct
 import tarfile
-import time
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -30,8 +28,8 @@ SEVEN_ZIP_FORMS = {"7z": "lzma2", "7z.lzma": "lzma", "7z.deflate": "deflate", "7
 CODERS = {"copy": b"\x00", "lzma2": b"\x21", "lzma": b"\x03\x01\x01", "deflate": b"\x04\x01\x08", "bzip2": b"\x04\x02\x02", "delta": b"\x03", "x86": b"\x03\x03\x01\x03", "arm64": b"\x0a"}
 LHA_FORMS = {"lzh": "lh5", "lzh.lh6": "lh6", "lzh.lh7": "lh7", "lzh.stored": "lh0"}
 DICTIONARY = 1 << 23
-TAR_CODECS = {"tar": None, "tar.gz": "gzip", "tar.bz2": "bzip2", "tar.xz": "xz", "tar.zst": "zstd", "tar.lzma": "lzma", "tar.lz": "lzip", "tar.lz4": "lz4", "tar.Z": "compress", "tar.br": "brotli"}
-STREAMS = {"gz": "gzip", "bz2": "bzip2", "xz": "xz", "zst": "zstd", "lzma": "lzma", "lz": "lzip", "lz4": "lz4", "Z": "compress", "br": "brotli"}
+TAR_CODECS = {"tar": None, "tar.gz": "gzip", "tar.bz2": "bzip2", "tar.xz": "xz", "tar.zst": "zstd", "tar.lzma": "lzma", "tar.lz": "lzip", "tar.lz4": "lz4", "tar.Z": "compress"}
+STREAMS = {"gz": "gzip", "bz2": "bzip2", "xz": "xz", "zst": "zstd", "lzma": "lzma", "lz": "lzip", "lz4": "lz4", "Z": "compress"}
 CHUNK = 16 << 20
 
 
@@ -74,15 +72,10 @@ class ChunkedCodec(io.RawIOBase):
         self.held.clear()
 
 
-def packed_lzma(data: bytes) -> tuple[bytes, bytes]:
-    """Properties and stream of LZMA, the stream with an end mark."""
-    alone = lzma.compress(data, lzma.FORMAT_ALONE, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": DICTIONARY}])
-    return alone[:5], alone[13:]
-
-
 def folder_packed(data: bytes, packer: str, chain: str | None) -> tuple[list, bytes]:
     """Coders, from the packer to the filter, and the packed stream of a 7z folder."""
     from bindery.functions.codecs import FILTERS, deflate_raw
+    from bindery.functions.entries import packed_lzma
 
     coders = [(CODERS[chain], b"\0" if chain == "delta" else b"")] if chain else []
     data, properties = FILTERS[chain](data) if chain else data, b""
@@ -139,63 +132,21 @@ class ArchiveWriter(DataSourceWriter):
             file.write(CODECS[STREAMS[self.form]](bytes(r["data"] or b"")))
         return at, f"{os.path.basename(checked(r['path'], False, True))}.{self.form}"
 
-    @staticmethod
-    def content(r) -> bytes:
-        """What an entry's stream holds: a symlink's target, a file's bytes, nothing of a folder."""
-        return (r.get("link") or "").encode() if r["kind"] == "symlink" else bytes(r.get("data") or b"") if r["kind"] == "file" else b""
-
-    @staticmethod
-    def mode(r) -> int:
-        if r["kind"] not in ("file", "directory", "symlink"):
-            raise ValueError(f"{r['path']!r}: a {r['kind']} can't be stored in this form")
-        kind = {"file": 0o100000, "directory": 0o040000, "symlink": 0o120000}[r["kind"]]
-        return kind | (r.get("mode") or (0o755 if r["kind"] == "directory" else 0o644))
-
-    @staticmethod
-    def seconds(r) -> int:
-        return 1_700_000_001 if r.get("mtime") is None else r["mtime"]
-
     def zip(self, file, rows):
-        from bindery.functions import crypto, records
-        from bindery.functions.codecs import CODECS
-        from bindery.functions.fields import STORED_EXTENSIONS, ZIP_METHODS
+        from bindery.functions import entries, records
 
         directory, count = bytearray(), 0
         for r in rows:
-            data, name, mode = self.content(r), r["path"].encode(), self.mode(r)
-            crc, extra = zlib.crc32(data), b""
-            stored = r["kind"] != "file" or not data or r["path"].rpartition(".")[2].lower() in STORED_EXTENSIONS
-            method = "stored" if stored else ZIP_FORMS[self.form]
-            if method == "lzma":
-                properties, packed = packed_lzma(data)
-                packed = b"\x09\x04" + struct.pack("<H", len(properties)) + properties + packed
-            else:
-                packed = CODECS[method](data)
-            flags = (0 if r["path"].isascii() else 0x800) | (2 if method == "lzma" else 0)
-            version = 63 if method in ("lzma", "zstd") else 46 if method == "bzip2" else 20
-            code, listed = ZIP_METHODS[method], crc
-            if self.password and r["kind"] != "directory":
-                flags, salt = flags | 1, crypto.entry_salt(self.secret, r["path"], crc)
-                if self.cipher == "aes":
-                    packed, kind, version = crypto.zip_aes(packed, self.password, salt), 1 if len(data) < 20 else 2, max(version, 51)
-                    extra, code, listed = records.zip_aes_extra(code, kind), 99, crc if kind == 1 else 0
-                else:
-                    packed = crypto.zip_stream(packed, self.password, crc, salt)
-            at, stamp = file.tell(), self.stamp(r)
-            file.write(records.zip_local(name, flags, code, stamp, listed, len(packed), len(data), extra, version) + packed)
-            directory += records.zip_central(name, flags, code, stamp, listed, len(packed), len(data), at, mode << 16 | (0x10 if r["kind"] == "directory" else 0), extra, version)
+            local, central = entries.zip_entry(r, ZIP_FORMS[self.form], self.password, self.cipher, self.secret)
+            directory += entries.zip_central(central, file.tell())
+            file.write(local)
             count += 1
         at = file.tell()
         file.write(directory + records.zip_end(count, len(directory), at))
 
-    def stamp(self, r) -> int:
-        t = time.gmtime(self.seconds(r))
-        y, mo, d, h, mi, s = (1980, 1, 1, 0, 0, 0) if t.tm_year < 1980 else (2107, 12, 31, 23, 59, 58) if t.tm_year > 2107 else t[:6]
-        return (y - 1980) << 25 | mo << 21 | d << 16 | h << 11 | mi << 5 | s // 2
-
     def seven_zip(self, file, rows):
         """Folders are filled in order, up to the block limits; a file is never split. The header comes last, the start is then set."""
-        from bindery.functions import records
+        from bindery.functions import entries, records
 
         file.write(bytes(32))
         folders, files, block, sizes, crcs = [], [], bytearray(), [], []
@@ -209,8 +160,8 @@ class ArchiveWriter(DataSourceWriter):
                     x.clear()
 
         for r in rows:
-            data, mode = self.content(r), self.mode(r)
-            files.append({"name": r["path"].rstrip("/"), "attributes": mode << 16 | 0x8000 | (0x10 if r["kind"] == "directory" else 0x20), "filetime": (self.seconds(r) + 11_644_473_600) * 10**7, "has_stream": bool(data), "directory": r["kind"] == "directory"})
+            data, mode = entries.content(r), entries.mode_of(r)
+            files.append({"name": r["path"].rstrip("/"), "attributes": mode << 16 | 0x8000 | (0x10 if r["kind"] == "directory" else 0x20), "filetime": (entries.seconds(r) + 11_644_473_600) * 10**7, "has_stream": bool(data), "directory": r["kind"] == "directory"})
             if data:
                 if sizes and (len(block) + len(data) > self.block_bytes or len(sizes) == self.block_files):
                     close()
@@ -225,20 +176,10 @@ class ArchiveWriter(DataSourceWriter):
 
     def lha(self, file, rows):
         """Members of level 2; one that its codec doesn't make smaller is stored."""
-        from bindery.functions import records
-        from bindery.functions.checksums import crc16_of
-        from bindery.functions.lh import static_huffman
+        from bindery.functions import entries
 
         for r in rows:
-            if r["kind"] == "symlink" or not 0 <= self.seconds(r) < 1 << 32:
-                raise ValueError(f"{r['path']!r}: kind or date can't be stored in this form")
-            data, mode, method = self.content(r), self.mode(r), LHA_FORMS[self.form]
-            packed = data if method == "lh0" else static_huffman(data, method)
-            if len(packed) >= len(data):
-                packed, method = data, "lh0"
-            if r["kind"] == "directory":
-                method = "lhd"
-            file.write(records.lha_header(f"-{method}-", r["path"], len(packed), len(data), self.seconds(r), crc16_of(data), mode) + packed)
+            file.write(entries.lha_entry(r, LHA_FORMS[self.form]))
         file.write(b"\0")
 
     def tar(self, file, rows):
@@ -282,8 +223,10 @@ class ArchiveSink(DataSource):
 
 
 def register(spark) -> None:
-    """Makes the archive sink, archive listings and file trees known to a session."""
+    """Makes the archive sink and the readers of archives and folders known to a session."""
     from bindery.sources.listing import ArchiveListing, FileTree
 
-    for source in (ArchiveSink, ArchiveListing, FileTree):
+    from bindery.sources.units import SOURCES
+
+    for source in (ArchiveSink, ArchiveListing, FileTree, *SOURCES):
         spark.dataSource.register(source)
