@@ -110,35 +110,6 @@ def unix_compress(data: bytes) -> bytes:
     return bytes(out)
 
 
-def brotli_stored(data: bytes) -> bytes:
-    """A valid Brotli stream of uncompressed meta-blocks; no compressor is installed here."""
-    acc, bits, out = 0, 0, bytearray()
-
-    def put(value: int, n: int) -> None:
-        nonlocal acc, bits
-        acc |= value << bits
-        bits += n
-        while bits >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            bits -= 8
-
-    put(0, 1)  # window of 16 bits
-    for at in range(0, len(data), 65536):
-        part = data[at : at + 65536]
-        put(0, 1)
-        put(0, 2)
-        put(len(part) - 1, 16)
-        put(1, 1)
-        if bits:
-            put(0, 8 - bits)
-        out.extend(part)
-    put(3, 2)
-    if bits:
-        put(0, 8 - bits)
-    return bytes(out)
-
-
 CODECS = {
     "stored": bytes,
     "deflate": deflate_raw,
@@ -151,7 +122,6 @@ CODECS = {
     "zstd": lambda d: zstandard.ZstdCompressor(level=3, write_checksum=True).compress(d),
     "lz4": lz4_frame,
     "compress": unix_compress,
-    "brotli": brotli_stored,
     "lh5": lambda d: static_huffman(d, "lh5"),
     "lh6": lambda d: static_huffman(d, "lh6"),
     "lh7": lambda d: static_huffman(d, "lh7"),
@@ -205,8 +175,17 @@ def filtered(data: str, kind: str, distance: int = 1) -> Column:
     """Reversible byte filters before compression: delta, x86 and arm64 branches."""
     if kind not in FILTERS:
         raise ValueError(f"unknown filter {kind}")
-    convert = (lambda x: delta(x, distance)) if kind == "delta" else FILTERS[kind]
+    return converted(data, (lambda x: delta(x, distance)) if kind == "delta" else FILTERS[kind])
+
+
+def unfiltered(data: Column, kind: str, distance: int = 1) -> Column:
+    """The inverse of filtered()."""
+    from bindery.functions.decoders import undo_delta, undo_x86
+
+    return converted(data, {"delta": lambda x: undo_delta(x, distance), "x86": undo_x86, "arm64": lambda x: branch_arm64(x, undo=True)}[kind])
+
 
+def converted(data, convert) -> Column:
     @F.pandas_udf("binary")
     def run(rows: pd.Series) -> pd.Series:
         return rows.map(lambda x: None if x is None else convert(bytes(x)))

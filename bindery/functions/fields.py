@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 #: Extensions whose content is compressed already and is stored as it is.
 STORED_EXTENSIONS = (
-    "zip gz bz2 xz 7z rar jpg jpeg png gif webp heic mp3 mp4 mov pdf avif jxl heif jp2 cbz cbr cb7 epub zst lz4 lzma tgz txz "
-    "m4a aac flac ogg opus webm mkv m4v docx xlsx pptx"
-).split()
+    "zip", "gz", "bz2", "xz", "7z", "rar", "jpg", "jpeg", "png", "gif", "webp", "heic", "mp3", "mp4", "mov", "pdf", "avif", "jxl", "heif", "jp2",
+    "cbz", "cbr", "cb7", "epub", "zst", "lz4", "lzma", "tgz", "txz", "m4a", "aac", "flac", "ogg", "opus", "webm", "mkv", "m4v", "docx", "xlsx",
+    "pptx",
+)
 LIMIT32 = 0xFFFFFFFF
 #: ZIP method numbers.
 ZIP_METHODS = {"stored": 0, "deflate": 8, "bzip2": 12, "lzma": 14, "zstd": 93, "xz": 95, "ppmd": 98}
@@ -87,6 +88,11 @@ def zip_method(path: Column, kind: Column, size: Column, chosen: str, heuristic:
     return F.when(stored, "stored").otherwise(chosen)
 
 
+def seven_zip_copies(stored: Column, kind: Column, size: Column, heuristic: Column) -> Column:
+    """Whether a 7z writer stores a file as it is: it has data, its extension says it is compressed, and the heuristic is on."""
+    return (kind == "file") & (size > 0) & stored & heuristic
+
+
 def aes_version(encrypted: Column, size: Column) -> Column:
     return F.when(encrypted, F.when(size < 20, 1).otherwise(2))
 

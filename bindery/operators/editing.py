@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindery.functions import fields
+from bindery.functions import fields, records
 from bindery.operators import ranges
 
 
@@ -113,12 +113,12 @@ def first_violation(path: Column, kind: Column, mtime: Column, target: Column, i
     return rule.when(~fields.timestamp_fits(mtime, "tar" if form.startswith("tar") else form), "date")
 
 
-def record_actions(records: DataFrame) -> DataFrame:
-    """Action of each surviving ZIP record. records: old_lo, new_lo, header_length, new_header_length (null: not renamed), dirty."""
+def record_actions(listed: DataFrame) -> DataFrame:
+    """Action of each surviving ZIP record. listed: old_lo, new_lo, header_length, new_header_length (null: not renamed), dirty."""
     still = (F.col("new_lo") == F.col("old_lo")) & ~F.col("dirty")
     same = F.col("new_header_length") == F.col("header_length")
     action = F.when(F.col("new_header_length").isNull(), F.when(still, "keep").otherwise("copy")).when(same & still, "patchHeader").otherwise("headerThenCopy")
-    return records.withColumn("action", action)
+    return listed.withColumn("action", action)
 
 
 def folder_work(files: DataFrame, removed: DataFrame) -> DataFrame:
@@ -172,3 +172,39 @@ def progress_faults(events: DataFrame, keys: list[str], order: list[str], value:
 def differences(planned: DataFrame, actual: DataFrame) -> DataFrame:
     """Rows of one side only, with multiplicity: what verification reports."""
     return planned.exceptAll(actual).withColumn("side", F.lit("planned")).unionByName(actual.exceptAll(planned).withColumn("side", F.lit("actual")))
+
+
+def position_faults(model: DataFrame, reader: DataFrame) -> DataFrame:
+    """Entries (idx, path, size) of which a model and a reader don't say the same, position by position: idx and fault."""
+    a = model.select("idx", F.col("path").alias("_p1"), F.col("size").alias("_s1"), F.lit(True).alias("_m"))
+    b = reader.select("idx", F.col("path").alias("_p2"), F.col("size").alias("_s2"), F.lit(True).alias("_r"))
+    fault = F.when(F.col("_m").isNull(), "not in the model").when(F.col("_r").isNull(), "not read").when(~F.col("_p1").eqNullSafe(F.col("_p2")), "name").when(~F.col("_s1").eqNullSafe(F.col("_s2")), "size")
+    return a.join(b, "idx", "full").select("idx", fault.alias("fault")).filter("fault is not null")
+
+
+def name_conflicts(candidates: DataFrame, live: DataFrame) -> DataFrame:
+    """candidate, path, exact, below_file and over_entries of new names that collide with live entries (path, kind).
+
+    Both sides are compared in composed form, live names as they were stored; ancestors meet by equality, so no name is
+    compared with all others.
+    """
+    new = candidates.select("candidate", F.regexp_replace(records.nfc("path"), "/$", "").alias("path"))
+    old = live.select(F.regexp_replace(records.nfc("path"), "/$", "").alias("path"), "kind")
+    files = old.filter("kind <> 'directory'").select(F.col("path").alias("ancestor")).distinct()
+    exact = new.join(old.select("path").distinct(), "path", "left_semi").select("candidate", F.lit("exact").alias("why"))
+    below = ancestors(new).join(files, "ancestor", "left_semi").select("candidate", F.lit("below").alias("why"))
+    over = new.join(ancestors(old).select(F.col("ancestor").alias("path")).distinct(), "path", "left_semi").select("candidate", F.lit("over").alias("why"))
+    found = exact.unionByName(below).unionByName(over).groupBy("candidate").agg(*[F.bool_or(F.col("why") == w).alias(n) for w, n in (("exact", "exact"), ("below", "below_file"), ("over", "over_entries"))])
+    return new.join(found, "candidate")
+
+
+def work_units(segments: DataFrame) -> DataFrame:
+    """One row: work units of a commit, by the kind of each segment (kind, length): sources are read, written and read back."""
+    weight = F.when(F.col("kind") == "source", 3).when(F.col("kind") == "scratch", 2).otherwise(1)
+    return segments.agg(F.coalesce(F.sum(F.col("length") * weight), F.lit(0)).alias("units"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def verification_units(folders: DataFrame, header: int = 0) -> DataFrame:
+    """One row: bytes that verifying an edited 7z archive decodes: the header, folders that were written, and of converted ones their packed plain bytes."""
+    size = F.when(F.col("work").isin("reencode", "added"), F.col("size")).when(F.col("work") == "convert", F.col("packed")).otherwise(0)
+    return folders.agg((F.coalesce(F.sum(size), F.lit(0)) + F.lit(header)).alias("units"))

@@ -413,9 +413,32 @@ def document_codec_sizes(spark, sf):
     return in_codecs(payloads(spark, sf, "documents", "doc_id"), "doc_id")
 
 
-@query()
+def packing(files: str, max_bytes: int, max_files: int, filtered: bool = False) -> str:
+    """Greedy packing in SQL, one row a step of a recursion."""
+    opens = f"held + f.size > {max_bytes} OR n + 1 > {max_files}" + (" OR f.filter <> b.filter" if filtered else "")
+    extra = ", filter" if filtered else ""
+    return f"""WITH RECURSIVE files AS ({files}), f AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY ord) AS k FROM files WHERE size > 0),
+b AS (SELECT archive, ord, size{extra}, k, 0::BIGINT AS block, size AS held, 1 AS n FROM f WHERE k = 1 UNION ALL
+SELECT f.archive, f.ord, f.size{", f.filter" if filtered else ""}, f.k, CASE WHEN {opens} THEN block + 1 ELSE block END, CASE WHEN {opens} THEN f.size ELSE held + f.size END, CASE WHEN {opens} THEN 1 ELSE n + 1 END
+FROM b JOIN f ON f.archive = b.archive AND f.k = b.k + 1)
+SELECT archive, ord, size{extra}, block FROM b UNION ALL SELECT archive, ord, size{extra}, NULL FROM files WHERE size IS NULL OR size = 0"""
+
+
+TURNS = "SELECT conv_id % 16 AS archive, conv_id * 1000 + turn AS ord, strlen(text)::BIGINT AS size{} FROM conversations"
+
+
+def turns(spark, sf):
+    return read(spark, sf, "conversations").select(F.pmod("conv_id", F.lit(16)).alias("archive"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.octet_length("text").cast("long").alias("size"))
+
+
+@query(packing(TURNS.format(""), 65536, 50))
 def solid_packing(spark, sf):
-    rows = read(spark, sf, "conversations").select(F.pmod("conv_id", F.lit(16)).alias("archive"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.octet_length("text").cast("long").alias("size"))
+    return editing.solid_blocks(turns(spark, sf), ["archive"], 65536, 50)
+
+
+@query(packing(TURNS.format(", CASE WHEN (conv_id * 1000 + turn) % 7 < 5 THEN 'none' ELSE 'x86' END AS filter"), 65536, 50, True))
+def filter_blocks(spark, sf):
+    rows = turns(spark, sf).withColumn("filter", F.when(F.col("ord") % 7 < 5, "none").otherwise("x86"))
     return editing.solid_blocks(rows, ["archive"], 65536, 50)
 
 
@@ -448,31 +471,33 @@ def encrypted(rows, ident):
     rows = rows.withColumn("b", crypto.reencrypted("a", "crc", "salt", stream, aes)).withColumn("c", crypto.reencrypted("b", "crc", "salt", aes, None))
     cbc = crypto.cbc_encrypted(F.col("data"), F.unhex(F.sha2(F.lit("key"), 256)), F.col("salt"))
     size = lambda c: F.octet_length(c).cast("long")
-    return rows.select(ident, size(cbc).alias("cbc_bytes"), size("b").alias("aes_bytes"), size("a").alias("stream_bytes"), (F.col("c") == F.col("data")).alias("same"))
+    hidden = (F.col("a") != F.col("data")) & (F.col("b") != F.col("data"))
+    return rows.select(ident, size(cbc).alias("cbc_bytes"), size("b").alias("aes_bytes"), size("a").alias("stream_bytes"), F.sha2("c", 256).alias("opened"), hidden.alias("hidden"))
 
 
 @query("""SELECT item_id, (strlen(text) + (16 - strlen(text) % 16) % 16)::BIGINT AS cbc_bytes, strlen(text)::BIGINT + 28 AS aes_bytes,
-  strlen(text)::BIGINT + 12 AS stream_bytes, true AS same FROM benchmark""")
+  strlen(text)::BIGINT + 12 AS stream_bytes, sha256(text) AS opened, true AS hidden FROM benchmark""")
 def encrypted_entries(spark, sf):
     return encrypted(payloads(spark, sf, "benchmark", "item_id"), "item_id")
 
 
 @query("""SELECT doc_id, (strlen(text) + (16 - strlen(text) % 16) % 16)::BIGINT AS cbc_bytes, strlen(text)::BIGINT + 28 AS aes_bytes,
-  strlen(text)::BIGINT + 12 AS stream_bytes, true AS same FROM documents""")
+  strlen(text)::BIGINT + 12 AS stream_bytes, sha256(text) AS opened, true AS hidden FROM documents""")
 def encrypted_documents(spark, sf):
     return encrypted(payloads(spark, sf, "documents", "doc_id"), "doc_id")
 
 
 def in_filters(rows, ident):
-    """Filters keep every length."""
-    return rows.select(ident, *[F.octet_length(codecs.filtered("data", k)).cast("long").alias(f"{k}_bytes") for k in codecs.FILTERS])
+    """Filters keep every length and can be undone; differences of neighbours are other bytes."""
+    undone = [F.sha2(codecs.unfiltered(codecs.filtered("data", k), k), 256).alias(f"{k}_undone") for k in codecs.FILTERS]
+    return rows.select(ident, F.octet_length(codecs.filtered("data", "delta")).cast("long").alias("bytes"), *undone, (codecs.filtered("data", "delta") != F.col("data")).alias("delta_differs"))
 
 
-@query("SELECT item_id, strlen(text)::BIGINT AS delta_bytes, strlen(text)::BIGINT AS x86_bytes, strlen(text)::BIGINT AS arm64_bytes FROM benchmark")
+@query("SELECT item_id, strlen(text)::BIGINT AS bytes, sha256(text) AS delta_undone, sha256(text) AS x86_undone, sha256(text) AS arm64_undone, len(text) > 1 AS delta_differs FROM benchmark")
 def filtered_sizes(spark, sf):
     return in_filters(payloads(spark, sf, "benchmark", "item_id"), "item_id")
 
 
-@query("SELECT doc_id, strlen(text)::BIGINT AS delta_bytes, strlen(text)::BIGINT AS x86_bytes, strlen(text)::BIGINT AS arm64_bytes FROM documents")
+@query("SELECT doc_id, strlen(text)::BIGINT AS bytes, sha256(text) AS delta_undone, sha256(text) AS x86_undone, sha256(text) AS arm64_undone, len(text) > 1 AS delta_differs FROM documents")
 def filtered_document_sizes(spark, sf):
     return in_filters(payloads(spark, sf, "documents", "doc_id"), "doc_id")

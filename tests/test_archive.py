@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions import checksums, codecs
 from bindery.operators import editing, ranges
-from bindery.plans import catalog
+from bindery.plans import archives, catalog  # noqa: F401
 from bindery.plans.editor import Editor, EditError
 from bindery.sources import sinks
 from bindery.streaming import progress
