@@ -40,7 +40,7 @@ def shaped(rows: DataFrame) -> DataFrame:
 def refused(rows: DataFrame, form: str) -> None:
     """Raises for the first entry, by number, that the form cannot hold: by its name, kind, link or date, or by names that collide."""
     family = "tar" if form.startswith("tar") else {"lzh": "lha"}.get(form, form)
-    names = rows.select("ord", "path", "kind", "mtime", "link")
+    names = segments.checkpointed(rows.select("ord", "path", "kind", "mtime", "link"))
     stored = F.regexp_replace("path", "/$", "")
     by_rule = names.withColumn("target", F.when(F.col("link").isNotNull(), F.lit(0)).otherwise(F.lit(None)).cast("long"))
     reason = editing.first_violation(stored, F.when(F.col("kind").isin("file", "directory", "symlink", "hardlink"), F.col("kind")).otherwise("other"), F.coalesce("mtime", F.lit(0)), F.col("target"), F.col("ord") + 1, family)

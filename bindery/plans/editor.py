@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions import fields, records
 from bindery.operators import editing, ranges
+from bindery.plans import segments
 
 
 class EditError(ValueError):
@@ -55,7 +56,7 @@ class Editor:
         bad = editing.edit_violations(self.edits, self.entries).agg(F.min_by(F.struct("seq", "idx", "reason"), F.struct("seq", "idx")).alias("e")).first().e
         if bad:
             raise EditError(f"edit {bad.seq} of entry {bad.idx}: {bad.reason}")
-        names = self.final().withColumn("path", records.nfc("path"))
+        names = segments.checkpointed(self.final().withColumn("path", records.nfc("path")))
         wrong = names.withColumn("rule", fields.path_violation(F.col("path"), F.col("kind") == "directory", self.form.startswith("tar"))).filter("rule is not null").agg(F.min_by(F.struct("path", "rule"), "ord").alias("e")).first().e
         if wrong:
             raise EditError(f"{wrong.path!r}: {wrong.rule}")

@@ -100,8 +100,18 @@ class Updater:
         found = self.editor.additions()
         return create.union(*[f.select(*create.COLUMNS) for f in found]) if found else None
 
+    def freeze(self) -> None:
+        """Edits are read once, when a commit begins."""
+        self.editor.edits = segments.checkpointed(self.editor.edits)
+        self.frozen = segments.checkpointed(self.joined())
+
+    frozen: DataFrame | None = None
+
     def state(self) -> DataFrame:
         """Units with what the edits make of them: gone, and new_path where the name changes."""
+        return self.joined() if self.frozen is None else self.frozen
+
+    def joined(self) -> DataFrame:
         found = editing.folded(self.editor.edits)
         rows = self.units.join(found, "idx", "left")
         return rows.withColumn("gone", F.coalesce("removed", F.lit(False))).withColumn("new_path", F.when(~F.coalesce("removed", F.lit(False)) & (F.col("new_path") != F.col("path")), F.col("new_path"))).drop("removed")
@@ -110,6 +120,7 @@ class Updater:
         """Writes and publishes; progress(done, total) is called in order and ends the commit if it raises."""
         if self.done:
             raise ValueError("already committed")
+        self.freeze()
         self.editor.check()
         if (added := self.added()) is not None:
             create.refused(added, self.form)
@@ -198,7 +209,7 @@ class TarUpdater(Updater):
 
     def planned(self) -> DataFrame:
         """Units that stay, with what changes in their headers."""
-        state = segments.checkpointed(self.state())
+        state = self.state()
         rows = state.filter("not gone").join(self.links(state), "idx", "left")
         name = F.when(F.col("new_path").isNotNull(), F.concat(F.regexp_replace("new_path", "/+$", ""), F.when((F.col("kind") == "directory") & F.col("path").endswith("/"), "/").otherwise("")))
         return rows.withColumn("new_name", name).withColumn("m_size", F.col("m_hi") - F.col("m_lo"))
@@ -566,6 +577,7 @@ class CompressedTarUpdater(TarUpdater):
 
     def commit(self, progress=None, fault=None) -> segments.Statistics:
         try:
+            self.freeze()
             self.editor.check()
             added = self.added()
             if added is not None:
@@ -612,7 +624,7 @@ class Rewriter(Updater):
     def result(self, form: str) -> DataFrame:
         """The entries of the new archive with their payloads. A link whose file goes takes its data, as do all links in a form
         without links; the first surviving one stands for it where there are links."""
-        state = segments.checkpointed(self.state())
+        state = self.state()
         rows = state.filter("not gone").join(self.payloads.select("idx", "data"), "idx")
         links = state.filter("kind = 'hardlink'").select("idx", "link")
         if not links.isEmpty():
@@ -645,6 +657,7 @@ class Rewriter(Updater):
         """Writes dest, which must not exist, or replaces the archive."""
         if self.done:
             raise ValueError("already committed")
+        self.freeze()
         options = self.options.checked(form)
         self.editor.form = form
         self.editor.check()
