@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def crc32_matrix_times(matrix: list[int], vector: int) -> int:
+def times(matrix: tuple[int, ...], vector: int) -> int:
+    """A 32 x 32 matrix over GF(2), by columns, and a vector."""
     out, i = 0, 0
     while vector:
         if vector & 1:
@@ -22,34 +24,65 @@ def crc32_matrix_times(matrix: list[int], vector: int) -> int:
     return out
 
 
+@functools.cache
+def squared(power: int) -> tuple[int, ...]:
+    """What 2**power zero bits do to a CRC-32."""
+    if not power:
+        return (0xEDB88320, *(1 << i for i in range(31)))
+    half = squared(power - 1)
+    return tuple(times(half, column) for column in half)
+
+
+@functools.lru_cache(1 << 12)
+def moved(length: int) -> tuple[int, ...]:
+    """What `length` zero bytes do to a CRC-32; chunks mostly have few lengths."""
+    out = tuple(1 << i for i in range(32))
+    for power in range((length * 8).bit_length()):
+        if length * 8 >> power & 1:
+            out = tuple(times(squared(power), column) for column in out)
+    return out
+
+
 def crc32_combine(first: int, second: int, second_length: int) -> int:
-    """CRC-32 of two parts from theirs: first is moved on by second_length zero bytes in GF(2)."""
-    move = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
-    length = second_length * 8
-    while length:
-        if length & 1:
-            first = crc32_matrix_times(move, first)
-        move = [crc32_matrix_times(move, m) for m in move]
-        length >>= 1
-    return first ^ second
+    """CRC-32 of two parts from theirs: first is moved on by second_length zero bytes."""
+    return times(moved(second_length), first) ^ second if second_length else first
 
 
-def merged_crc32(chunks: DataFrame, keys: list[str], order: str, data: str) -> DataFrame:
-    """CRC-32 and length of each key's chunks in order. Chunk CRCs are built-in; only (crc, length) pairs are merged."""
-    pairs = chunks.select(*keys, F.col(order).alias("_o"), F.crc32(data).alias("_c"), F.octet_length(data).cast("long").alias("_n"))
-    lists = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_o", "_c", "_n"))).alias("_p"))
+def folded(n_keys: int):
+    """One row for each run of rows of a key, sorted by key and order: the key, the first order, and the CRC and length of all chunks."""
 
-    @F.pandas_udf("long")
-    def fold(parts: pd.Series) -> pd.Series:
-        def one(p):
-            crc = 0
-            for x in p:
-                crc = crc32_combine(crc, x["_c"], x["_n"])
-            return crc
+    def run(batches):
+        key, order, crc, size, schema = None, None, 0, 0, None
 
-        return parts.map(one)
+        def row():
+            values = [*key, order, crc, size]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
-    return lists.select(*keys, fold("_p").alias("crc32"), F.expr("aggregate(_p, 0L, (a, x) -> a + x._n)").alias("size"))
+        for batch in batches:
+            schema = batch.schema
+            columns = [c.to_pylist() for c in batch.columns]
+            for i, own in enumerate(zip(*columns[:n_keys], strict=True)):
+                if own != key:
+                    if key is not None:
+                        yield row()
+                    key, order, crc, size = own, columns[n_keys][i], 0, 0
+                crc, size = crc32_combine(crc, columns[n_keys + 1][i], columns[n_keys + 2][i]), size + columns[n_keys + 2][i]
+        if key is not None:
+            yield row()
+
+    return run
+
+
+def merged_crc32(chunks: DataFrame, keys: list[str], order: str, data: str) -> DataFrame:
+    """CRC-32 and length of each key's chunks in order.
+
+    Chunk CRCs are built-in; (crc, length) pairs are folded twice: within ranges of the sort order, so one key may reach over
+    many tasks, and then a row a range.
+    """
+    pairs = chunks.select(*keys, F.col(order).alias("_o"), F.crc32(data).alias("_c"), F.octet_length(data).cast("long").alias("_n"))
+    ranged = pairs.repartitionByRange(*keys, "_o").sortWithinPartitions(*keys, "_o").mapInArrow(folded(len(keys)), pairs.schema)
+    whole = ranged.repartition(*keys).sortWithinPartitions(*keys, "_o").mapInArrow(folded(len(keys)), pairs.schema)
+    return whole.select(*keys, F.col("_c").alias("crc32"), F.col("_n").alias("size"))
 
 
 _CRC16 = []

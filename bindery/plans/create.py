@@ -58,8 +58,23 @@ def refused(rows: DataFrame, form: str) -> None:
 
 
 def as_dicts(batch: pa.RecordBatch):
-    for row in batch.to_pylist():
-        yield row
+    yield from batch.to_pylist()
+
+
+OUT_BYTES = 8 << 20
+
+
+def gathered(found, schema: pa.Schema):
+    """Batches of rows (tuples) of about OUT_BYTES, by the bytes of their binary columns."""
+    held, size = [], 0
+    for row in found:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes))
+        if size > OUT_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 # ZIP
@@ -73,11 +88,14 @@ def zip_rows(rows: DataFrame, options: Options) -> DataFrame:
     chosen, password, cipher, heuristic = options.method, options.password, options.cipher, options.heuristic
     schema = segments_schema(ZIP_ROWS)
 
-    def run(batches):
+    def rows_of(batches):
         for batch in batches:
             for r in as_dicts(batch):
                 local, known = entries.zip_entry(r, chosen, password, cipher, secret, heuristic)
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (r["ord"], local, len(local), *known), strict=True))], schema=schema)
+                yield (r["ord"], local, len(local), *known)
+
+    def run(batches):
+        yield from gathered(rows_of(batches), schema)
 
     return rows.mapInArrow(run, ZIP_ROWS)
 
@@ -117,12 +135,17 @@ def zip_segments(rows: DataFrame, options: Options) -> DataFrame:
 def tar_bytes(rows: DataFrame) -> DataFrame:
     """ord, header (bytes of headers), bytes (headers, data and padding) of every entry."""
 
-    def run(batches):
+    schema = segments_schema("ord long, header long, bytes binary")
+
+    def rows_of(batches):
         for batch in batches:
             for r in as_dicts(batch):
                 whole = entries.tar_entry(r)
                 body = len(r["data"] or b"") if r["kind"] == "file" else 0
-                yield pa.RecordBatch.from_arrays([pa.array([r["ord"]], pa.int64()), pa.array([len(whole) - body - -body % headers.BLOCK], pa.int64()), pa.array([whole], pa.binary())], names=["ord", "header", "bytes"])
+                yield r["ord"], len(whole) - body - -body % headers.BLOCK, whole
+
+    def run(batches):
+        yield from gathered(rows_of(batches), schema)
 
     return rows.mapInArrow(run, "ord long, header long, bytes binary")
 
@@ -211,10 +234,10 @@ def lha_segments(rows: DataFrame, method: str) -> DataFrame:
 
 
 def lha_rows(rows: DataFrame, method: str) -> DataFrame:
+    schema = segments_schema("ord long, bytes binary")
+
     def run(batches):
-        for batch in batches:
-            for r in as_dicts(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([r["ord"]], pa.int64()), pa.array([entries.lha_entry(r, method)], pa.binary())], names=["ord", "bytes"])
+        yield from gathered(((r["ord"], entries.lha_entry(r, method)) for batch in batches for r in as_dicts(batch)), schema)
 
     return rows.mapInArrow(run, "ord long, bytes binary")
 

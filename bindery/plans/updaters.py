@@ -12,6 +12,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,13 @@ class Updater:
         self.editor.add(shaped.drop("ord").withColumn("size", size))
         return self
 
+    def finish_additions(self) -> None:
+        """Reads what add() was given now, so that its sources may change or go; payloads wait in the shared folder."""
+        self.editor.added = [a if i < self.read else segments.checkpointed(a) for i, a in enumerate(self.editor.added)]
+        self.read = len(self.editor.added)
+
+    read = 0  # additions that have been read
+
     def cancel(self) -> None:
         """Ends the jobs of a running commit, from another thread; the archive stays as it was."""
         self.spark.sparkContext.cancelJobGroup(f"commit-{id(self)}")
@@ -127,6 +135,7 @@ class Updater:
         total = os.path.getsize(self.path)
         tell = progress or (lambda *_: None)
         tell(0, total)
+        self.finish_additions()
         self.spark.sparkContext.setJobGroup(f"commit-{id(self)}", f"commit of {self.path}", True)
         try:
             if self.unchanged():
@@ -144,6 +153,10 @@ class Updater:
                     tell(total, total)
 
                 stats = segments.write(plan, self.path, True, check, fault)
+        except PySparkException as e:
+            if "WrongPassword" in str(e):
+                raise decoders.WrongPassword("the password doesn't open the archive") from None
+            raise
         finally:
             for name in ("spark.jobGroup.id", "spark.job.description"):
                 self.spark.sparkContext.setLocalProperty(name, None)

@@ -57,33 +57,69 @@ class ArchiveListing(DataSource):
 
 
 class FilesReader(ListingReader):
+    """Folders are listed level by level until there are enough of them to deal out; a task takes one of these, or a folder's files.
+
+    With the option payload, files are read too; one that changes meanwhile fails.
+    """
+
+    ENOUGH = 256
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.payload = str(options.get("payload", "false")).lower() == "true"
+
     def partitions(self):
-        top = sorted(os.scandir(self.path), key=lambda e: e.name)
-        return [File(e.path) for e in top]
+        parts, todo = [], [self.path]
+        while todo and len(parts) + len(todo) < self.ENOUGH:
+            at, todo = todo[0], todo[1:]
+            for e in sorted(os.scandir(at), key=lambda e: e.name):
+                if e.is_dir(follow_symlinks=False):
+                    todo.append(e.path)
+                    parts.append(Listed(e.path, False))
+                else:
+                    parts.append(Listed(e.path, False))
+        return parts + [Listed(p, True) for p in todo]
 
     def read(self, partition):
-        """The entry and all below it, names in order; symlinks are entries and not followed."""
-        root, todo = self.path, [partition.path]
+        """An entry, or all below a folder, names in order; symlinks are entries and not followed."""
+        todo = [partition.path]
+        if partition.below:
+            todo = sorted((os.path.join(partition.path, x) for x in os.listdir(partition.path)), reverse=True)
         while todo:
             at = todo.pop()
-            info, name = os.lstat(at), os.path.relpath(at, root)
-            kind = "symlink" if os.path.islink(at) else "directory" if os.path.isdir(at) else "file" if os.path.isfile(at) else "other"
-            if kind == "other":
-                raise ValueError(f"{at}: this kind of file can't be stored")
-            yield name, kind, info.st_size if kind == "file" else 0, info.st_mode & 0o7777, int(info.st_mtime // 1), os.readlink(at) if kind == "symlink" else None, info.st_dev, info.st_ino
-            if kind == "directory":
+            yield self.row(at)
+            if partition.below and os.path.isdir(at) and not os.path.islink(at):
                 todo += sorted((os.path.join(at, x) for x in os.listdir(at)), reverse=True)
 
+    def row(self, at: str) -> tuple:
+        info, name = os.lstat(at), os.path.relpath(at, self.path)
+        kind = "symlink" if os.path.islink(at) else "directory" if os.path.isdir(at) else "file" if os.path.isfile(at) else "other"
+        if kind == "other":
+            raise ValueError(f"{at}: this kind of file can't be stored")
+        data = None
+        if self.payload and kind == "file":
+            with open(at, "rb") as file:
+                data = file.read()
+            again = os.lstat(at)
+            if (again.st_ino, again.st_mode, again.st_size, again.st_mtime_ns) != (info.st_ino, info.st_mode, info.st_size, info.st_mtime_ns) or len(data) != info.st_size:
+                raise ValueError(f"{at}: changed while it was read")
+        return name, kind, info.st_size if kind == "file" else 0, info.st_mode & 0o7777, int(info.st_mtime // 1), os.readlink(at) if kind == "symlink" else None, info.st_dev, info.st_ino, data
+
+
+class Listed(InputPartition):
+    def __init__(self, path: str, below: bool):
+        self.path, self.below = path, below
+
 
 class FileTree(DataSource):
-    """spark.read.format("file_tree").load(folder): what an archive of the folder would list, without payloads."""
+    """spark.read.format("file_tree").load(folder): what an archive of the folder would list; with payload, what it would hold."""
 
     @classmethod
     def name(cls):
         return "file_tree"
 
     def schema(self):
-        return "path string, kind string, size long, mode int, mtime long, link string, dev long, ino long"
+        return "path string, kind string, size long, mode int, mtime long, link string, dev long, ino long, data binary"
 
     def reader(self, schema):
         return FilesReader(self.options)

@@ -126,6 +126,15 @@ def test_crc32_combines():
             assert checksums.crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
+def test_merged_crc32_over_many_tasks(spark):
+    rnd = random.Random(8)
+    chunks = [(k, i, bytes(rnd.randrange(256) for _ in range(rnd.choice([0, 1, 7, 100])))) for k in ("a", "b", None) for i in range(70)]
+    got = {r.k: (r.crc32, r.size) for r in checksums.merged_crc32(spark.createDataFrame(chunks, "k string, i int, d binary").repartition(5), ["k"], "i", "d").collect()}
+    for k in ("a", "b", None):
+        whole = b"".join(d for x, _, d in chunks if x == k)
+        assert got[k] == (zlib.crc32(whole), len(whole))
+
+
 def test_crc16_known_value():
     assert checksums.crc16_of(b"123456789") == 0xBB3D
 

@@ -243,3 +243,25 @@ def test_zip_headers_of_renamed_entries():
     moved = headers.zip_central_moved(record, 2**33, 9, 5, "é".encode())
     assert moved[46:48] == "é".encode() and moved[42:46] == b"\xff" * 4 and b"\x01\x00\x08\x00" + (2**33).to_bytes(8, "little") in moved and moved[8:10] == b"\x00\x08"
     assert headers.zip_central_moved(moved, 5, 9, 5).endswith("é".encode() + b"\x99\x99\x02\x00zz")
+
+
+def test_pieces_make_one_stream(spark):
+    import bz2
+    import gzip
+    import lzma
+
+    from bindery.functions import pieces
+
+    for data in (b"", b"a" * 900_000, RND.randbytes(800_000), b"the cat and the hat " * 60_000, bytes(RND.choice(b"ab") for _ in range(300_000))):
+        parts = [data[i : i + pieces.bzip2_cap(2)] for i in range(0, len(data), pieces.bzip2_cap(2))]
+        assert bz2.decompress(pieces.bzip2_stream([pieces.bzip2_block(p, 2) for p in parts], 2)) == data
+        parts = [data[i : i + 250_000] for i in range(0, len(data), 250_000)]
+        assert lzma.decompress(pieces.xz_stream([pieces.xz_block(p, 1) for p in parts])) == data
+    whole = {k: b"some words of text, " * n for k, n in (("a", 4000), ("b", 10), ("c", 0))}
+    df = spark.createDataFrame(list(whole.items()), "k string, data binary").select("k", F.explode(pieces.cut(F.col("data"), 30_000)).alias("p")).select("k", "p.piece", "p.bytes")
+    rows = pieces.deflated(df, ["k"], "piece", "bytes").collect()
+    for k, data in whole.items():
+        own = sorted((r for r in rows if r.k == k), key=lambda r: r.piece)
+        packed = pieces.gzip_of([bytes(r.block) for r in own], [r.crc for r in own], [r.size for r in own])
+        assert gzip.decompress(packed) == data and (len(own) == 3 or k != "a")
+        assert len(packed) < 2000  # pieces after the first find their words in the one before
