@@ -126,6 +126,22 @@ CODECS = {
     "lh6": lambda d: static_huffman(d, "lh6"),
     "lh7": lambda d: static_huffman(d, "lh7"),
 }
+
+
+def leveled(codec: str, deflate: int = 6, bzip2: int = 9, zstd: int = 3, preset: int = 6):
+    """The codec at chosen levels; those without levels as they are. A preset may be made extreme (lzma.PRESET_EXTREME)."""
+    chosen = {
+        "deflate": lambda d: deflate_raw(d, deflate),
+        "zlib": lambda d: zlib.compress(d, deflate),
+        "gzip": lambda d: gzip.compress(d, deflate, mtime=0),
+        "bzip2": lambda d: bz2.compress(d, bzip2),
+        "xz": lambda d: lzma.compress(d, lzma.FORMAT_XZ, preset=preset),
+        "lzma": lambda d: lzma.compress(d, lzma.FORMAT_ALONE, preset=preset),
+        "zstd": lambda d: zstandard.ZstdCompressor(level=zstd, write_checksum=True).compress(d),
+    }
+    return chosen.get(codec, CODECS[codec])
+
+
 #: Codecs whose outputs may be written one after the other: the parts decode to the joined data.
 JOINABLE = ("gzip", "bzip2", "xz", "lzip", "zstd", "lz4")
 

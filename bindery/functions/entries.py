@@ -12,7 +12,7 @@ import zlib
 
 from bindery.functions import crypto, headers, records
 from bindery.functions.checksums import crc16_of
-from bindery.functions.codecs import CODECS
+from bindery.functions.codecs import leveled
 from bindery.functions.fields import STORED_EXTENSIONS, ZIP_METHODS
 from bindery.functions.lh import static_huffman
 
@@ -48,17 +48,17 @@ def dos_stamp(at: int) -> int:
     return (y - 1980) << 25 | mo << 21 | d << 16 | h << 11 | mi << 5 | s // 2
 
 
-def zip_entry(r: dict, chosen: str, password: str | None = None, cipher: str = "aes", secret: bytes = b"", heuristic: bool = True) -> tuple[bytes, tuple]:
+def zip_entry(r: dict, chosen: str, password: str | None = None, cipher: str = "aes", secret: bytes = b"", heuristic: bool = True, levels: dict | None = None) -> tuple[bytes, tuple]:
     """The local record with its payload, and what the directory says of it but for the offset."""
     data, name, mode = content(r), r["path"].encode(), mode_of(r)
     crc, extra = zlib.crc32(data), b""
     known = heuristic and r["path"].rpartition("/")[2].rpartition(".")[2].lower() in STORED_EXTENSIONS
     method = "stored" if r["kind"] != "file" or not data or known else chosen
     if method == "lzma":
-        properties, packed = packed_lzma(data)
+        properties, packed = packed_lzma(data, (levels or {}).get("preset", 6))
         packed = b"\x09\x04" + struct.pack("<H", len(properties)) + properties + packed
     else:
-        packed = CODECS[method](data)
+        packed = leveled(method, **(levels or {}))(data)
     flags = (0 if r["path"].isascii() else 0x800) | (2 if method == "lzma" else 0)
     version = 63 if method in ("lzma", "zstd") else 46 if method == "bzip2" else 20
     code, listed = ZIP_METHODS[method], crc

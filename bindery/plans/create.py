@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.functions import crypto, decoders, entries, fields, headers, records, seven_zip
-from bindery.functions.codecs import CODECS, JOINABLE
+from bindery.functions.codecs import JOINABLE, leveled
 from bindery.operators import editing, ranges
 from bindery.plans import segments
 from bindery.plans.options import Options
@@ -85,13 +85,13 @@ ZIP_ROWS = "ord long, bytes binary, n long, name binary, flags int, method int,
 def zip_rows(rows: DataFrame, options: Options) -> DataFrame:
     """Local records, and what the directory says of each."""
     secret = secrets.token_bytes(32)
-    chosen, password, cipher, heuristic = options.method, options.password, options.cipher, options.heuristic
+    chosen, password, cipher, heuristic, levels = options.method, options.password, options.cipher, options.heuristic, options.levels
     schema = segments_schema(ZIP_ROWS)
 
     def rows_of(batches):
         for batch in batches:
             for r in as_dicts(batch):
-                local, known = entries.zip_entry(r, chosen, password, cipher, secret, heuristic)
+                local, known = entries.zip_entry(r, chosen, password, cipher, secret, heuristic, levels)
                 yield (r["ord"], local, len(local), *known)
 
     def run(batches):
@@ -201,17 +201,17 @@ def chunk_limits(codec: str, piece: int) -> tuple[int, int]:
     return (min(4 << 20, piece), piece) if codec in ("xz", "lzip", "zstd") else (piece, piece)
 
 
-def encoded_chunks(parts: DataFrame, codec: str) -> DataFrame:
+def encoded_chunks(parts: DataFrame, codec: str, levels: dict) -> DataFrame:
     """chunk, bytes: parts (chunk, ord, bytes) joined in order and encoded, a stream a chunk."""
 
     def run(table: pa.Table) -> pa.Table:
         order = table.sort_by("ord")
-        return pa.table({"chunk": order.column("chunk").slice(0, 1), "bytes": pa.array([CODECS[codec](b"".join(order.column("bytes").to_pylist()))], pa.binary())})
+        return pa.table({"chunk": order.column("chunk").slice(0, 1), "bytes": pa.array([leveled(codec, **levels)(b"".join(order.column("bytes").to_pylist()))], pa.binary())})
 
     return parts.select("chunk", "ord", "bytes").groupBy("chunk").applyInArrow(run, "chunk long, bytes binary")
 
 
-def compressed_tar_segments(rows: DataFrame, codec: str, piece: int) -> DataFrame:
+def compressed_tar_segments(rows: DataFrame, codec: str, piece: int, levels: dict) -> DataFrame:
     """Chunks are streams of their own where the codec's streams may be joined; else the archive is one stream and one task's."""
     encoded = segments.checkpointed(tar_bytes(rows))
     total = encoded.agg(F.coalesce(F.sum(F.octet_length("bytes").cast("long")), F.lit(0)).alias("n")).first().n
@@ -223,7 +223,7 @@ def compressed_tar_segments(rows: DataFrame, codec: str, piece: int) -> DataFram
         sizes = encoded.select("ord", "header", (F.octet_length("bytes").cast("long") - F.col("header")).alias("body"))
         cut = chunks_of(sizes, *chunk_limits(codec, piece)).unionByName(end.select("ord", F.lit(END).cast("long").alias("chunk"), F.lit(0).cast("long").alias("from"), F.octet_length("bytes").cast("long").alias("to")))
         parts = whole.join(cut, "ord").select("chunk", "ord", F.substring("bytes", F.col("from").cast("int") + 1, (F.col("to") - F.col("from")).cast("int")).alias("bytes"))
-    return encoded_chunks(parts, codec).select(*segments.literal(F.col("chunk"), 0, F.col("bytes")))
+    return encoded_chunks(parts, codec, levels).select(*segments.literal(F.col("chunk"), 0, F.col("bytes")))
 
 
 # LHA
@@ -354,6 +354,9 @@ def union(*frames: DataFrame) -> DataFrame:
 
 
 def segments_of(rows: DataFrame, form: str, options: Options) -> DataFrame:
+    """The archive's segments; with options.threads, no more tasks than that hold payloads at once."""
+    if options.threads:
+        rows = rows.coalesce(options.threads)
     if form == "zip":
         return zip_segments(rows, options)
     if form == "7z":
@@ -362,7 +365,7 @@ def segments_of(rows: DataFrame, form: str, options: Options) -> DataFrame:
         return lha_segments(rows, options.lha)
     if form == "tar":
         return tar_segments(rows)
-    return compressed_tar_segments(rows, options.codec_of(form), options.piece(form))
+    return compressed_tar_segments(rows, options.codec_of(form), options.piece(form), options.levels)
 
 
 def create(rows: DataFrame, dest: str, form: str, options: Options | None = None, replace: bool = False) -> segments.Statistics:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,6 +73,11 @@ class Options:
             raise OptionError("placement")
         return self if self.solid else replace(self, block_files=1)
 
+    @property
+    def levels(self) -> dict:
+        """Levels as codecs.leveled() takes them."""
+        return {"deflate": self.deflate_level, "bzip2": self.bzip2_level, "zstd": self.zstd_level, "preset": self.preset}
+
     @staticmethod
     def codec_of(form: str) -> str:
         return TAR_FORMS[form]
@@ -111,6 +116,3 @@ def size_bound(method: Column, size: Column) -> Column:
     bound = bound.when(method == "zstd", size + (F.floor(size / (128 << 10)) + 1) * 3 + 18).when(method == "xz", size * 2 + blocks(16 * MIB) * (65_536 + 1_024) + 1_024)
     return bound.when(method == "deflate", size + 5 * (F.floor(size / 16_000) + 1) + 64 * blocks(MIB) + 64).cast("long")
 
-
-def named(options: Options) -> dict:
-    return {f.name: getattr(options, f.name) for f in fields(options)}

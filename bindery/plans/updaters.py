@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.functions import decoders, headers, records, seven_zip
-from bindery.functions.codecs import CODECS, JOINABLE
+from bindery.functions.codecs import JOINABLE, leveled
 from bindery.operators import editing, ranges
 from bindery.plans import create, segments
 from bindery.plans.editor import Editor
@@ -574,7 +574,7 @@ class CompressedTarUpdater(TarUpdater):
         met = met.dropDuplicates(["p_lo", "lo"])
         begin, stop = F.greatest("lo", "p_lo"), F.least("hi", "p_hi")
         part = met.select(F.col("p_lo").alias("chunk"), begin.alias("ord"), "src", (F.col("src_lo") + begin - F.col("lo")).alias("at"), (stop - begin).alias("n"), F.substring("bytes", (begin - F.col("lo") + 1).cast("int"), (stop - begin).cast("int")).alias("bytes"))
-        codec = self.codec
+        codec, levels = self.codec, self.options_given.levels
 
         def run(table: pa.Table) -> pa.Table:
             rows, parts = table.sort_by("ord").to_pylist(), []
@@ -584,7 +584,7 @@ class CompressedTarUpdater(TarUpdater):
                 else:
                     with layouts.Ranged(r["src"]) as src:
                         parts.append(src.some(r["at"], r["n"]))
-            return pa.table({"chunk": pa.array([rows[0]["chunk"]], pa.int64()), "bytes": pa.array([CODECS[codec](b"".join(parts))], pa.binary())})
+            return pa.table({"chunk": pa.array([rows[0]["chunk"]], pa.int64()), "bytes": pa.array([leveled(codec, **levels)(b"".join(parts))], pa.binary())})
 
         return part.groupBy("chunk").applyInArrow(run, "chunk long, bytes binary")
 

@@ -196,3 +196,21 @@ def test_file_trees_and_changes(spark, tmp_path):
     with tarfile.open(out) as t:
         assert [(m.name, m.issym()) for m in t] == [("a", False), ("a/b", False), ("a/b/f", False), ("g", False), ("new", False), ("s", True)] and t.extractfile("a/b/f").read() == b"12345"
     assert headers.BLOCK == 512
+
+
+def test_levels_and_single_streams(spark, rows, tmp_path):
+    import bz2
+    import gzip
+    import lzma
+
+    text = spark.createDataFrame([(0, "a.txt", "file", " ".join(str(i * i) for i in range(9000)).encode(), None)], ROWS)
+    data = bytes(text.first().data)
+    sizes = {}
+    for name, form, chosen in (("d1", "zip", {"deflate_level": 1}), ("d9", "zip", {"deflate_level": 9}), ("z1", "tar.zst", {"zstd_level": 1}), ("z19", "tar.zst", {"zstd_level": 19, "threads": 1})):
+        create.create(text, str(tmp_path / name), form, options.Options(**chosen))
+        assert read(spark, tmp_path / name)["a.txt"][1] == data
+        sizes[name] = os.path.getsize(tmp_path / name)
+    assert sizes["d9"] < sizes["d1"] and sizes["z19"] < sizes["z1"]
+    for form, plain in (("gz", gzip.decompress), ("bz2", bz2.decompress), ("xz", lzma.decompress), ("lz", decoders.lzip_plain), ("Z", decoders.lzw_plain), ("lz4", decoders.lz4_plain)):
+        text.selectExpr("ord", "path", "data", "kind", "cast(null as int) mode", "cast(null as long) mtime", "link").write.format("archive").mode("append").option("form", form).save(str(tmp_path / form))
+        assert plain((tmp_path / form / f"a.txt.{form}").read_bytes()) == data
