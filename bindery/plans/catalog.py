@@ -318,6 +318,12 @@ def progress_windows(spark, sf):
     return progress.totals(rows, "ts", ["event_type"], "user_id").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query(f"""WITH {ENTRIES}, l AS (SELECT idx, size, ((greatest(size, 1) + 999) // 1000)::INT AS last FROM entries), x AS (SELECT *, unnest(range(0, last + 1))::INT AS seq FROM l)
+SELECT idx, seq, CASE seq WHEN 0 THEN 'start' WHEN last THEN 'finish' ELSE 'progress' END AS event, least(seq::BIGINT * 1000, size) AS done FROM x""")
+def entry_events(spark, sf):
+    return progress.entry_events(entries(spark, sf), 1000)
+
+
 @query(f"""WITH {ENTRIES}, e AS (SELECT *, CASE idx % 6 WHEN 0 THEN 'other' WHEN 1 THEN 'symlink' WHEN 2 THEN 'hardlink' ELSE 'file' END AS k, CASE WHEN idx % 12 = 2 THEN idx + 1 ELSE idx - 1 END AS t, mtime * (idx % 9) AS m FROM entries)
 SELECT idx, CASE WHEN k = 'other' THEN 'kind' WHEN k = 'symlink' THEN 'symlink' WHEN k = 'hardlink' AND (t < 0 OR t >= idx) THEN 'target' WHEN NOT m BETWEEN 0 AND 4294967295 THEN 'date' END AS reason FROM e""")
 def first_violation(spark, sf):
@@ -381,7 +387,11 @@ def text_byte_histogram(spark, sf):
     return checksums.byte_counts(read(spark, sf, "documents"), "text")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT conv_id, turn, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS done FROM conversations),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, done) AS k, count(*) OVER (PARTITION BY conv_id) AS m FROM e),
+r AS (SELECT conv_id, turn, done, k, m, done AS notified, true AS kept FROM f WHERE k = 1 UNION ALL
+SELECT f.conv_id, f.turn, f.done, f.k, f.m, CASE WHEN f.done - notified >= 512 THEN f.done ELSE notified END, f.done - notified >= 512 FROM r JOIN f ON f.conv_id = r.conv_id AND f.k = r.k + 1)
+SELECT conv_id, done // 512 AS step, turn, done FROM r WHERE kept OR k = m""")
 def progress_steps(spark, sf):
     """Turns of a conversation as bytes done, thinned to steps of 512 bytes."""
     by = Window.partitionBy("conv_id").orderBy("turn")
@@ -389,7 +399,22 @@ def progress_steps(spark, sf):
     return progress.steps(events, "conv_id", "turn", "done", 512)
 
 
-@query()
+def bytes_of(text: str) -> str:
+    """The UTF-8 bytes of a text as a list of numbers, in SQL."""
+    digit = "instr('0123456789ABCDEF', h[{}]) - 1"
+    return f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ({digit.format(1)}) * 16 + {digit.format(2)})"
+
+
+def crc_of(listed: str, poly: int, start: int) -> str:
+    """A reflected CRC of a list of bytes, in SQL, by the table of its polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [n >> 1 ^ (poly if n & 1 else 0) for n in table]
+    return f"list_reduce({listed}, lambda a, b: xor(a >> 8, ({table})[(xor(a, b) & 255) + 1]), {start}::BIGINT)"
+
+
+@query(f"""SELECT conv_id, xor({crc_of(bytes_of("whole"), 0xEDB88320, 0xFFFFFFFF)}, 4294967295)::BIGINT AS crc32, strlen(whole)::BIGINT AS size
+FROM (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS whole FROM conversations GROUP BY conv_id)""")
 def crc32_merged(spark, sf):
     chunks = read(spark, sf, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("data"))
     return checksums.merged_crc32(chunks, ["conv_id"], "turn", "data")
@@ -446,6 +471,13 @@ def checked(rows, ident):
     return rows.select(ident, F.crc32("data").alias("crc32"), checksums.crc16("data").alias("crc16"), checksums.xxh32("data").alias("xxh32"), checksums.xxh64("data").alias("xxh64"), checksums.byte_sum("data").alias("byte_sum"))
 
 
+@query(f"""SELECT item_id, xor({crc_of(bytes_of("text"), 0xEDB88320, 0xFFFFFFFF)}, 4294967295)::BIGINT AS crc32, {crc_of(bytes_of("text"), 0xA001, 0)}::INT AS crc16,
+list_sum({bytes_of("text")})::BIGINT AS byte_sum FROM benchmark""")
+def payload_sums(spark, sf):
+    """The checksums that SQL can tell too."""
+    return checked(payloads(spark, sf, "benchmark", "item_id"), "item_id").select("item_id", "crc32", "crc16", "byte_sum")
+
+
 @query()
 def member_checksums(spark, sf):
     return checked(payloads(spark, sf, "benchmark", "item_id"), "item_id")

@@ -49,3 +49,14 @@ def steps(events: DataFrame, key: str, order: str, done: str, step: int = 4 << 2
     rows = events.select(key, order, done)
     kept = rows.repartition(key).sortWithinPartitions(key, order, done).mapInArrow(thinned(step), rows.schema)
     return kept.select(key, F.floor(F.col(done) / step).alias("step"), order, done)
+
+
+def entry_events(entries: DataFrame, step: int = 4 << 20) -> DataFrame:
+    """idx, seq, event and done of every entry (idx, size): its start, a progress event a whole step, its finish; in order of idx and seq.
+
+    What a listener of a writer is told, as a relation: a stream or a report sorts by these two.
+    """
+    last = F.ceil(F.greatest(F.col("size"), F.lit(1)) / step).cast("int")
+    rows = entries.select("idx", "size", last.alias("_last"), F.explode(F.sequence(F.lit(0), last)).alias("seq"))
+    event = F.when(F.col("seq") == 0, "start").when(F.col("seq") == F.col("_last"), "finish").otherwise("progress")
+    return rows.select("idx", "seq", event.alias("event"), F.least(F.col("seq").cast("long") * step, F.col("size")).alias("done"))
