@@ -21,7 +21,7 @@ def extension(path: Column) -> Column:
 
 
 def is_stored_extension(path: Column) -> Column:
-    return extension(path).isin(STORED_EXTENSIONS)
+    return extension(path).isin(*STORED_EXTENSIONS)
 
 
 def path_violation(path: Column, directory: Column, tar: bool) -> Column:
