@@ -134,14 +134,20 @@ def grouped_by_brute_force(rows):
 
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
-    for _ in rows:
-        for a in range(len(rows)):
-            for b in range(a):
-                if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                    root[a] = root[b] = min(root[a], root[b])
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
     groups = {}
-    for (i, t), r in zip(rows, root, strict=True):
-        groups.setdefault(r, []).append((i, t))
+    for k, (i, t) in enumerate(rows):
+        groups.setdefault(find(k), []).append((i, t))
     return groups.values()
 
 
