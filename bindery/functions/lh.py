@@ -5,26 +5,15 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 
+import numpy as np
+
+from bindery.functions.bits import Bits
+
 #: Bits of the window, and of the field that counts the position codes.
 VARIANTS = {"lh5": (13, 4), "lh6": (15, 5), "lh7": (16, 5)}
 LITERALS, SHORTEST, LONGEST, BLOCK = 256, 3, 256, 16384
-
-
-class Bits:
-    def __init__(self):
-        self.out, self.held, self.n = bytearray(), 0, 0
-
-    def put(self, value: int, width: int) -> None:
-        self.held, self.n = self.held << width | value, self.n + width
-        if self.n >= 64:
-            keep = self.n % 8
-            self.out += (self.held >> keep).to_bytes(self.n // 8, "big")
-            self.held, self.n = self.held & (1 << keep) - 1, keep
-
-    def end(self) -> bytes:
-        self.put(0, -self.n % 8)
-        self.out += self.held.to_bytes(self.n // 8, "big")
-        return bytes(self.out)
+#: A piece is searched at once, its window before it; matches are measured to CAP bytes at once, longer ones when they are taken.
+PIECE, CAP, FAR = 1 << 18, 32, 1 << 11
 
 
 def lengths(counts: Counter) -> dict[int, int]:
@@ -97,10 +86,11 @@ def runs_of(depth: dict[int, int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def put_block(bits: Bits, items: list[tuple[int, int]], position_width: int) -> None:
-    """items: (symbol, distance - 1); literals have distance -1."""
-    depth = lengths(Counter(s for s, _ in items))
-    bits.put(len(items), 16)
+def put_block(bits: Bits, symbols: np.ndarray, places: np.ndarray, position_width: int) -> None:
+    """Symbols, and distance - 1 of those that are matches (-1: a literal)."""
+    counts = np.bincount(symbols, minlength=LITERALS + LONGEST)
+    depth = lengths(Counter({int(s): int(counts[s]) for s in np.flatnonzero(counts)}))
+    bits.put(len(symbols), 16)
     if len(depth) == 1:
         bits.put(0, 10)
         bits.put(0, 9)
@@ -114,44 +104,111 @@ def put_block(bits: Bits, items: list[tuple[int, int]], position_width: int) ->
             bits.put(*outer[c])
             bits.put(extra, width)
         table = codes(depth)
-    places = put_small_table(bits, lengths(Counter(p.bit_length() for s, p in items if s >= LITERALS)), position_width, False)
-    for s, p in items:
-        bits.put(*table[s])
-        if s >= LITERALS:
-            k = p.bit_length()
-            bits.put(*places[k])
-            if k > 1:
-                bits.put(p - (1 << k - 1), k - 1)
-
-
-def parsed(data: bytes, window: int):
-    """Greedy parse; a match is looked for where the same three bytes came last."""
-    seen, at, n = {}, 0, len(data)
-    while at < n:
-        key = data[at : at + 3]
-        found = seen.get(key)
-        seen[key] = at
-        if found is None or at - found > window or len(key) < 3:
-            yield data[at], -1
-            at += 1
-            continue
-        size, most = SHORTEST, min(LONGEST, n - at)
-        while size < most and data[found + size] == data[at + size]:
-            size += 1
-        yield LITERALS + size - SHORTEST, at - found - 1
-        for k in range(at + 1, min(at + size, n - 2)):
-            seen[data[k : k + 3]] = k
-        at += size
+    match = np.flatnonzero(places >= 0)
+    far = places[match]
+    kind = np.frexp(far.astype(np.float64))[1].astype(np.int64)  # bits of the distance
+    n_kinds = np.bincount(kind, minlength=18)
+    place_table = put_small_table(bits, lengths(Counter({int(k): int(n_kinds[k]) for k in np.flatnonzero(n_kinds)})), position_width, False)
+    values, widths = (column[symbols] for column in columns(table, LITERALS + LONGEST))
+    place_values, place_widths = (column[kind] for column in columns(place_table, 18))
+    more = np.maximum(kind - 1, 0)
+    rest = np.where(kind > 1, far - (1 << more), 0)
+    values[match] = (values[match] << place_widths | place_values) << more | rest
+    widths[match] += place_widths + more
+    bits.put_all(values.astype(np.uint64), widths)
+
+
+def columns(table: dict[int, tuple[int, int]], n: int) -> np.ndarray:
+    """Codes and widths by symbol."""
+    out = np.zeros((2, n), np.int64)
+    for s, code in table.items():
+        out[:, s] = code
+    return out
+
+
+def last_same(keys: np.ndarray) -> np.ndarray:
+    """Where the same key (up to 40 bits) came last, -1 if nowhere; at most 2^24 keys."""
+    n, mask = len(keys), np.uint64((1 << 24) - 1)
+    order = np.sort(keys << np.uint64(24) | np.arange(n, dtype=np.uint64))
+    place = (order & mask).astype(np.int32)
+    same = np.flatnonzero(order[1:] >> np.uint64(24) == order[:-1] >> np.uint64(24))
+    out = np.full(n, -1, np.int32)
+    out[place[same + 1]] = place[same]
+    return out
+
+
+def measured(words: np.ndarray, at: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """How many bytes are equal from two places on, up to CAP. words: the eight bytes from every place on."""
+    size, open_ = np.zeros(len(at), np.int64), np.arange(len(at))
+    for done in range(0, CAP, 8):
+        differ = words[at[open_] + done] ^ words[before[open_] + done]
+        low = (differ & (~differ + np.uint64(1))).astype(np.float64)
+        size[open_] = done + np.where(differ == 0, 8, (np.frexp(low)[1] - 1) // 8)
+        open_ = open_[differ == 0]
+    return size
+
+
+def parsed(data: bytes, start: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and distances - 1 of data from start on; what lies before may be copied from.
+
+    Two earlier places are tried, where the same three and the same six bytes came last; a match gives way to a longer one that
+    begins a byte later, and one of three bytes from afar isn't worth its place.
+    """
+    n = len(data)
+    a = np.frombuffer(data, np.uint8)
+    size, back = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    if n >= 3:
+        padded = data + bytes(CAP + 8)
+        words = np.ndarray(n + CAP, "<u8", padded, strides=(1,)).astype(np.uint64)
+        three = words[: n - 2] & np.uint64(0xFFFFFF)
+        six = (words[: n - 2] & np.uint64((1 << 48) - 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)
+        for keys in (three, six):
+            before = last_same(keys)
+            at = np.flatnonzero(before >= 0)
+            at = at[(at >= start) & (at - before[at] <= window)]
+            found = np.minimum(measured(words, at, before[at]), n - at)
+            better = found > size[at]
+            size[at[better]], back[at[better]] = found[better], (at - before[at])[better]
+        size[(size < SHORTEST) | (size == SHORTEST) & (back > FAR)] = 0
+        size[:-1][size[1:] > size[:-1]] = 0
+    following = np.where(size > 0, np.arange(n), n)
+    following = np.minimum.accumulate(following[::-1])[::-1].tolist() + [n]
+    sizes, starts, taken, i = size.tolist(), [], [], start
+    while (i := following[i]) < n:
+        m = sizes[i]
+        if m == CAP:
+            m = grown(data, i, i - int(back[i]), min(LONGEST, n - i))
+        starts.append(i)
+        taken.append(m)
+        i += m
+    starts, taken = np.array(starts, np.int64), np.array(taken, np.int64)
+    ends = np.zeros(n + 1, np.int64)
+    ends[starts] += 1
+    np.subtract.at(ends, starts + taken, 1)
+    own = np.cumsum(ends[:-1]) == 0
+    own[starts] = True
+    own[:start] = False
+    symbols, places = a.astype(np.int64), np.full(n, -1, np.int64)
+    symbols[starts], places[starts] = LITERALS + taken - SHORTEST, back[starts] - 1
+    return symbols[own], places[own]
+
+
+def grown(data: bytes, at: int, before: int, most: int) -> int:
+    """A match of CAP bytes, measured to its end."""
+    n = CAP
+    while n < most and data[at + n : min(at + n + CAP, at + most)] == data[before + n : before + min(n + CAP, most)]:
+        n += CAP
+    while n < most and data[at + n] == data[before + n]:
+        n += 1
+    return min(n, most)
 
 
 def static_huffman(data: bytes, variant: str) -> bytes:
     window, width = VARIANTS[variant]
-    bits, items = Bits(), []
-    for item in parsed(data, (1 << window) - 1):
-        items.append(item)
-        if len(items) == BLOCK:
-            put_block(bits, items, width)
-            items = []
-    if items:
-        put_block(bits, items, width)
+    window, bits = (1 << window) - 1, Bits()
+    for at in range(0, len(data), PIECE):
+        from_ = max(0, at - window)
+        symbols, places = parsed(data[from_ : at + PIECE], at - from_, window)
+        for k in range(0, len(symbols), BLOCK):
+            put_block(bits, symbols[k : k + BLOCK], places[k : k + BLOCK], width)
     return bits.end()
