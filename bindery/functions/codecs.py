@@ -10,11 +10,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bindery.functions.bits import joined
 from bindery.functions.lh import static_huffman
 
 
@@ -32,82 +34,45 @@ def lzip(data: bytes) -> bytes:
 
 
 def lz4_frame(data: bytes, block: int = 4 << 20) -> bytes:
-    """LZ4 frame of independent blocks of a greedy matcher, with content checksum."""
+    """LZ4 frame of independent blocks, with content checksum."""
+    pack = pa.Codec("lz4_raw").compress
     head = bytes([0x64, 0x70])
     out = [b"\x04\x22\x4d\x18", head, bytes([xxhash.xxh32_intdigest(head) >> 8 & 255])]
     for at in range(0, len(data), block):
         part = data[at : at + block]
-        packed = lz4_block(part)
+        packed = pack(part, asbytes=True)
         out += [struct.pack("<I", len(packed)), packed] if len(packed) < len(part) else [struct.pack("<I", len(part) | 1 << 31), part]
     return b"".join([*out, struct.pack("<II", 0, xxhash.xxh32_intdigest(data))])
 
 
-def lz4_block(data: bytes) -> bytes:
-    out, last, at, seen = bytearray(), 0, 0, {}
-    end = len(data) - 12
-    while at < end:
-        key = data[at : at + 4]
-        found = seen.get(key)
-        seen[key] = at
-        if found is None or at - found > 65535:
-            at += 1
-            continue
-        size = 4
-        while at + size < len(data) - 5 and data[found + size] == data[at + size]:
-            size += 1
-        put_lz4(out, data[last:at], size, at - found)
-        at += size
-        last = at
-    put_lz4(out, data[last:], 0, 0)
-    return bytes(out)
-
-
-def put_lz4(out: bytearray, literals: bytes, match: int, offset: int) -> None:
-    def more(n: int) -> bytes:
-        return b"\xff" * ((n - 15) // 255) + bytes([(n - 15) % 255]) if n >= 15 else b""
-
-    extra = match - 4 if offset else 0
-    out.append(min(len(literals), 15) << 4 | min(extra, 15))
-    out.extend(more(len(literals)) + literals)
-    if offset:
-        out.extend(struct.pack("<H", offset) + more(extra))
+def brotli(data: bytes, level: int = 2) -> bytes:
+    """One Brotli stream."""
+    return pa.Codec("brotli", level).compress(data, asbytes=True) if data else b"\x06"  # an empty last block
 
 
 def unix_compress(data: bytes) -> bytes:
-    """LZW with codes of 9 to 16 bits and block mode, the table is kept once full."""
-    table, width, free, acc, bits, n_codes = {bytes([i]): i for i in range(256)}, 9, 257, 0, 0, 0
-    out, current = bytearray(b"\x1f\x9d\x90"), b""
-
-    def put(code: int) -> None:
-        nonlocal acc, bits, n_codes
-        acc |= code << bits
-        bits += width
-        n_codes += 1
-        while bits >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            bits -= 8
-
-    for b in data:
-        nxt = current + bytes([b])
-        if nxt in table:
-            current = nxt
+    """LZW with codes of 9 to 16 bits and block mode, the table is kept once full.
+
+    A code may use the width that numbers every entry there is; codes of one width are 2^k, so the groups of eight are always full.
+    """
+    if not data:
+        return b"\x1f\x9d\x90"
+    table, put = {}, []
+    found, emit, free, current = table.get, put.append, 257, data[0]
+    for b in memoryview(data)[1:]:
+        key = current << 8 | b
+        longer = found(key)
+        if longer is not None:
+            current = longer
             continue
-        put(table[current])
+        emit(current)
+        current = b
         if free < 1 << 16:
-            table[nxt] = free
+            table[key] = free
             free += 1
-            if free > 1 << width and width < 16:
-                while n_codes % 8:  # codes of one width come in groups of eight
-                    put(0)
-                width += 1
-                n_codes = 0
-        current = bytes([b])
-    if current:
-        put(table[current])
-    if bits:
-        out.append(acc & 255)
-    return bytes(out)
+    emit(current)
+    widths = np.frexp(np.arange(len(put), dtype=np.float64) + 256)[1].clip(9, 16)
+    return b"\x1f\x9d\x90" + joined(np.array(put, np.uint64), widths, big=False)[0]
 
 
 CODECS = {
@@ -122,6 +87,7 @@ CODECS = {
     "zstd": lambda d: zstandard.ZstdCompressor(level=3, write_checksum=True).compress(d),
     "lz4": lz4_frame,
     "compress": unix_compress,
+    "brotli": brotli,
     "lh5": lambda d: static_huffman(d, "lh5"),
     "lh6": lambda d: static_huffman(d, "lh6"),
     "lh7": lambda d: static_huffman(d, "lh7"),

@@ -11,6 +11,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 from bindery.functions import crypto
@@ -262,44 +263,18 @@ def lha_payload(raw: bytes, method: str, size: int, crc: int) -> bytes:
 # streams
 
 
-def lz4_plain(frame: bytes) -> bytes:
-    out, at = bytearray(), 0
-    while at < len(frame):
-        flags = frame[at + 4]
-        at += 7 + (8 if flags & 8 else 0) + (4 if flags & 1 else 0)
-        while size := int.from_bytes(frame[at : at + 4], "little"):
-            block, at = frame[at + 4 : at + 4 + (size & 0x7FFFFFFF)], at + 4 + (size & 0x7FFFFFFF) + (4 if flags & 16 else 0)
-            if size >> 31:
-                out += block
-            else:
-                lz4_block_plain(block, out)
-        at += 4 + (4 if flags & 4 else 0)
-    return bytes(out)
-
-
-def lz4_block_plain(block: bytes, out: bytearray) -> None:
-    i = 0
-    while i < len(block):
-        token, i = block[i], i + 1
-        n = token >> 4
-        if n == 15:
-            while True:
-                n, i = n + block[i], i + 1
-                if block[i - 1] != 255:
-                    break
-        out += block[i : i + n]
-        i += n
-        if i >= len(block):
-            break
-        back, i = int.from_bytes(block[i : i + 2], "little"), i + 2
-        n = (token & 15) + 4
-        if n == 19:
-            while True:
-                n, i = n + block[i], i + 1
-                if block[i - 1] != 255:
-                    break
-        piece = bytes(out[-back:])
-        out += (piece * (n // back + 1))[:n] if back < n else piece[:n]
+def arrow_plain(data: bytes, codec: str) -> bytes:
+    """Joined streams of a codec that Arrow reads."""
+    with pa.CompressedInputStream(pa.BufferReader(data), codec) as stream:
+        return stream.read()
+
+
+def lz4_plain(data: bytes) -> bytes:
+    return arrow_plain(data, "lz4")
+
+
+def brotli_plain(data: bytes) -> bytes:
+    return arrow_plain(data, "brotli")
 
 
 def lzw_plain(data: bytes) -> bytes:
@@ -352,6 +327,7 @@ STREAM_DECODERS = {
     "lzip": lzip_plain,
     "lz4": lz4_plain,
     "compress": lzw_plain,
+    "brotli": brotli_plain,
 }
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TAR_FORMS = {"tar.gz": "gzip", "tar.bz2": "bzip2", "tar.xz": "xz", "tar.zst": "zstd", "tar.lzma": "lzma", "tar.lz": "lzip", "tar.lz4": "lz4", "tar.Z": "compress"}
+TAR_FORMS = {"tar.gz": "gzip", "tar.bz2": "bzip2", "tar.xz": "xz", "tar.zst": "zstd", "tar.lzma": "lzma", "tar.lz": "lzip", "tar.lz4": "lz4", "tar.br": "brotli", "tar.Z": "compress"}
 FORMS = ("zip", "7z", "lzh", "tar", *TAR_FORMS)
 MIB = 1 << 20
 
@@ -89,7 +89,7 @@ class Options:
     def pending(self, form: str, memory: int | None = None) -> int:
         """An upper bound of the input bytes that tasks hold and have not put out yet."""
         slots = self.threads or automatic_threads(os.cpu_count() or 1, memory or 1 << 62)
-        if form in ("tar", "tar.lzma", "tar.Z"):
+        if form in ("tar", "tar.lzma", "tar.br", "tar.Z"):
             return 0
         if form in TAR_FORMS:
             return (slots + 1) * self.piece(form)

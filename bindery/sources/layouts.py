@@ -711,7 +711,9 @@ def seven_zip_model(src, password: str | None = None) -> Model:
 
 
 def form_of(src) -> str:
-    """zip, 7z, lha, tar, or the codec that wraps a tar or a single stream."""
+    """zip, 7z, lha, tar, or the codec that wraps a tar or a single stream. Brotli has no mark, so it goes by the name's end."""
+    if getattr(src, "path", "").endswith(".br"):
+        return "brotli"
     head = src.read(0, min(src.length, 8))
     for magic, form in ((b"PK\3\4", "zip"), (b"PK\5\6", "zip"), (b"PK\6\6", "zip"), (b"7z\xbc\xaf\x27\x1c", "7z"), (b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\0", "xz"), (b"\x28\xb5\x2f\xfd", "zstd"), (b"LZIP", "lzip"), (b"\x04\x22\x4d\x18", "lz4"), (b"\x1f\x9d", "compress"), (b"\x5d\0\0", "lzma")):
         if head.startswith(magic):

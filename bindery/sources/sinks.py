@@ -28,8 +28,8 @@ SEVEN_ZIP_FORMS = {"7z": "lzma2", "7z.lzma": "lzma", "7z.deflate": "deflate", "7
 CODERS = {"copy": b"\x00", "lzma2": b"\x21", "lzma": b"\x03\x01\x01", "deflate": b"\x04\x01\x08", "bzip2": b"\x04\x02\x02", "delta": b"\x03", "x86": b"\x03\x03\x01\x03", "arm64": b"\x0a"}
 LHA_FORMS = {"lzh": "lh5", "lzh.lh6": "lh6", "lzh.lh7": "lh7", "lzh.stored": "lh0"}
 DICTIONARY = 1 << 23
-TAR_CODECS = {"tar": None, "tar.gz": "gzip", "tar.bz2": "bzip2", "tar.xz": "xz", "tar.zst": "zstd", "tar.lzma": "lzma", "tar.lz": "lzip", "tar.lz4": "lz4", "tar.Z": "compress"}
-STREAMS = {"gz": "gzip", "bz2": "bzip2", "xz": "xz", "zst": "zstd", "lzma": "lzma", "lz": "lzip", "lz4": "lz4", "Z": "compress"}
+TAR_CODECS = {"tar": None, "tar.gz": "gzip", "tar.bz2": "bzip2", "tar.xz": "xz", "tar.zst": "zstd", "tar.lzma": "lzma", "tar.lz": "lzip", "tar.lz4": "lz4", "tar.br": "brotli", "tar.Z": "compress"}
+STREAMS = {"gz": "gzip", "bz2": "bzip2", "xz": "xz", "zst": "zstd", "lzma": "lzma", "lz": "lzip", "lz4": "lz4", "br": "brotli", "Z": "compress"}
 CHUNK = 16 << 20
 
 

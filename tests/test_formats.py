@@ -140,6 +140,30 @@ def test_lh_codecs_are_undone(variant):
         assert decoders.lh_plain(lh.static_huffman(data, variant), variant, len(data)) == data
 
 
+def test_lh_matches_cross_pieces_and_stay_in_the_window():
+    """A copy from the piece before, runs longer than the longest match, and repeats just inside and outside every window."""
+    unit = RND.randbytes(500)
+    for variant, (window, _) in lh.VARIANTS.items():
+        near = unit + RND.randbytes((1 << window) - 1001) + unit
+        for data in (near, unit + RND.randbytes(1 << window) + unit, RND.randbytes(lh.PIECE - 250) + unit + unit, bytes(lh.PIECE + 77), *(bytes(RND.choice(b"ab") for _ in range(n)) for n in range(12))):
+            assert decoders.lh_plain(lh.static_huffman(data, variant), variant, len(data)) == data
+        assert len(lh.static_huffman(near, variant)) < len(lh.static_huffman(near[:-500] + RND.randbytes(500), variant)) - 400
+
+
+def test_stream_cipher_at_once_equals_byte_by_byte():
+    data = RND.randbytes(3000) + b"text " * 600_000
+    whole, parts = crypto.StreamCipher(b"pw"), crypto.StreamCipher(b"pw")
+    sealed = whole.apply(data)
+    assert sealed[:70_000] == b"".join(parts.apply(data[at : at + 1000]) for at in range(0, 70_000, 1000))
+    assert crypto.StreamCipher(b"pw").apply(sealed, True) == data
+
+
+def test_brotli_shrinks_and_joins_nothing():
+    data = b"the cat and the hat " * 9000
+    assert len(codecs.brotli(data)) < len(data) // 100 and "brotli" not in codecs.JOINABLE
+    assert decoders.brotli_plain(codecs.brotli(b"")) == b""
+
+
 def test_streams_and_filters_are_undone():
     for data in PAYLOADS:
         for codec, plain in decoders.STREAM_DECODERS.items():

@@ -151,7 +151,7 @@ def test_compressed_tars_carry_chunks(spark, tmp_path):
 
 
 def test_options_are_checked_in_order(spark, rows, tmp_path):
-    for bad, form, name in (({"deflate_level": 10, "zstd_level": 0}, "zip", "deflate_level"), ({"zstd_level": 0, "password": ""}, "zip", "zstd_level"), ({"password": "x"}, "tar", "password"), ({"distance": 257}, "7z", "filter"), ({"preset": 11}, "7z", "preset"), ({"threads": 0}, "zip", "threads"), ({"block_bytes": 0}, "7z", "solid"), ({"owner_ids": True}, "lzh", "owner_ids"), ({}, "tar.br", "form")):
+    for bad, form, name in (({"deflate_level": 10, "zstd_level": 0}, "zip", "deflate_level"), ({"zstd_level": 0, "password": ""}, "zip", "zstd_level"), ({"password": "x"}, "tar", "password"), ({"distance": 257}, "7z", "filter"), ({"preset": 11}, "7z", "preset"), ({"threads": 0}, "zip", "threads"), ({"block_bytes": 0}, "7z", "solid"), ({"owner_ids": True}, "lzh", "owner_ids"), ({}, "tar.rar", "form")):
         with pytest.raises(options.OptionError, match=name):
             create.create(rows, str(tmp_path / "x"), form, options.Options(**bad))
     assert options.automatic_threads(8, 4 << 30) == 4 and options.automatic_threads(8, 1 << 60, True) == 4 and options.automatic_threads(1, 0) == 1
@@ -206,11 +206,11 @@ def test_levels_and_single_streams(spark, rows, tmp_path):
     text = spark.createDataFrame([(0, "a.txt", "file", " ".join(str(i * i) for i in range(9000)).encode(), None)], ROWS)
     data = bytes(text.first().data)
     sizes = {}
-    for name, form, chosen in (("d1", "zip", {"deflate_level": 1}), ("d9", "zip", {"deflate_level": 9}), ("z1", "tar.zst", {"zstd_level": 1}), ("z19", "tar.zst", {"zstd_level": 19, "threads": 1})):
+    for name, form, chosen in (("d1", "zip", {"deflate_level": 1}), ("d9", "zip", {"deflate_level": 9}), ("z1", "tar.zst", {"zstd_level": 1}), ("z19", "tar.zst", {"zstd_level": 19, "threads": 1}), ("b.tar.br", "tar.br", {})):
         create.create(text, str(tmp_path / name), form, options.Options(**chosen))
         assert read(spark, tmp_path / name)["a.txt"][1] == data
         sizes[name] = os.path.getsize(tmp_path / name)
     assert sizes["d9"] < sizes["d1"] and sizes["z19"] < sizes["z1"]
-    for form, plain in (("gz", gzip.decompress), ("bz2", bz2.decompress), ("xz", lzma.decompress), ("lz", decoders.lzip_plain), ("Z", decoders.lzw_plain), ("lz4", decoders.lz4_plain)):
+    for form, plain in (("gz", gzip.decompress), ("bz2", bz2.decompress), ("xz", lzma.decompress), ("lz", decoders.lzip_plain), ("Z", decoders.lzw_plain), ("lz4", decoders.lz4_plain), ("br", decoders.brotli_plain)):
         text.selectExpr("ord", "path", "data", "kind", "cast(null as int) mode", "cast(null as long) mtime", "link").write.format("archive").mode("append").option("form", form).save(str(tmp_path / form))
         assert plain((tmp_path / form / f"a.txt.{form}").read_bytes()) == data
