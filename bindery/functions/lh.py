@@ -171,21 +171,24 @@ def parsed(data: bytes, start: int, window: int) -> tuple[np.ndarray, np.ndarray
             size[at[better]], back[at[better]] = found[better], (at - before[at])[better]
         size[(size < SHORTEST) | (size == SHORTEST) & (back > FAR)] = 0
         size[:-1][size[1:] > size[:-1]] = 0
-    following = np.where(size > 0, np.arange(n), n)
-    following = np.minimum.accumulate(following[::-1])[::-1].tolist() + [n]
-    sizes, starts, taken, i = size.tolist(), [], [], start
-    while (i := following[i]) < n:
-        m = sizes[i]
-        if m == CAP:
-            m = grown(data, i, i - int(back[i]), min(LONGEST, n - i))
-        starts.append(i)
-        taken.append(m)
-        i += m
-    starts, taken = np.array(starts, np.int64), np.array(taken, np.int64)
-    ends = np.zeros(n + 1, np.int64)
+    place = np.flatnonzero(size)
+    # the matches in order: from each the first that begins where it ends or later; those of CAP bytes are measured when they are taken
+    after = np.where(size[place] == CAP, -1, np.searchsorted(place, place + size[place]))
+    after, taken, i = after.tolist(), [], 0
+    while i < len(after):
+        taken.append(i)
+        following = after[i]
+        if following < 0:
+            at = int(place[i])
+            size[at] = grown(data, at, at - int(back[at]), min(LONGEST, n - at))
+            following = int(np.searchsorted(place, at + size[at]))
+        i = following
+    starts = place[np.array(taken, np.int64)]
+    taken = size[starts].astype(np.int64)
+    ends = np.zeros(n + 1, np.int8)
     ends[starts] += 1
-    np.subtract.at(ends, starts + taken, 1)
-    own = np.cumsum(ends[:-1]) == 0
+    ends[starts + taken] -= 1  # no two matches begin, or end, at one place
+    own = np.cumsum(ends[:-1], dtype=np.int8) == 0
     own[starts] = True
     own[:start] = False
     symbols, places = a.astype(np.int64), np.full(n, -1, np.int64)
