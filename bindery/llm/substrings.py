@@ -49,6 +49,11 @@ NO_ID = 2**63 - 1
 _RANDOM = np.random.default_rng(20240607)
 ODD = _RANDOM.integers(0, 2**64, (3, 256), dtype=np.uint64) | np.uint64(1)
 ODD2 = _RANDOM.integers(0, 2**64, (2, 256), dtype=np.uint64) | np.uint64(1)
+SEED = _RANDOM.integers(0, 2**64, 2, dtype=np.uint64) | np.uint64(1)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Words of up to LANE_BYTES are hashed for all words at once, eight bytes a step; longer ones each by XXH3.
+LANE_BYTES = 32
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -56,6 +61,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits in which every bit of the input sways every bit of the output."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
 def planes(x: np.ndarray) -> bytes:
     """The bytes of an array, all lowest bytes first: high bytes that are equal compress to nothing."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
@@ -71,21 +83,41 @@ class Batch:
 
     def __init__(self, ids: np.ndarray, texts: list[bytes], window: int):
         self.window, self.joined = window, joined_symbols(window)
-        self.words = [t.split() for t in texts]  # bytes: ASCII white space only
-        self.sizes = np.fromiter(map(len, self.words), np.int64, len(texts))
-        self.ends = np.cumsum(self.sizes)
-        flat = [w for words in self.words for w in words]
-        number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        digests = [xxhash.xxh3_128_intdigest(w) for w in number]
-        low = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64)
-        high = np.array([d >> 64 for d in digests], np.uint64)
-        self.low, self.high = low[at], high[at]
+        self.texts = texts
+        end = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) + 1
+        self.data = b" ".join([b"", *texts, b""])
+        self.data += b" " * (LANE_BYTES + 16 - len(self.data) % 8)  # eight bytes can be read from anywhere in a word
+        gap = SPACE[np.frombuffer(self.data, np.uint8)]  # ASCII white space only
+        self.begin = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+        self.length = np.flatnonzero(~gap[:-1] & gap[1:]) + 1 - self.begin
+        self.ends = np.searchsorted(self.begin, end)
+        self.sizes = np.diff(self.ends, prepend=0)
+        self.low = self.digests(slice(None), 0)
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         self.ids = ids
         self.end = np.repeat(self.ends, self.sizes)  # where the word's document ends
         self.name_pairs()
 
+    def digests(self, which, half: int) -> np.ndarray:
+        """One of two independent 64-bit hashes of words, of their length and all their bytes."""
+        eights = np.frombuffer(self.data, "<u8")
+        begin, length = self.begin[which], self.length[which]
+        out = length.astype(np.uint64) * SEED[half]
+        left = np.flatnonzero(length <= LANE_BYTES)
+        for k in range(0, LANE_BYTES, 8):
+            left = left[length[left] > k]
+            at, shift = np.divmod(begin[left] + k, 8)
+            shift = (shift * 8).astype(np.uint64)
+            value = (eights[at] >> shift) | (eights[at + 1] << np.uint64(1) << (np.uint64(63) - shift))
+            out[left] = scrambled(out[left] + (value & MASK[np.minimum(length[left] - k, 8)]))
+        known: dict[bytes, int] = {}
+        for i in np.flatnonzero(length > LANE_BYTES).tolist():
+            word = self.data[begin[i] : begin[i] + length[i]]
+            if word not in known:
+                known[word] = (xxhash.xxh3_128_intdigest(word) >> 64 * half) & 0xFFFFFFFFFFFFFFFF
+            out[i] = known[word]
+        return out
+
     def hashed(self, starts: np.ndarray, n: int, values: np.ndarray, odd: np.ndarray) -> np.ndarray:
         """Multilinear hash of n words from each start."""
         out = np.full(len(starts), odd[n], np.uint64)
@@ -136,7 +168,10 @@ class Batch:
         starts = np.flatnonzero(np.cumsum(step[:-1]) > 0)
         self.starts = starts = starts[starts + self.window <= self.end[starts]]
         h = self.hashed(starts, self.window, self.low, ODD[2])
-        x = (self.hashed(starts, self.window, self.high, ODD2[0]) >> np.uint64(32)).astype(np.uint32)
+        inside = np.flatnonzero(self.covered(starts))
+        high = np.zeros(len(self.low), np.uint64)
+        high[inside] = self.digests(inside, 1)
+        x = (self.hashed(starts, self.window, high, ODD2[0]) >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((x, h))
         fresh = np.append(True, (np.diff(h[order]) != 0) | (np.diff(x[order]) != 0))[: len(order)]
         self.group = np.empty(len(order), np.int64)
@@ -145,17 +180,22 @@ class Batch:
         ids = self.ids[self.doc[starts]]
         self.least = np.minimum.reduceat(ids[order], np.flatnonzero(fresh)) if len(order) else ids
 
+    def covered(self, starts: np.ndarray) -> np.ndarray:
+        """Whether each word is in a window that begins at one of these distinct starts."""
+        step = np.zeros(len(self.low) + 1, np.int64)
+        step[starts] += 1
+        step[starts + self.window] -= 1
+        return np.cumsum(step[:-1]) > 0
+
     def kept(self, bits: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """Each document's kept words, and the number of removed ones."""
         gone = self.starts[(bits[self.group] | (self.least[self.group] < self.ids[self.doc[self.starts]]))] if len(self.starts) else self.starts
-        step = np.zeros(len(self.low) + 1, np.int64)
-        step[gone] += 1
-        np.add.at(step, gone + self.window, -1)
-        covered = np.cumsum(step[:-1]) > 0
+        covered = self.covered(gone)
         begins = self.ends - self.sizes
         removed = np.add.reduceat(np.append(covered, False).astype(np.int64), np.minimum(begins, len(covered))) * (self.sizes > 0) if len(begins) else begins
         out = []
-        for words, n, a, b in zip(self.words, removed.tolist(), begins.tolist(), self.ends.tolist(), strict=True):
+        for text, n, a, b in zip(self.texts, removed.tolist(), begins.tolist(), self.ends.tolist(), strict=True):
+            words = text.split()  # bytes: ASCII white space only
             out.append(b" ".join(words if not n else [w for w, gone_ in zip(words, covered[a:b].tolist(), strict=True) if not gone_]))
         return out, removed
 

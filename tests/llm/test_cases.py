@@ -252,6 +252,24 @@ def test_symbols_are_named_alike_in_all_documents():
     assert set(whole.joined_names[whole.joined_shared]) == {n for n, c in Counter(n for b in alone for n in b.joined_names).items() if c > 1}
 
 
+def test_words_are_hashed_at_once_and_told_apart(monkeypatch):
+    """Equal words have equal hashes wherever they stand, others don't; only long words are hashed one by one, once each."""
+    calls, digest = [], substrings.xxhash.xxh3_128_intdigest
+    monkeypatch.setattr(substrings.xxhash, "xxh3_128_intdigest", lambda w: calls.append(w) or digest(w))
+    words = [w for n in (*range(1, 42), 64, 100) for w in (b"a" * n, b"\0" * n, b"a" * (n - 1) + b"\0", b"b" + b"a" * (n - 1), b"a" * (n - 1) + b"\xc3", "é".encode() * n)]
+    words += [b"\x1c\xc2\x85\xc2\xa0", b"\x1f"]  # no white space of ASCII
+    texts = [b"", *[b" " * k + b"\t\r\n\v\f ".join(words) + b"\n" * k for k in range(9)], b" \n", b" ".join(reversed(words)), b""]
+    b = substrings.Batch(np.arange(len(texts)), texts, 13)
+    flat = [w for t in texts for w in t.split()]
+    assert b.sizes.tolist() == [len(t.split()) for t in texts] and b.doc.tolist() == [k for k, t in enumerate(texts) for _ in t.split()]
+    assert sorted(calls) == sorted({w for w in words if len(w) > 32})
+    high = b.digests(slice(None), 1)
+    for hashes in (b.low.tolist(), high.tolist()):
+        assert len(set(hashes)) == len(set(words)) == len(set(zip(flat, hashes, strict=True)))
+    assert b.digests(np.array([5, 700, 40]), 1).tolist() == high[[5, 700, 40]].tolist() and not set(b.low) & set(high)
+    assert substrings.Batch(np.arange(0), [], 13).sizes.tolist() == []
+
+
 def test_columns_of_the_result_replace_those_of_the_input(spark):
     docs = spark.createDataFrame([(1, "a b", 7, "x", "y")], "doc_id long, text string, n_words int, kept string, c0 string")
     row = substrings.dedup_substrings(docs).first()
