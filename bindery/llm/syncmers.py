@@ -34,6 +34,13 @@ TOKEN = f"([{UNSPACED}]|[^\\x20\\x09-\\x0D{UNSPACED}]{{1,{PIECE}}})"
 ANCHORS = "array<struct<hash:bigint,n:int,at:int>>"
 
 
+def tokens_of(text: Column) -> Column:
+    """The tokens of a text, as TOKEN finds them; words that need no cutting, the usual case, are split off without it."""
+    words = F.array_remove(F.split(F.regexp_replace(text, F.lit("[\\x09-\\x0D]"), F.lit(" ")), " "), "")
+    cuts = lambda w: text.rlike(f"[{UNSPACED}]") | F.exists(w, lambda x: F.length(x) > PIECE)
+    return let(words, lambda w: F.when(cuts(w), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))).otherwise(w))
+
+
 def marked(tokens: Column) -> Column:
     """hash and place (with the frame) of every closed syncmer of an array of tokens."""
     frame = F.array_repeat(F.lit(""), K - 1)
@@ -57,7 +64,16 @@ def anchors(text: Column) -> Column:
         begins = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i - 1)["hash"] != F.get(a, i)["hash"]))
         return let(begins, lambda b: F.transform(b, lambda i, j: F.struct(F.get(a, i)["hash"].alias("hash"), (F.coalesce(F.get(b, j + 1), F.size(a)) - i).alias("n"), F.get(a, i)["at"].alias("at"))))
 
-    return let(F.sort_array(marked(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)))), counted).cast(ANCHORS)
+    return let(F.sort_array(marked(tokens_of(text))), counted).cast(ANCHORS)
+
+
+def packed(a: Column) -> Column:
+    """A fingerprint as three arrays of numbers, less than half as large: what a cell's rows hold until the next row is known."""
+    return let(a, lambda x: F.struct(x["hash"].alias("hash"), x["n"].alias("n"), x["at"].alias("at")))
+
+
+def unpacked(p: Column) -> Column:
+    return F.arrays_zip(p["hash"].alias("hash"), p["n"].alias("n"), p["at"].alias("at")).cast(ANCHORS)
 
 
 def total(a: Column) -> Column:
@@ -77,13 +93,14 @@ def likeness(a: Column, b: Column) -> Column:
         return let(middle, lambda m: total(F.filter(c, lambda x: F.abs(x["shift"] - m) <= SLACK)))
 
     shared = let(let(F.sort_array(F.concat(side(a, 0), side(b, 1))), common), near)
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(shared / F.greatest(total(a), total(b)), F.lit(0.0)))
+    apart = ~F.arrays_overlap(a["hash"], b["hash"])  # most texts that are no copies: told without a sort
+    return F.when(a == b, F.lit(1.0)).when(apart, F.lit(0.0)).otherwise(F.coalesce(shared / F.greatest(total(a), total(b)), F.lit(0.0)))
 
 
 def spelled(a: Column) -> Column:
     """A fingerprint as a string: hash.place in hexadecimal, and .n where there are more places, joined by commas."""
-    one = lambda e: F.concat(F.lower(F.hex(e["hash"])), F.lit("."), F.lower(F.hex(e["at"].cast("long"))), F.when(e["n"] > 1, F.concat(F.lit("."), e["n"].cast("string"))).otherwise(F.lit("")))
-    return F.array_join(F.transform(a, one), ",")
+    one = lambda e: F.concat(F.hex(e["hash"]), F.lit("."), F.hex(e["at"].cast("long")), F.when(e["n"] > 1, F.concat(F.lit("."), e["n"].cast("string"))).otherwise(F.lit("")))
+    return F.lower(F.array_join(F.transform(a, one), ","))
 
 
 def place(id_: Column, text: Column) -> Column:
@@ -106,9 +123,11 @@ def count_below(bounds: list, at: Column) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve)["lo"]
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, **made: Column) -> DataFrame:
     """Rows (id, text) with next_text, the text of the next row by descending id.
 
+    Each of `made`, a column made of the text, is evaluated once a row and given with that of the next row, as next_<name>.
+
     Keys alone are sorted first: their ranges, of about CELL_BYTES of text each, become cells, and a key's cell is
     found by bisection. Texts are shuffled once, by cell; the highest row of each cell (one a cell, a join on keys)
     is dealt to the cell above as well, so every row finds its next in its own cell.
@@ -119,7 +138,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     ranges = keyed.select("at").repartitionByRange(cells, "at").groupBy(F.spark_partition_id().alias("part")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     ranges = sorted(ranges.select("lo", "hi").collect())  # a row a cell
     if not ranges:
-        return docs.select("id", "text", F.col("text").alias("next_text"))
+        return docs.select("id", "text", *[c.alias(n) for n, c in made.items()], *[c.alias(f"next_{n}") for n, c in ({"text": F.col("text")} | made).items()])
     cell = count_below([tuple(r.lo) for r in ranges[1:]], F.col("at"))
     rows = keyed.select("id", "text", "at", cell.alias("cell"), F.lit(True).alias("own"))
     # the highest row of a cell comes after the lowest of the cell above; that of the highest after the lowest of all
@@ -128,9 +147,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = docs.join(F.broadcast(tops), same).groupBy("above", "known", "top", "hash").agg(F.first("text").alias("text"))
     lowest = F.struct(F.lit(False).alias("known"), F.lit(-(2**63)).alias("id"), F.lit(-(2**63)).alias("hash"), F.lit(-1).cast("long").alias("row"))
     heads = heads.select(F.lit(None).cast("long").alias("id"), "text", lowest.alias("at"), F.col("above").alias("cell"), F.lit(False).alias("own"))
-    dealt = rows.unionByName(heads).repartition(len(ranges), "cell")
-    by = Window.partitionBy("cell").orderBy(F.col("at").desc())
-    return dealt.select("id", "text", "own", F.lead("text").over(by).alias("next_text")).filter("own").drop("own")
+    down = F.col("at").desc()
+    # texts alone are sorted; what is made of them is made of sorted rows, whose order the window keeps
+    dealt = rows.unionByName(heads).repartition(len(ranges), "cell").sortWithinPartitions("cell", down)
+    dealt = dealt.select("id", "text", "at", "cell", "own", *[c.alias(n) for n, c in made.items()])
+    by = Window.partitionBy("cell").orderBy(down)
+    return dealt.select("id", "text", "own", *made, *[F.lead(n).over(by).alias(f"next_{n}") for n in ("text", *made)]).filter("own").drop("own")
 
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -144,12 +166,12 @@ def compared_with_next(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))
-    rows = with_next(base).select("id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+    rows = with_next(base, marks=packed(anchors(F.col("text")))).select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "marks", "next_marks")
 
     def row(m):
         own, other, after = (m[x] for x in ("own", "edited", "next"))
         return F.struct(spelled(own).alias("fingerprint"), spelled(other).alias("edited_fingerprint"), likeness(own, other).alias("near_edited"), likeness(own, after).alias("near_next"))
 
-    all_ = F.struct(anchors(F.col("text")).alias("own"), anchors(F.col("edited")).alias("edited"), anchors(F.col("next_text")).alias("next"))
+    all_ = F.struct(unpacked(F.col("marks")).alias("own"), anchors(F.col("edited")).alias("edited"), unpacked(F.col("next_marks")).alias("next"))
     found = rows.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), let(all_, row).alias("f"))
     return found.select("doc_id", "n_chars", "edited_sha256", "f.fingerprint", "f.edited_fingerprint", "f.near_edited", "f.near_next")

@@ -220,6 +220,35 @@ def test_next_rows_in_any_number_of_cells(spark, monkeypatch, cell):
     assert Counter((r.id, r.text, r.next_text) for r in got.collect()) == want
 
 
+def test_tokens_equal_those_of_the_pattern(spark):
+    """With and without words that are cut, letters of scripts without spaces, and white space of all kinds."""
+    rnd = np.random.default_rng(11)
+    parts = ["a", "word", "x" * 24, "y" * 25, "z" * 49, "é" * 24, "é" * 25, "😀" * 24, "😀" * 25, "中文", "a中b", "\u0e00", "\u0dff", "\ud7b0", "\xa0", "\x85", "\x1f", "\0", "", " ", "\t", "\n", "\x0b", "\x0c", "\r", "$0 \\1"]
+    texts = ["", " ", "\t\n", *parts] + [str(rnd.choice([" ", "\n", "\r\n", "  "])).join(rnd.choice(some, 12)) for some in (parts, parts[:3] + parts[14:]) for _ in range(40)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    token = re.compile(syncmers.TOKEN.encode().decode("unicode_escape"))
+    for r in rows.select("t", syncmers.tokens_of(F.col("t")).alias("tokens")).collect():
+        assert r.tokens == token.findall(r.t), r.t
+
+
+@pytest.mark.parametrize("cell", [1, 64 << 20])
+def test_each_text_is_fingerprinted_once(spark, monkeypatch, cell):
+    """The next row's fingerprint is that of its own row, handed on: the plan makes two a row, of the text and of the edited one."""
+    monkeypatch.setattr(syncmers, "CELL_BYTES", cell)
+    docs = spark.createDataFrame([(i if i % 9 else None, " ".join(f"w{j % 50}" for j in range(i, i + i % 60))) for i in range(120)], "doc_id long, text string")
+    got = syncmers.compared_with_next(docs)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+    base = docs.select(F.col("doc_id").alias("id"), "text")
+    made = syncmers.with_next(base, marks=syncmers.packed(syncmers.anchors(F.col("text"))))
+    one = lambda c: syncmers.unpacked(F.col(c))
+    whole = lambda c: syncmers.anchors(F.col(c))
+    assert made.count() == 120 and made.filter((one("marks") != whole("text")) | (one("next_marks") != whole("next_text"))).count() == 0
+    near = Counter(r.x for r in made.select(syncmers.likeness(whole("text"), whole("next_text")).alias("x")).collect())
+    assert Counter(r.near_next for r in got.collect()) == near and len(near) > 5
+    empty = syncmers.with_next(base.limit(0), n=F.length("text"))
+    assert empty.columns == ["id", "text", "n", "next_text", "next_n"] and empty.collect() == []
+
+
 # substrings
 
 
