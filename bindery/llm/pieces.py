@@ -21,12 +21,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
-from array import array
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +35,64 @@ from bindery.llm.common import batches
 
 SPACE, END, NONE = "▁", 0x110000, 1 << 30
 CHUNK = 3 << 17  # characters of one suffix array
-MEMO = 700_000  # units a task remembers, about 160 MB
+BATCH = 8 << 20  # bytes of a batch, which pays for a hash table over the memo
+MEMO = 700_000  # units a task remembers, about 65 MB
 LONG_UNIT, MEMO_BYTES = 48, 160 << 20  # units of more characters are forgotten after their batch
-UNITS = re.compile(" *[^ ]+| +").findall
+
+
+def gathered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about BATCH bytes: larger ones are sliced, smaller ones joined."""
+    held, size = [], 0
+    for batch in batches(rows, BATCH):
+        if held and size + batch.nbytes > BATCH:
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
+def offsets(array: pa.Array) -> np.ndarray:
+    """Where the values of a large string or binary array start, and the last one's end, in its buffer."""
+    return np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
+
+
+def values(array: pa.Array) -> memoryview:
+    """The bytes of all values of a large string or binary array, end to end."""
+    at = offsets(array)
+    return memoryview(array.buffers()[2] or b"")[at[0] : at[-1]]
+
+
+def parts(array: pa.Array, cuts: np.ndarray) -> Iterator[memoryview]:
+    """The bytes of the values between two cuts."""
+    at, data = offsets(array), values(array)
+    ends = (at - at[0])[cuts].tolist()
+    return (data[a:b] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def sliced(kind: pa.DataType, data: pa.Buffer, at: np.ndarray) -> pa.Array:
+    """Array of the slices of data between the offsets."""
+    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), data])
+
+
+def joined(array: pa.LargeStringArray, cuts: np.ndarray) -> pa.LargeStringArray:
+    """The values between two cuts joined to one."""
+    return sliced(pa.large_string(), array.buffers()[2] or pa.py_buffer(b""), offsets(array)[cuts])
+
+
+def units_of(texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Units of all texts, and where those of each start and the last's end: runs of spaces with the word after them, a space put before the text."""
+    plain = pc.replace_substring(texts.fill_null("").cast(pa.large_string()), SPACE, " ")
+    spaced = pc.binary_join_element_wise(pc.if_else(pc.equal(plain, ""), "", " ").cast(pa.large_string()), plain, pa.scalar("", pa.large_string()))
+    at, data = offsets(spaced), np.frombuffer(values(spaced), np.uint8)
+    at = at - at[0]
+    space = data == ord(" ")
+    first = space.copy()
+    first[1:] &= ~space[:-1]
+    first[at[:-1][np.diff(at) > 0]] = True
+    starts = np.flatnonzero(first)
+    return sliced(pa.large_string(), pa.py_buffer(data), np.append(starts, len(data))), np.searchsorted(starts, at)
 
 
 class Model:
@@ -54,10 +109,13 @@ class Model:
         self.pieces = [p.piece for p in proto.pieces]
         self.kind = [p.type for p in proto.pieces]
         #: text and decimal number of each id; None where decoding needs more than the piece
-        self.plain = [p.piece.replace(SPACE, " ") if p.type == 1 else None for p in proto.pieces]
-        self.decimal = [str(i) for i in range(len(proto.pieces))]
+        self.plain = [p.piece.replace(SPACE, " ") if p.type == 1 else chr(int(p.piece[3:5], 16)) if p.type == 6 and p.piece < "<0x80" else None for p in proto.pieces]
+        self.plain_text = pa.array([p or "" for p in self.plain], pa.large_string())
+        self.rest = np.array([p is None for p in self.plain])
+        self.decimal = pa.array([f"{i} " for i in range(len(proto.pieces))], pa.large_string())
         self.id = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
-        self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
+        of_byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
+        self.byte_id = np.array([of_byte[b] for b in range(256)])
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError(f"{path}: pieces cross words")
         scores = Counter(proto.pieces[i].score for p, i in self.id.items() if len(p) > 1)
@@ -164,33 +222,50 @@ class Model:
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
         """Piece ids of each unit; a unit has spaces for U+2581."""
-        out: list[list[int]] = []
-        held: list[str] = []
-        size = 0
-        for u in units:
-            held.append(u.replace(" ", SPACE))
-            size += len(u) + 1
-            if size > CHUNK:
-                out += self._encode(held)
-                held, size = [], 0
-        return out + (self._encode(held) if held else [])
-
-    def _encode(self, units: list[str]) -> list[list[int]]:
-        whole = "\0".join(units)
-        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
-        ends = np.cumsum(lengths + 1)
-        codes[ends[:-1] - 1] = END  # a unit may hold NUL itself
-        unit = np.repeat(np.arange(len(units)), lengths + 1)[: len(codes)]
+        ids, cuts = self.encode_array(pa.array(units, pa.large_string()))
+        return [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def encode_array(self, units: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all units end to end, and where those of each start and the last's end; a unit has spaces for U+2581."""
+        lengths = pc.utf8_length(units).to_numpy()
+        size, at, ids, sizes = np.cumsum(lengths + 1), 0, [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        while at < len(units):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK)))
+            flat, n = self._encode(values(units[at:to]), lengths[at:to])
+            ids.append(flat)
+            sizes.append(n)
+            at = to
+        return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+
+    def _encode(self, text: memoryview, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of the units that text is cut into by lengths in characters, and their number in each."""
+        chars = np.frombuffer(str(text, "utf-8").encode("utf-32-le"), np.uint32)
+        n = len(lengths)
+        codes = np.full(len(chars) + n - 1, END, np.uint32)  # a unit may hold NUL itself
+        codes[np.arange(len(chars)) + np.repeat(np.arange(n), lengths)] = np.where(chars == ord(" "), ord(SPACE), chars)
+        unit = np.repeat(np.arange(n), lengths + 1)[: len(codes)]
         table = self.edges(codes)
         start, end, of = self.relax(table, codes, unit)
         ids = np.where(end - start > 1, self.multi_id[np.minimum(table[start, end - start], len(self.multi_id) - 1)], self.single[codes[start]])
-        flat, cuts = ids.tolist(), np.searchsorted(of, np.arange(len(units) + 1)).tolist()
-        out = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        for u in np.unique(of[ids < 0]).tolist():
-            symbols = range(cuts[u], cuts[u + 1])
-            out[u] = [i for k in symbols for i in ([flat[k]] if flat[k] >= 0 else [self.bytes[b] for b in chr(codes[start[k]]).encode("utf-8", "replace")])]
-        return out
+        other = ids < 0
+        if other.any():
+            char = codes[start[other]]
+            width = np.ones(len(ids), np.int64)
+            width[other] = 1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)
+            ids, other, of = np.repeat(ids, width), np.repeat(other, width), np.repeat(of, width)
+            ids[other] = self.byte_id[np.frombuffer(char.tobytes().decode("utf-32-le").encode(), np.uint8)]
+        return ids.astype(np.int32), np.bincount(of, minlength=n)
+
+    def decode_array(self, ids: np.ndarray, cuts: np.ndarray) -> pa.LargeStringArray:
+        """The text of each list of ids, which cuts part, with the dummy space at its start."""
+        texts = joined(self.plain_text.take(pa.array(ids)), cuts)
+        rest = np.unique(np.searchsorted(cuts, np.flatnonzero(self.rest[ids]), "right") - 1)
+        if not len(rest):
+            return texts
+        which = np.arange(len(texts))
+        which[rest] = len(texts) + np.arange(len(rest))
+        other = pa.array([self.decode(ids[cuts[k] : cuts[k + 1]].tolist()) for k in rest.tolist()], pa.large_string())
+        return pa.concat_arrays([texts, other]).take(pa.array(which))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, with the dummy space at its start."""
@@ -215,48 +290,64 @@ class Model:
 
 
 class Coder:
-    """Encodes texts by batches; a memo of units with ids (as int32 bytes), their number and their decoded text.
+    """Encodes texts by batches; a memo of units with ids (as int32 bytes), their decoded text and, to spell, their decimal ids, each with a space after it.
 
     One is made for every task and goes with it, so a reused worker holds no more than the model. The memo is bounded by
-    units and by bytes; long units, such as texts without spaces, are held for their batch only.
+    units and by bytes; long units, such as texts without spaces, are held for their batch only. All of it is Arrow
+    arrays: a batch's units are numbered by one hash table over the memo and the batch, and results are taken by number.
     """
 
     def __init__(self, model: Model, spell: bool = False):
-        self.model, self.spell, self.bytes = model, spell, 0
-        self.at: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.count: list[int] = []
-        self.text: list[str] = []
-        self.spelled: list[str] = []
+        self.model, self.spell = model, spell
+        self.known = self.text = self.spelled = pa.array([], pa.large_string())
+        self.coded, self.kept = pa.array([], pa.large_binary()), 0
 
-    def units(self, texts: list[str]):
-        """Numbers in the memo of each text's units, text by text; a batch's units are never all held as strings."""
-        if len(self.at) > MEMO or self.bytes > MEMO_BYTES:
+    @property
+    def at(self) -> dict[str, int]:
+        return {u: i for i, u in enumerate(self.known.to_pylist())}
+
+    @property
+    def ids(self) -> list[bytes]:
+        return self.coded.to_pylist()
+
+    def numbers(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Numbers in the memo of all texts' units, and where those of each text start and the last's end. They hold until forget()."""
+        if len(self.known) > MEMO or self.known.nbytes + self.text.nbytes + self.spelled.nbytes + self.coded.nbytes > MEMO_BYTES:
             self.__init__(self.model, self.spell)
-        split = lambda t: UNITS(" " + t.replace(SPACE, " ")) if t else []
-        new: set[str] = set()
-        for t in texts:
-            new.update(split(t))
-        new = sorted(new - self.at.keys(), key=lambda u: (len(u) > LONG_UNIT, u))
-        kept = len(self.ids)
-        for u, ids in zip(new, self.model.encode_units(new), strict=True):
-            if len(u) <= LONG_UNIT:
-                kept += 1
-                self.bytes += 120 + 4 * len(u) + 10 * len(ids)
-            self.at[u] = len(self.ids)
-            self.ids.append(array("i", ids).tobytes())
-            self.count.append(len(ids))
-            decoded = self.model.decode(ids)
-            self.text.append(u if decoded == u else decoded)
+        units, cuts = units_of(texts)
+        self.kept = len(self.known)
+        if not len(units):
+            return pa.array([], pa.int32()), cuts
+        found = pa.chunked_array([self.known, units]).dictionary_encode().chunks[-1]
+        at, new = found.indices, found.dictionary[len(self.known) :]
+        long = pc.greater(pc.utf8_length(new), LONG_UNIT).to_numpy(zero_copy_only=False)
+        if long.any():  # they come last, to be forgotten
+            order = np.argsort(long, kind="stable")
+            number = np.arange(len(self.known) + len(new), dtype=np.int32)
+            number[len(self.known) + order] = len(self.known) + np.arange(len(new))
+            at, new = pa.array(number[at.to_numpy()]), new.take(pa.array(order))
+        self.kept += len(new) - int(long.sum())
+        if len(new):
+            ids, ends = self.model.encode_array(new)
+            self.known = pa.concat_arrays([self.known, new])
+            self.coded = pa.concat_arrays([self.coded, sliced(pa.large_binary(), pa.py_buffer(ids), 4 * ends)])
             if self.spell:
-                self.spelled.append(" ".join(map(self.model.decimal.__getitem__, ids)))
-        look_up = self.at.__getitem__
-        for t in texts:
-            yield list(map(look_up, split(t)))
-        for u in new[len(new) - (len(self.ids) - kept) :]:
-            del self.at[u]
-        for held in (self.ids, self.count, self.text, self.spelled):
-            del held[kept:]
+                self.text = pa.concat_arrays([self.text, self.model.decode_array(ids, ends)])
+                self.spelled = pa.concat_arrays([self.spelled, joined(self.model.decimal.take(pa.array(ids)), ends)])
+        return at, cuts
+
+    def forget(self) -> None:
+        """Forgets the long units of the last batch."""
+        if len(self.known) > self.kept:
+            # copies, as a slice would hold the long ones
+            self.known, self.coded, self.text, self.spelled = (pa.concat_arrays([x[: self.kept], x[:0]]) for x in (self.known, self.coded, self.text, self.spelled))
+
+    def units(self, texts: list[str]):
+        """Numbers in the memo of each text's units, text by text."""
+        at, cuts = self.numbers(pa.array(texts, pa.string()))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield at[a:b].to_pylist()
+        self.forget()
 
 
 @functools.lru_cache(2)
@@ -265,7 +356,7 @@ def model_of(path: str) -> Model:
 
 
 def with_column(docs: DataFrame, source: str, name: str, kind: T.DataType, of) -> DataFrame:
-    """All columns of docs but one called `name`, in their order, and `name`: of(values of source, batch by batch).
+    """All columns of docs but one called `name`, in their order, and `name`: of(column of source, batch by batch).
 
     Columns travel under numbers, so no name of the input can clash with one of the operator.
     """
@@ -274,10 +365,10 @@ def with_column(docs: DataFrame, source: str, name: str, kind: T.DataType, of) -
     kept = [(n, c) for n, c in zip(names, docs.columns, strict=True) if c != name]
     rows = own.select(*[n for n, _ in kept], F.col(names[docs.columns.index(source)]).alias("source"))
 
-    def run(batches_):
+    def run(rows_):
         convert = of()
-        for batch in batches(batches_):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], convert(batch.column(batch.num_columns - 1).to_pylist())], names=[*batch.schema.names[:-1], "result"])
+        for batch in gathered(rows_):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], convert(batch.column(batch.num_columns - 1))], names=[*batch.schema.names[:-1], "result"])
 
     out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("result", kind)]))
     return out.toDF(*[c for _, c in kept], name)
@@ -290,9 +381,10 @@ def encode(docs: DataFrame, model_path: str, text_col="text", ids_col="piece_ids
         own = Coder(model_of(model_path))
 
         def convert(texts):
-            coded_ = [b"".join(map(own.ids.__getitem__, units)) for units in own.units([t or "" for t in texts])]
-            ends = np.cumsum([0, *(len(x) // 4 for x in coded_)]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded_), np.int32)))
+            at, cuts = own.numbers(texts)
+            coded_ = own.coded.take(at)
+            own.forget()
+            return pa.ListArray.from_arrays(pa.array((offsets(coded_)[cuts] // 4).astype(np.int32)), pa.array(np.frombuffer(values(coded_), np.int32)))
 
         return convert
 
@@ -304,7 +396,7 @@ def decode(docs: DataFrame, model_path: str, ids_col="piece_ids", text_col="deco
 
     def of():
         model = model_of(model_path)
-        return lambda lists: pa.array([None if ids is None else model.decode(ids).removeprefix(" ") for ids in lists], pa.string())
+        return lambda lists: pa.array([None if ids is None else model.decode(ids).removeprefix(" ") for ids in lists.to_pylist()], pa.string())
 
     return with_column(docs, ids_col, text_col, T.StringType(), of)
 
@@ -314,15 +406,18 @@ def coded(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text") ->
 
     def run(rows):
         own = Coder(model_of(model_path), spell=True)
-        for batch in batches(rows):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n, digests, decoded, same = [], [], [], []
-            for text, units in zip(texts, own.units(texts), strict=True):
-                n.append(sum(map(own.count.__getitem__, units)))
-                digests.append(hashlib.sha256(" ".join(map(own.spelled.__getitem__, units)).encode()).hexdigest())
-                back = "".join(map(own.text.__getitem__, units))[1:]
-                decoded.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                same.append(back == text)
+        for batch in gathered(rows):
+            texts = batch.column(1).fill_null("").cast(pa.large_string())
+            at, cuts = own.numbers(texts)
+            numbers, back = own.spelled.take(at), own.text.take(at)
+            n = np.diff(np.concatenate([[0], np.cumsum((np.diff(offsets(own.coded)) // 4)[at])])[cuts])
+            own.forget()
+            digests, decoded, same = [], [], []
+            for text, plain, spelled in zip(parts(texts, np.arange(len(texts) + 1)), parts(back, cuts), parts(numbers, cuts), strict=True):
+                digests.append(hashlib.sha256(spelled[:-1]).hexdigest())
+                plain = bytes(plain).removeprefix(b" ")
+                decoded.append(hashlib.sha256(plain).hexdigest())
+                same.append(plain == bytes(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests), pa.array(decoded), pa.array(same)], names=["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

@@ -1,13 +1,16 @@
 """Edge cases and brute-force versions of the llm operators."""
 
 
+import hashlib
 import re
+import sys
 from collections import Counter
 from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +59,43 @@ def test_columns_may_have_any_name(spark, library):
     assert list(row.piece_ids) == library.encode("word") and row.decoded == "word" and (row._t, row._i) == (1, 2)
 
 
+def test_calls_do_not_grow_with_units(library):
+    rnd = np.random.default_rng(9)
+    text = " ".join("".join(rnd.choice(list("etaoinshr\n"), 9)) for _ in range(5000))
+    coder, calls = pieces.Coder(pieces.model_of(PIECES), spell=True), [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        units = next(iter(coder.units([text])))
+    finally:
+        sys.setprofile(None)
+    assert len(set(units)) > 4900 and calls[0] < 5000
+    ids = coder.ids
+    assert np.frombuffer(b"".join(ids[u] for u in units), np.int32).tolist() == library.encode(text)
+
+
+def test_digests_of_mixed_batches_equal_the_library(spark, library):
+    rnd = np.random.default_rng(10)
+    letters = ["a", "the", " ", "  ", "\n", "\0", "é", "中", "😀", "▁", "\ufffd", "\x80", "</s>", "<0x0A>", "q" * 60]
+    texts = ["".join(rnd.choice(letters, rnd.integers(0, 40))) for _ in range(300)] + [None, "", " ", "▁"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in pieces.coded(docs, PIECES).collect():
+        text = texts[r.doc_id] or ""
+        ids = library.encode(text)
+        back = library.decode(ids)
+        assert (r.n_pieces, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert (r.decoded_sha256, r.round_trip) == (hashlib.sha256(back.encode()).hexdigest(), back == text)
+
+
+def test_small_batches_are_gathered():
+    rows = [pa.RecordBatch.from_pydict({"n": [k], "text": [t]}) for k, t in enumerate(["a"] * 500 + ["b" * pieces.BATCH] + ["c"] * 500)]
+    got = list(pieces.gathered(iter(rows)))
+    assert [b.num_rows for b in got] == [500, 1, 500] and pa.Table.from_batches(got) == pa.Table.from_batches(rows)
+
+
 # tokens
 
 
