@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from bindery.llm.common import batches
 
 SPACE, END, NONE = "▁", 0x110000, 1 << 30
-CHUNK = 3 << 17  # characters of one suffix array
+CHUNK = 3 << 15  # characters of one suffix array
 BATCH = 8 << 20  # bytes of a batch, which pays for a hash table over the memo
 MEMO = 700_000  # units a task remembers, about 65 MB
 LONG_UNIT, MEMO_BYTES = 48, 160 << 20  # units of more characters are forgotten after their batch
@@ -53,6 +53,19 @@ def gathered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
+def released(run):
+    """run, after which Arrow gives back what it has freed, since other stages use the worker again."""
+
+    def to_the_end(rows):
+        for batch in run(rows):
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return to_the_end
+
+
 def offsets(array: pa.Array) -> np.ndarray:
     """Where the values of a large string or binary array start, and the last one's end, in its buffer."""
     return np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
@@ -174,9 +187,10 @@ class Model:
         """Table by start and length of the number of the piece there, the number after the last where there is none."""
         order = self.suffixes(codes)
         padded = np.concatenate([codes, np.zeros(self.width + 1, np.uint32)])
-        windows = padded[order[:, None] + np.arange(self.width + 1)].view(f"U{self.width + 1}").ravel()
+        windows = np.lib.stride_tricks.sliding_window_view(padded, self.width + 1)[order].view(f"U{self.width + 1}").ravel()
         lo, hi = np.searchsorted(windows, self.low), np.searchsorted(windows, self.high)
         n = hi - lo
+        del windows  # the table takes as much
         found = np.flatnonzero(n)
         which = np.repeat(found, n[found])
         at = order[np.arange(len(which)) - np.repeat(np.cumsum(n[found]) - n[found], n[found]) + np.repeat(lo[found], n[found])]
@@ -370,7 +384,7 @@ def with_column(docs: DataFrame, source: str, name: str, kind: T.DataType, of) -
         for batch in gathered(rows_):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], convert(batch.column(batch.num_columns - 1))], names=[*batch.schema.names[:-1], "result"])
 
-    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("result", kind)]))
+    out = rows.mapInArrow(released(run), T.StructType([*rows.schema.fields[:-1], T.StructField("result", kind)]))
     return out.toDF(*[c for _, c in kept], name)
 
 
@@ -420,4 +434,4 @@ def coded(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text") ->
                 same.append(plain == bytes(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests), pa.array(decoded), pa.array(same)], names=["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
