@@ -35,7 +35,7 @@ from bindery.llm.common import batches
 
 SPACE, END, NONE = "▁", 0x110000, 1 << 30
 CHUNK = 3 << 15  # characters of one suffix array
-BATCH = 8 << 20  # bytes of a batch, which pays for a hash table over the memo
+BATCH = 2 << 20  # bytes of a batch, which pays for a hash table over the memo
 MEMO = 700_000  # units a task remembers, about 65 MB
 LONG_UNIT, MEMO_BYTES = 48, 160 << 20  # units of more characters are forgotten after their batch
 
