@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bindery.functions import headers
 from bindery.operators import editing, ranges
 from bindery.plans import create, options, segments, updaters
-from bindery.plans.catalog import ANCESTORS, EDITS, ENTRIES, FINAL, SITES, SPANS, STATE, entries, query, read, sites, spans
+from bindery.plans.catalog import ANCESTORS, EDITS, ENTRIES, FINAL, SITES, SPANS, STATE, entries, query, read, sites, spans, wide
 from bindery.sources.sinks import register
 
 DIGESTS = "SELECT e.path, 'file' AS kind, strlen(d.text)::BIGINT AS size, sha256(d.text) AS digest FROM {} e JOIN documents d ON d.doc_id = e.idx"
@@ -259,7 +259,7 @@ def model_positions(spark, sf):
 @query(f"""WITH {SPANS}, w AS (SELECT archive, lo + 100 AS w_lo, hi + 100 AS w_hi FROM spans WHERE part % 9 = 0)
 SELECT DISTINCT s.archive, s.ord, s.lo, s.hi FROM spans s JOIN w USING (archive) WHERE s.lo < w_hi AND w_lo < s.hi AND s.hi > s.lo""")
 def written_overlaps(spark, sf):
-    rows = spans(spark, sf)
+    rows = spans(spark, sf, wide(spark, sf))
     written = rows.filter("part % 9 = 0").select("archive", (F.col("lo") + 100).alias("w_lo"), (F.col("hi") + 100).alias("w_hi"))
     return ranges.overlapping(rows.select("archive", "ord", "lo", "hi"), written, ["archive"], 1 << 16)
 

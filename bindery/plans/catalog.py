@@ -74,9 +74,16 @@ def edits(spark, sf):
     return read(spark, sf, "labels").select(F.explode(F.filter(wanted, lambda e: e.isNotNull())).alias("e")).select("e.*")
 
 
-def members(spark, sf):
+def wide(spark, sf) -> bool:
+    """Whether an archive may have more members than a cell, which the keys alone tell; none has more members than lines."""
+    return ranges.wide_key(read(spark, sf, "lineitem"), ["l_orderkey"])
+
+
+def members(spark, sf, wide=True):
+    """Of archives that fit a cell all lines are brought together at first, so that what follows by archive is not dealt out again."""
     size = (F.col("l_quantity") * 1000).cast("long") + F.col("l_partkey") % 997
-    return read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("archive"), F.col("l_linenumber").alias("ord")).agg(F.sum(size).alias("size"), F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
+    rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("archive"), F.col("l_linenumber").alias("ord"), size.alias("size"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"))
+    return (rows if wide else rows.repartition("archive")).groupBy("archive", "ord").agg(F.sum("size").alias("size"), F.min("part").alias("part"), F.min("supp").alias("supp"))
 
 
 def sites(spark, sf):
@@ -155,8 +162,8 @@ def offset_prefix_sum(spark, sf):
 
 @query(f"WITH {MEMBERS}, t AS (SELECT *, 512 + size + (512 - size % 512) % 512 AS span FROM members) SELECT archive, ord, span, coalesce(sum(span) OVER (PARTITION BY archive ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo FROM t")
 def tar_padded_offsets(spark, sf):
-    rows = members(spark, sf).select("archive", "ord", fields.tar_span(F.col("size")).alias("span"))
-    return ranges.prefix_sum_within(rows, ["archive"], ["ord"], "span")
+    rows = members(spark, sf, many := wide(spark, sf)).select("archive", "ord", fields.tar_span(F.col("size")).alias("span"))
+    return ranges.prefix_sum_within(rows, ["archive"], ["ord"], "span", wide=many)
 
 
 @query(f"WITH {ENTRIES} SELECT count(*) AS n, sum(size)::BIGINT AS bytes, sum(512 + size + (512 - size % 512) % 512)::BIGINT AS tar_bytes, sum(CASE idx % 3 WHEN 0 THEN size WHEN 1 THEN 2 * size ELSE 3 * size END)::BIGINT AS work FROM entries")
@@ -238,8 +245,9 @@ def inode_first(spark, sf):
 SPANS = f"""{MEMBERS}, spans AS (SELECT archive, ord, lo, lo + size AS hi, part FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY archive ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo FROM members))"""
 
 
-def spans(spark, sf):
-    return ranges.prefix_sum_within(members(spark, sf), ["archive"], ["ord"], "size").select("archive", "ord", "lo", (F.col("lo") + F.col("size")).alias("hi"), "part")
+def spans(spark, sf, many: bool):
+    rows = ranges.prefix_sum_within(members(spark, sf, many), ["archive"], ["ord"], "size", wide=many).select("archive", "ord", "lo", (F.col("lo") + F.col("size")).alias("hi"), "part")
+    return segments.checkpointed(rows) if many else rows
 
 
 ISLANDS = """k AS (SELECT * FROM spans WHERE part % 4 <> 0), g AS (SELECT *, CASE WHEN lag(hi) OVER w = lo THEN 0 ELSE 1 END AS s FROM k WINDOW w AS (PARTITION BY archive ORDER BY ord)),
@@ -248,20 +256,21 @@ r AS (SELECT *, sum(s) OVER (PARTITION BY archive ORDER BY ord)::BIGINT AS islan
 
 @query(f"WITH {SPANS}, {ISLANDS} SELECT archive, island, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM r GROUP BY archive, island")
 def range_coalesce(spark, sf):
-    return ranges.coalesced(spans(spark, sf).filter("part % 4 <> 0"), ["archive"], ["ord"])
+    return ranges.coalesced(spans(spark, sf, many := wide(spark, sf)).filter("part % 4 <> 0"), ["archive"], ["ord"], wide=many)
 
 
 @query(f"WITH {SPANS}, k AS (SELECT archive, ord, lo, hi, lag(hi) OVER (PARTITION BY archive ORDER BY ord) AS prev_hi FROM spans WHERE part % 4 <> 0) SELECT * FROM k WHERE prev_hi <> lo")
 def pack_contiguity(spark, sf):
-    return ranges.gaps(spans(spark, sf).filter("part % 4 <> 0").select("archive", "ord", "lo", "hi"), ["archive"], "ord")
+    return ranges.gaps(spans(spark, sf, many := wide(spark, sf)).filter("part % 4 <> 0").select("archive", "ord", "lo", "hi"), ["archive"], "ord", many)
 
 
 @query(f"""WITH {SPANS}, {ISLANDS}, old AS (SELECT archive, min(lo) AS s_lo, max(hi) AS s_hi FROM r GROUP BY archive, island),
 c AS (SELECT archive, ord, lo + 16 AS c_lo, hi - 8 AS c_hi FROM spans)
 SELECT c.archive, ord, c_lo, c_hi, s_lo, s_hi FROM c JOIN old USING (archive) WHERE c_lo - least(32768, c_lo) >= s_lo AND c_hi <= s_hi AND c_hi > c_lo""")
 def chunk_reuse(spark, sf):
-    old = ranges.coalesced(spans(spark, sf).filter("part % 4 <> 0"), ["archive"], ["ord"]).select("archive", F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi"))
-    chunks = spans(spark, sf).select("archive", "ord", (F.col("lo") + 16).alias("c_lo"), (F.col("hi") - 8).alias("c_hi"))
+    rows = spans(spark, sf, many := wide(spark, sf))
+    old = ranges.coalesced(rows.filter("part % 4 <> 0"), ["archive"], ["ord"], wide=many).select("archive", F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi"))
+    chunks = rows.select("archive", "ord", (F.col("lo") + 16).alias("c_lo"), (F.col("hi") - 8).alias("c_hi"))
     return ranges.contained(chunks, old, ["archive"], 32768, 1 << 16)
 
 
@@ -270,16 +279,19 @@ w AS (SELECT r.archive, lo, hi, image_length, island, (hi - lo) * 16 < 400000 AS
 x AS (SELECT *, bool_and(small) OVER (PARTITION BY archive, island) AS alls FROM w)
 SELECT archive, lo, hi, image_length FROM x WHERE NOT (small AND ((l AND rr AND alls) OR (l AND f) OR (rr AND la)))""")
 def splice_absorb(spark, sf):
-    rows = spans(spark, sf)
-    parts = rows.filter("part % 4 <> 0").join(rows.groupBy("archive").agg(F.max("hi").alias("image_length")), "archive").select("archive", "lo", "hi", "image_length")
-    return ranges.absorbed(parts, ["archive"], 400_000)
+    rows = spans(spark, sf, many := wide(spark, sf))
+    if many:
+        rows = rows.join(rows.groupBy("archive").agg(F.max("hi").alias("image_length")), "archive")
+    else:
+        rows = rows.withColumn("image_length", F.max("hi").over(Window.partitionBy("archive")))
+    return ranges.absorbed(rows.filter("part % 4 <> 0").select("archive", "lo", "hi", "image_length"), ["archive"], 400_000, many)
 
 
 @query(f"""WITH {SPANS}, m AS (SELECT archive, ord AS at_ord, (lo + hi) // 2 AS at FROM spans WHERE part % 5 = 0) SELECT DISTINCT m.archive, m.at, s.ord AS found FROM m JOIN spans s ON s.archive = m.archive AND m.at >= s.lo AND m.at < s.hi""")
 def member_at_position(spark, sf):
-    rows = spans(spark, sf)
+    rows = spans(spark, sf, many := wide(spark, sf))
     points = rows.filter("part % 5 = 0").select("archive", F.floor((F.col("lo") + F.col("hi")) / 2).alias("at"))
-    return ranges.at_or_before(points, rows.select("archive", F.col("lo").alias("at"), "ord"), ["archive"], "at", "ord").distinct()
+    return ranges.at_or_before(points, rows.select("archive", F.col("lo").alias("at"), "ord"), ["archive"], "at", "ord", many).distinct()
 
 
 RECORDS = f"""{SPANS}, n AS (SELECT archive, ord, lo AS old_lo, hi - lo AS len, part, 30 + part % 40 AS header_length, CASE WHEN part % 3 = 0 THEN 30 + (part + archive) % 40 END AS new_header_length FROM spans WHERE part % 11 <> 0),
@@ -288,9 +300,9 @@ act AS (SELECT archive, ord, old_lo, new_lo, CASE WHEN new_header_length IS NULL
 
 
 def records(spark, sf):
-    n = spans(spark, sf).filter("part % 11 <> 0").select("archive", "ord", F.col("lo").alias("old_lo"), (F.col("hi") - F.col("lo")).alias("len"), (30 + F.col("part") % 40).alias("header_length"), F.when(F.col("part") % 3 == 0, 30 + (F.col("part") + F.col("archive")) % 40).alias("new_header_length"))
+    n = spans(spark, sf, many := wide(spark, sf)).filter("part % 11 <> 0").select("archive", "ord", F.col("lo").alias("old_lo"), (F.col("hi") - F.col("lo")).alias("len"), (30 + F.col("part") % 40).alias("header_length"), F.when(F.col("part") % 3 == 0, 30 + (F.col("part") + F.col("archive")) % 40).alias("new_header_length"))
     n = n.withColumn("new_len", F.col("len") + F.coalesce(F.col("new_header_length") - F.col("header_length"), F.lit(0)))
-    rows = ranges.prefix_sum_within(n, ["archive"], ["ord"], "new_len", "new_lo").withColumn("dirty", F.lit(False))
+    rows = ranges.prefix_sum_within(n, ["archive"], ["ord"], "new_len", "new_lo", many).withColumn("dirty", F.lit(False))
     return editing.record_actions(rows).select("archive", "ord", "old_lo", "new_lo", "action")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.operators import ranges
+from bindery.shipping import checkpointed
 
 SEGMENTS = "ord long, part int, src string, src_lo long, src_hi long, bytes binary"
 PIECE = 32 << 20  # bytes that a row may make a task write
@@ -38,21 +39,6 @@ def length() -> Column:
     return F.coalesce(F.col("src_hi") - F.col("src_lo"), F.octet_length("bytes").cast("long"), F.lit(0))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut in the shared folder, so that what is encoded is encoded once."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="bindery-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def laid_out(segments: DataFrame) -> DataFrame:
     """segments with `lo`, where each begins in the output; empty ones are gone."""
     return ranges.running(segments.filter(length() > 0), [], ["ord", "part"], length(), "lo")
@@ -61,9 +47,10 @@ def laid_out(segments: DataFrame) -> DataFrame:
 def coalesced(segments: DataFrame) -> DataFrame:
     """laid-out segments in which source ranges that follow one another, in the source and in the output, are one."""
     own = segments.filter("src is not null").withColumn("hi", F.col("src_hi"))
+    wide = ranges.wide_key(own, ["src"])
     joined = (F.col("_hi") == F.col("src_lo")) & (F.col("_end") == F.col("lo"))
-    marked = ranges.previous(ranges.previous(own, ["src"], ["lo"], "hi", "_hi").withColumn("_stop", F.col("lo") + F.col("src_hi") - F.col("src_lo")), ["src"], ["lo"], "_stop", "_end")
-    runs = ranges.islands(marked, ["src"], ["lo"], joined)
+    marked = ranges.previous(ranges.previous(own, ["src"], ["lo"], "hi", "_hi", wide).withColumn("_stop", F.col("lo") + F.col("src_hi") - F.col("src_lo")), ["src"], ["lo"], "_stop", "_end", wide)
+    runs = ranges.islands(marked, ["src"], ["lo"], joined, wide=wide)
     sources = runs.groupBy("src", "island").agg(F.min("src_lo").alias("src_lo"), F.max("src_hi").alias("src_hi"), F.min("lo").alias("lo"))
     return sources.select("lo", "src", "src_lo", "src_hi", F.lit(None).cast("binary").alias("bytes")).unionByName(segments.filter("src is null").select("lo", "src", "src_lo", "src_hi", "bytes"))
 

@@ -1,10 +1,10 @@
-"""Lets Python workers find this package."""
+"""Lets Python workers find this package, and cuts plans in the folder that all machines share."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -13,3 +13,18 @@ def ship(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut in the shared folder, so that what is encoded is encoded once."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="bindery-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()

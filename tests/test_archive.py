@@ -222,6 +222,32 @@ def test_ranges_do_not_depend_on_cells(spark, monkeypatch, rows):
     assert found and all(r.found == next((n for o, n in reversed(by_key[r.k]) if o <= r.o and n % 5 and r.k), None) for r in found)
 
 
+def test_rows_of_small_keys_are_evaluated_twice_at_most(spark, monkeypatch):
+    """However many keys there are: once to count the rows of keys, once for the result."""
+    monkeypatch.setattr(ranges, "CELL_ROWS", 100)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(3000).selectExpr("id div 3 as k", "id as o", "id * 10 as lo", "id * 10 + if(id % 3 = 0, 10, 9) as hi", "3000000000 as image_length")
+    for f, n in ((lambda d: ranges.coalesced(d, ["k"], ["o"]), 2000), (lambda d: ranges.absorbed(d, ["k"], 320), 1)):
+        seen.value = 0
+        assert f(df.mapInArrow(counted, df.schema)).count() == n
+        assert seen.value <= 2 * 3000
+
+
+@pytest.mark.parametrize("name", ["splice_absorb", "chunk_reuse", "member_at_position", "record_action_case"])
+def test_queries_do_not_depend_on_cells(spark, monkeypatch, name):
+    """One bucket holds all keys, so the rows are parted into cells."""
+    whole = sorted(map(tuple, catalog.QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(ranges, "CELL_ROWS", 2000)
+    monkeypatch.setattr(ranges, "BUCKETS", 1)
+    assert sorted(map(tuple, catalog.QUERIES[name](spark, SF).collect())) == whole
+
+
 def test_overlapping(spark):
     records = spark.createDataFrame([("a", 0, 10), ("a", 10, 20), ("a", 20, 20), ("b", 0, 5)], "k string, lo long, hi long")
     written = spark.createDataFrame([("a", 9, 10), ("a", 15, 400), ("b", 5, 9)], "k string, w_lo long, w_hi long")
