@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.functions import crypto, decoders, entries, fields, headers, records, seven_zip
-from bindery.functions.codecs import JOINABLE, leveled
+from bindery.functions.codecs import JOINABLE, leveled, slices
 from bindery.operators import editing, ranges
 from bindery.plans import segments
 from bindery.plans.options import Options
@@ -58,10 +58,12 @@ def refused(rows: DataFrame, form: str) -> None:
 
 
 def as_dicts(batch: pa.RecordBatch):
-    yield from batch.to_pylist()
+    """Rows of a batch, of which those of about a megabyte are dicts at once."""
+    for part in slices(batch):
+        yield from part.to_pylist()
 
 
-OUT_BYTES = 8 << 20
+OUT_BYTES = 4 << 20
 
 
 def gathered(found, schema: pa.Schema):

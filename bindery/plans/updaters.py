@@ -536,14 +536,15 @@ class CompressedTarUpdater(TarUpdater):
         if os.path.lexists(self.scratch):
             os.unlink(self.scratch)
 
-    def spliced(self, added: DataFrame | None) -> tuple[DataFrame, DataFrame, int]:
-        """The new image as laid-out segments over the scratch file; the chunks that are carried (k, lo, hi in the new image); its length."""
+    def spliced(self, added: DataFrame | None, folder: str) -> tuple[DataFrame, DataFrame, int]:
+        """The new image as laid-out segments over the scratch file and what is spooled in a folder; the chunks that are carried
+        (k, lo, hi in the new image); its length."""
         body = self.body(added, self.path)
         members = body.agg(F.coalesce(F.sum(segments.length()), F.lit(0)).alias("n")).first().n
         end = headers.tar_end(members)
-        image = segments.checkpointed(segments.coalesced(segments.checkpointed(segments.laid_out(create.union(body, create.one(body, LAST, end))))))
+        image = segments.checkpointed(segments.coalesced(segments.laid_out(segments.spooled(create.union(body, create.one(body, LAST, end)), folder))))
         total = members + len(end)
-        spans = image.filter("src is not null").select(F.lit(0).alias("key"), F.col("src_lo").alias("s_lo"), F.col("src_hi").alias("s_hi"), F.col("lo").alias("to"))
+        spans = image.filter(F.col("src") == self.path).select(F.lit(0).alias("key"), F.col("src_lo").alias("s_lo"), F.col("src_hi").alias("s_hi"), F.col("lo").alias("to"))
         old = self.rows(self.chunks, "k long, c_from long, c_to long, c_lo long, c_hi long").withColumn("key", F.lit(0))
         inside = ranges.contained(old, spans, ["key"]).withColumn("lo", F.col("to") + F.col("c_lo") - F.col("s_lo")).withColumn("hi", F.col("lo") + F.col("c_hi") - F.col("c_lo"))
         packing, _ = create.chunk_limits(self.codec, self.piece())
@@ -553,8 +554,8 @@ class CompressedTarUpdater(TarUpdater):
     def piece(self) -> int:
         return self.options_given.piece(next(f for f, c in TAR_FORMS.items() if c == self.codec))
 
-    def segments(self, added: DataFrame | None) -> DataFrame:
-        image, kept, total = self.spliced(added)
+    def segments(self, added: DataFrame | None, folder: str) -> DataFrame:
+        image, kept, total = self.spliced(added, folder)
         limit, _ = create.chunk_limits(self.codec, self.piece())
         # what lies between carried chunks is cut into chunks of its own
         stops = kept.select("key", "lo", "hi").unionByName(self.rows([(0, total, total)], "key int, lo long, hi long"))
@@ -567,23 +568,20 @@ class CompressedTarUpdater(TarUpdater):
 
     def encoded(self, cuts: DataFrame, image: DataFrame, width: int) -> DataFrame:
         """chunk (its place in the image) and bytes: the parts of segments that a cut covers, joined in order and encoded."""
-        size = F.coalesce(F.col("src_hi") - F.col("src_lo"), F.octet_length("bytes").cast("long"))
         cells = lambda df, lo, hi: df.withColumn("cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width))))
-        spread = cells(image.withColumn("hi", F.col("lo") + size), "lo", "hi")
+        spread = cells(image.withColumn("hi", F.col("lo") + F.col("src_hi") - F.col("src_lo")), "lo", "hi")
         met = cells(cuts, "p_lo", "p_hi").join(spread, "cell").filter((F.col("lo") < F.col("p_hi")) & (F.col("p_lo") < F.col("hi"))).drop("cell")
         met = met.dropDuplicates(["p_lo", "lo"])
         begin, stop = F.greatest("lo", "p_lo"), F.least("hi", "p_hi")
-        part = met.select(F.col("p_lo").alias("chunk"), begin.alias("ord"), "src", (F.col("src_lo") + begin - F.col("lo")).alias("at"), (stop - begin).alias("n"), F.substring("bytes", (begin - F.col("lo") + 1).cast("int"), (stop - begin).cast("int")).alias("bytes"))
+        part = met.select(F.col("p_lo").alias("chunk"), begin.alias("ord"), "src", (F.col("src_lo") + begin - F.col("lo")).alias("at"), (stop - begin).alias("n"))
         codec, levels = self.codec, self.options_given.levels
 
         def run(table: pa.Table) -> pa.Table:
-            rows, parts = table.sort_by("ord").to_pylist(), []
-            for r in rows:
-                if r["src"] is None:
-                    parts.append(r["bytes"])
-                else:
-                    with layouts.Ranged(r["src"]) as src:
-                        parts.append(src.some(r["at"], r["n"]))
+            rows, parts, sources = table.sort_by("ord").to_pylist(), [], segments.Sources()
+            try:
+                parts = [segments.read_fully(sources(r["src"]), r["at"], r["n"]) for r in rows]
+            finally:
+                sources.close()
             return pa.table({"chunk": pa.array([rows[0]["chunk"]], pa.int64()), "bytes": pa.array([leveled(codec, **levels)(b"".join(parts))], pa.binary())})
 
         return part.groupBy("chunk").applyInArrow(run, "chunk long, bytes binary")
@@ -598,7 +596,8 @@ class CompressedTarUpdater(TarUpdater):
             if self.unchanged():
                 self.done = True
                 return segments.Statistics("unchanged", self.before[3], self.before[3], 0)
-            plan = segments.checkpointed(self.segments(added))
+            with segments.spool(self.whole) as folder:
+                plan = segments.checkpointed(self.segments(added, folder))
             expected = segments.checkpointed(self.expected())
 
             def check(staged: str) -> None:

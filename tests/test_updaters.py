@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bindery.functions import decoders, headers
+from bindery.operators import ranges
 from bindery.plans import create, options, segments, updaters
 from bindery.sources import layouts, sinks, units
 
@@ -214,3 +215,16 @@ def test_levels_and_single_streams(spark, rows, tmp_path):
     for form, plain in (("gz", gzip.decompress), ("bz2", bz2.decompress), ("xz", lzma.decompress), ("lz", decoders.lzip_plain), ("Z", decoders.lzw_plain), ("lz4", decoders.lz4_plain), ("br", decoders.brotli_plain)):
         text.selectExpr("ord", "path", "data", "kind", "cast(null as int) mode", "cast(null as long) mtime", "link").write.format("archive").mode("append").option("form", form).save(str(tmp_path / form))
         assert plain((tmp_path / form / f"a.txt.{form}").read_bytes()) == data
+
+
+def test_payloads_are_not_put_in_order(spark, rows, tmp_path, monkeypatch):
+    """What one window may bring into one task is numbers."""
+    sums = ranges.running
+
+    def running(df, *args):
+        assert not {"bytes", "data"} & set(df.columns)
+        return sums(df, *args)
+
+    monkeypatch.setattr(ranges, "running", running)
+    create.create(rows, path := str(tmp_path / "t.tar"), "tar")
+    assert read(spark, path)["d/表11.txt"][1] == b"text 11 " * 12 * 9 and os.listdir(tmp_path) == ["t.tar"]
