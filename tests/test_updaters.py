@@ -228,3 +228,46 @@ def test_payloads_are_not_put_in_order(spark, rows, tmp_path, monkeypatch):
     monkeypatch.setattr(ranges, "running", running)
     create.create(rows, path := str(tmp_path / "t.tar"), "tar")
     assert read(spark, path)["d/表11.txt"][1] == b"text 11 " * 12 * 9 and os.listdir(tmp_path) == ["t.tar"]
+
+
+@pytest.mark.parametrize("form", ["tar", "zip", "lzh", "7z"])
+def test_tasks_walk_their_own_part(spark, rows, tmp_path, monkeypatch, form):
+    """What a task reads of an archive's headers doesn't grow with the archive."""
+    path = str(tmp_path / f"t.{form}")
+    create.create(rows, path, form, options.Options(lha="lh0") if form == "lzh" else options.Options(block_bytes=900, preset=1) if form == "7z" else None)
+    whole = [r[:8] + (bytes(r[8]) if r[8] is not None else None,) for r in (units.EntriesReader({"path": path}).rows(units.Part(path)))]
+    monkeypatch.setattr(units, "SPLIT", 500)
+    calls, one = [], units.unit
+    monkeypatch.setattr(units, "unit", lambda *a, **k: calls.append(1) or one(*a, **k))
+    reader = units.EntriesReader({"path": path})
+    parts = reader.partitions()
+    calls.clear()
+    found = [tuple(r.values()) for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    assert len(parts) > 3 and found == whole and len(calls) <= len(whole)
+
+
+@pytest.mark.parametrize("codec", ["gzip", "bzip2", "xz", "zstd", "lzip"])
+def test_streams_are_decoded_as_they_are_read(tmp_path, codec):
+    body = b"".join(headers.tar_member(b"f%d" % i, "file", 600_000, 0o644, 1, b"") + bytes([i]) * 600_000 + bytes(64) for i in range(20))
+    packed = b"".join(updaters.leveled(codec)(body[at : at + 1_000_000]) for at in range(0, len(body), 1_000_000))
+    (tmp_path / "t").write_bytes(packed)
+    with layouts.Ranged(str(tmp_path / "t")) as src:
+        inner, most, sizes = decoders.Stream(src, codec), 0, []
+        for u in layouts.tar_walk(inner):
+            assert inner.read(u.data, 600_000) == bytes([len(sizes)]) * 600_000
+            sizes.append(u.end - u.data)
+            most = max(most, len(inner.held))
+        assert sizes == [600_000] * 20 and most < len(body) / 2
+        assert decoders.chunks_of(decoders.streamed(src, codec)) == decoders.stream_chunks(packed, codec) and inner.start > 0
+
+
+def test_tasks_of_seven_zip_are_not_sent_the_model(spark, tmp_path, monkeypatch):
+    from pyspark import cloudpickle
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    path, own, seen = str(tmp_path / "t.7z"), DataFrame.mapInArrow, []
+    values = spark.range(600).selectExpr("id as ord", "concat('a/long/name/of/a/file/', id) as path", "'file' as kind", "cast(repeat(cast(id as string), 20) as binary) as data")
+    create.create(values, path, "7z", options.Options(block_bytes=2000, preset=1))
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *a, **k: seen.append(len(cloudpickle.dumps(f))) or own(self, f, *a, **k))
+    updaters.SevenZipUpdater(spark, path).remove([3, 300]).rename({5: "n"}).commit()
+    assert len(seen) > 3 and max(seen) < 20_000 and len(read(spark, path)) == 598
