@@ -271,3 +271,17 @@ def test_tasks_of_seven_zip_are_not_sent_the_model(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *a, **k: seen.append(len(cloudpickle.dumps(f))) or own(self, f, *a, **k))
     updaters.SevenZipUpdater(spark, path).remove([3, 300]).rename({5: "n"}).commit()
     assert len(seen) > 3 and max(seen) < 20_000 and len(read(spark, path)) == 598
+
+
+@pytest.mark.parametrize("form", ["7z", "tar.bz2"])
+def test_what_is_encoded_anew_is_dealt_by_its_bytes(spark, tmp_path, monkeypatch, form):
+    """Not by the bytes of the rows that tell of it, which fit one task."""
+    path, seen = str(tmp_path / f"t.{form}"), []
+    values = spark.range(64).selectExpr("id as ord", "concat('f', id) as path", "'file' as kind", "cast(repeat(cast(id as string), 2000) as binary) as data")
+    create.create(values, path, form, options.Options(block_bytes=9000, preset=1) if form == "7z" else None)
+    monkeypatch.setattr(updaters, "ENCODED", 5000)
+    u = (updaters.SevenZipUpdater if form == "7z" else updaters.CompressedTarUpdater)(spark, path)
+    own = type(u).encoded
+    monkeypatch.setattr(type(u), "encoded", lambda self, *a: seen.append(own(self, *a)) or seen[0])
+    u.remove(list(range(0, 64, 2))).commit()
+    assert seen[0].rdd.getNumPartitions() > 4 and len(read(spark, path)) == 32
