@@ -10,6 +10,7 @@ import zipfile
 import zlib
 
 import duckdb
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -314,3 +315,15 @@ def test_progress_steps(spark):
     assert all(r.step == r.d // 100 for r in got) and progress.steps(df.limit(0), "k", "o", "d").collect() == []
     turns = catalog.QUERIES["progress_steps"](spark, SF).collect()
     assert len({r.conv_id for r in turns}) == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
+
+
+def test_payloads_are_measured_one_by_one(spark):
+    """Whatever the size of Arrow's batches, what leaves a task at once is a small part of one."""
+    rows = spark.range(40).selectExpr("id as item_id", "if(id = 7, null, cast(repeat(cast(id as string), 200000) as binary)) as data").coalesce(1)
+    own = codecs.measured(rows, "item_id", {"n": (pa.int32(), "int", len)})
+
+    assert {r.item_id: r.n for r in own.collect()} == {i: None if i == 7 else 200_000 * len(str(i)) for i in range(40)}
+    assert max(p.num_rows for b in [pa.record_batch({"i": list(range(40)), "d": [b"x" * 200_000] * 40})] for p in codecs.slices(b)) <= 6
+    for q in ("document_codec_sizes", "filtered_document_sizes"):
+        plan = catalog.QUERIES[q](spark, SF)._jdf.queryExecution().toString()
+        assert "ArrowEvalPython" not in plan and "MapInArrow" in plan
